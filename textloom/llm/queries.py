@@ -37,9 +37,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import chat_format as c
+
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    records = c.from_rows(rows.unionByName(extra))
+    return c.digests(c.format_turns(c.canonical(records, "record")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_byte_bpe, op5_decontaminate, op7_quality_rules)
+    for f in (op4_byte_bpe, op5_decontaminate, op7_quality_rules, op10_chat_format)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracle_sql() -> dict[str, str]:
+    from textloom.llm import chat_format
+
+    return {"op10_chat_format": chat_format.oracle_sql()}
+
+
+ORACLE_SQL: dict[str, str] = _oracle_sql()
