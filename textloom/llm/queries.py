@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return out.select(*columns) if columns else out
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import toxicity
+
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +36,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", d.digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import quality_cnn
+
+    return quality_cnn.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import quality_rules
 
@@ -49,7 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_byte_bpe, op5_decontaminate, op7_quality_rules, op10_chat_format)
+    for f in (op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op10_chat_format)
 }
 
 def _oracle_sql() -> dict[str, str]:
