@@ -140,8 +140,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, with digests in place of the lists.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, with digests of the lists and, if asked for, ``ids`` array<int>.
 
     id, ``n_tokens`` long, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit
     integers) and ``decoded_sha256`` (of the decoded bytes), lowercase hex.
@@ -154,12 +154,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         bpe = load(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, digests, decoded = [], [], []
             for a, b in _slices(texts, 400_000):
-                for ids in bpe.encode(texts[a:b]):
-                    counts.append(len(ids))
-                    digests.append(sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-                    decoded.append(sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = bpe.encode(texts[a:b])
+                digests = [sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids]
+                decoded = [sha256(bpe.decode(x)).hexdigest() for x in ids]
+                columns = [batch.column(0).slice(a, b - a), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

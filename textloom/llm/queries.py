@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Vocabulary used by the byte-level BPE query; every executor has the package that holds it.
 BPE_FILE = "byte_bpe_50k.tiktoken"
+#: Shards that the corpus is dealt to.
+SHARDS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -15,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return out.select(*columns) if columns else out
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import context_mixing
+
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
+def op2_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import sharding
+
+    return sharding.place(table(spark, sf_dir, "documents", "doc_id"), "doc_id", sharding.names(SHARDS))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import toxicity
 
@@ -73,13 +87,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format)
+    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format)
 }
 
 def _oracle_sql() -> dict[str, str]:
-    from textloom.llm import chat_format
+    from textloom.llm import chat_format, sharding
 
-    return {"op10_chat_format": chat_format.oracle_sql()}
+    return {"op2_permutation_shards": sharding.oracle_sql(sharding.names(SHARDS)), "op10_chat_format": chat_format.oracle_sql()}
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()
