@@ -42,8 +42,8 @@ WIDTH, PERCENT = 3, 90
 LEVEL = 1.35
 #: Documents and shingles of a candidate component in one block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
-#: Bytes of candidate ids that may be sent to every executor to pick their texts; beyond it they are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Buckets of ids of which a set is sent to every executor, to leave out texts before they're shuffled.
+BUCKETS = 1 << 20
 LEAF = 8
 
 
@@ -241,9 +241,14 @@ def _block_links(width: int, percent: int):
 
 
 def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of the chosen ids: a small choice goes to every executor, a large one is joined by shuffle."""
-    count = chosen.count()
-    return docs.join(F.broadcast(chosen) if count * 40 <= BROADCAST_IDS else chosen, "id")
+    """Texts of the chosen ids, joined by shuffle.
+
+    Before it, texts are dropped whose id's hash falls in no chosen id's bucket: at most BUCKETS numbers go to
+    every executor, and few texts that aren't wanted are shuffled until the choice is about as large as that.
+    """
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    near = docs.withColumn("bucket", bucket).join(F.broadcast(chosen.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    return near.join(chosen, "id")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
