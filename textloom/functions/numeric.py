@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from textloom.functions.text import let
 
 CLAMP = 50.0
 
@@ -32,8 +34,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalised(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    scaled = lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x))
+    return let(v, lambda w: let(F.struct(w.alias("v"), norm(w).alias("n")), scaled))
 
 
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
@@ -94,7 +96,7 @@ def alibi_bias(spark: SparkSession, heads: int, width: int) -> DataFrame:
     return grid.select("head", "i", "j", (-F.col("slope") * F.abs(F.col("i") - F.col("j"))).alias("bias"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base64_floats(vectors: pd.Series) -> pd.Series:
     """Base64 of the vector's little-endian 32-bit floats."""
     import base64

@@ -9,6 +9,11 @@ PAD, START, END, FIRST_WORD = 0, 1, 2, 3
 VOCABULARY = 30_522
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_hash(text: Column) -> Column:
     """SHA-256 of the UTF-8 text, lowercase hex."""
     return F.sha2(text, 256)

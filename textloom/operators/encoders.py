@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.numeric import l2_normalised, sparse_weight
-from textloom.functions.text import token_ids, with_specials
+from textloom.functions.text import let, token_ids, with_specials
 
 
 class Encoder(Protocol):
@@ -39,9 +39,15 @@ class HashEncoder:
 
     def pooled(self, text: Column) -> Column:
         """Mean of the token vectors."""
-        ids = self.tokens(text)
-        mean = lambda k: F.aggregate(ids, F.lit(0.0), lambda s, t: s + self.component(t, k), lambda s: s / F.size(ids))
-        return F.array(*[mean(k) for k in range(self.dims)])
+        zero = F.array(*[F.lit(0.0)] * self.dims)
+
+        def mean(ids: Column) -> Column:
+            def add(s: Column, t: Column) -> Column:
+                return F.array(*[F.get(s, F.lit(k)) + self.component(t, k) for k in range(self.dims)])
+
+            return F.aggregate(ids, zero, add, lambda s: F.transform(s, lambda x: x / F.size(ids)))
+
+        return let(self.tokens(text), mean)
 
     def dense(self, text: Column) -> Column:
         return l2_normalised(self.pooled(text))
@@ -71,7 +77,7 @@ class OnnxEncoder:
     def dense(self, text: Column) -> Column:
         graph, tokenizer, longest, size, pad = self.graph, self.tokenizer, self.longest, self.batch, self.pad
 
-        @F.pandas_udf("array<float>")
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import numpy as np
             import onnxruntime
