@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that the library's byte-level pre-tokenizer has built in, several times faster than one given to it.
 BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pieces whose tokens a worker remembers, some 250 bytes each: the first ones met, among them all frequent ones.
+CACHE = 400_000
+
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -49,7 +52,7 @@ class ByteBpe:
         self.characters = byte_characters()
         shown = {t: "".join(map(self.characters.__getitem__, t)) for t in self.ranks}
         merges = [tuple(map(shown.__getitem__, self._parts(t))) for t in self.tokens if len(t) > 1]
-        model = models.BPE({shown[t]: r for t, r in self.ranks.items()}, merges, cache_capacity=50_000)
+        model = models.BPE({shown[t]: r for t, r in self.ranks.items()}, merges, cache_capacity=CACHE)
         self.tokenizer = Tokenizer(model)
         if pattern == BUILT_IN:
             self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
