@@ -31,6 +31,8 @@ from textloom.llm._training import FOLDS, labelled_sample
 SAMPLE, LONGEST = 8_000, 20_000
 SLOTS = 1 << 20
 FEATURES, LEAST, RANK = 1_024, 4, 4
+#: Least difference of a term's shares in the classes, in standard errors.
+CLEAR = 3.5
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -77,7 +79,7 @@ def train(rows: list[tuple[str, int]], steps: int = 250, rate: float = 0.05, dec
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     p = (of[0] + of[1] + 1) / (n0 + n1 + 2)
     z = (of[1] / n1 - of[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    z[of[0] + of[1] < LEAST] = 0
+    z[(of[0] + of[1] < LEAST) | (np.abs(z) < CLEAR)] = 0
     best = np.lexsort((np.arange(SLOTS), -np.abs(z)))[:FEATURES]
     features = {int(s): k for k, s in enumerate(best) if z[s]}
     x = np.zeros((len(rows), max(len(features), 1)), np.float32)
