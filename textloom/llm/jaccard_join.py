@@ -227,6 +227,32 @@ def _routed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
+def _stars(keyed: DataFrame) -> DataFrame:
+    """From each key's least id an edge to its other ids.
+
+    Keys are dealt once, sorted, and streamed a batch at a time, so a frequent key costs its rows and no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            at = np.flatnonzero(new)
+            heads = ids[at]
+            if keys[0] == key:
+                heads[0] = least
+            of = np.repeat(heads, np.diff(np.concatenate([at, [len(keys)]])))
+            key, least = keys[-1], heads[-1]
+            other = of != ids
+            yield pa.RecordBatch.from_arrays([pa.array(of[other]), pa.array(ids[other])], names=["src", "dst"])
+
+    return keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "src long, dst long").distinct()
+
+
 def _block_links(width: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -261,8 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # one document for each set; rows with the same id and different sets are joined below
     sets = stored(routed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     reps = routed.join(sets.select("n", "f1", "f2", F.col("rep").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", F.explode("keys").alias("key"))
-    keyed = reps.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("top")).where(F.col("m") < F.col("top")).select("key", "m")
-    near = stored(reps.join(keyed, "key").where(F.col("m") != F.col("id")).select(F.col("m").alias("src"), F.col("id").alias("dst")).distinct())
+    near = stored(_stars(reps))
     candidates = components(near)
     found = _tree_links(docs, routed, candidates, width, percent)
     shared = routed.where((F.col("n") > 0) & F.col("id").isNotNull()).join(sets, ["n", "f1", "f2"]).select("id", "n", "rep")
