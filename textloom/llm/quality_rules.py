@@ -194,10 +194,10 @@ def fit(vectors: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS) -> Dat
 
 def with_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "__rules", min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` with a struct column of the statistics, base_failed, distance (null where base_failed) and kept."""
-    counted = docs.withColumn(out_col, statistics(F.col(text_col)))
-    # columns that a text's row needs for fitting go to the shared folder once; texts are not copied
-    s = F.col("s")
-    vectors = stored(docs.select(statistics(F.col(text_col)).alias("s"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")).where(~base_failed(s)).select("lang", "source", *[v.alias(f"x_{i}") for i, v in enumerate(vector(s))]))
+    # counting costs more than writing: rows go to the shared folder with their statistics, which are then read for fitting and again for the verdicts
+    counted = stored(docs.withColumn(out_col, statistics(F.col(text_col))))
+    s = F.col(out_col)
+    vectors = counted.where(~base_failed(s)).select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *[v.alias(f"x_{i}") for i, v in enumerate(vector(s))])
     return _judged(counted, fit(vectors, min_rows), F.col(lang_col), F.col(source_col), out_col, cutoff)
 
 
