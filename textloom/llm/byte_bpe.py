@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces whose tokens a worker remembers, some 250 bytes each: the first ones met, among them all frequent ones.
-CACHE = 400_000
+CACHE = 200_000
 
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 
