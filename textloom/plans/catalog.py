@@ -712,3 +712,85 @@ def alibi_bias(spark, d):
 @query()
 def base64_vectors(spark, d):
     return _read(spark, d, "embeddings").select("vec_id", numeric.base64_floats(F.col("embedding")).alias("embedding_b64"))
+
+
+# ------------------------------------------------------------------ small joins and differences
+
+_FILES = [("model_quantized_static.onnx",), ("model_quantized_static_b1.onnx",), ("model_quantized_static_b4.onnx",), ("model_quantized_static_b8.onnx",), ("model_quantized_static_b0.onnx",), ("model_quantized.onnx",)]
+
+
+@query(_packed_sql(_BUDGETS["pack_padded"]) + _BATCHES + """
+    SELECT CASE items WHEN 1 THEN 'model_quantized_static_b1.onnx' WHEN 4 THEN 'model_quantized_static_b4.onnx' WHEN 8 THEN 'model_quantized_static_b8.onnx' ELSE 'dynamic' END AS route, count(*) AS total FROM b GROUP BY 1
+""")
+def static_shape_route(spark, d):
+    """Batches go to the graph of exactly their size where there is one."""
+    from textloom.sources import readers
+
+    shapes = readers.static_shapes(_values(spark, _FILES, "name string"))
+    return metrics.counter(readers.routed(batching.batches(_packed(spark, d, "pack_padded"), ["source"]), shapes), ["route"])
+
+
+@query(_packed_sql(_BUDGETS["pack_padded"]) + "SELECT source, batch::INT AS batch, string_agg(len::VARCHAR, ' ' ORDER BY doc_id) AS lens, count(*) AS n FROM p GROUP BY 1, 2")
+def batch_split(spark, d):
+    """What a batch gives, handed back in the order of its items; as many results as items."""
+    back = batching.split_back(_packed(spark, d, "pack_padded"), ["source"], "batch", "doc_id", "len")
+    return back.select("source", "batch", F.array_join("len", " ").alias("lens"), F.size("len").cast("long").alias("n"))
+
+
+_ENV = [("RERANKER_SESSION_POOL_SIZE_A",), ("SPLADE_SESSION_POOL_SIZE_B",), ("EMBED_BATCH_MAX_SEQ_E5",), ("EMBED_BATCH_MAX_SEQ_NOPE",), ("PATH",)]
+_POOL_PREFIXES = ["RERANKER_SESSION_POOL_SIZE_", "SPLADE_SESSION_POOL_SIZE_"]
+
+
+@query(f"""
+    SELECT name, starts_with(name, '{_POOL_PREFIXES[0]}') OR starts_with(name, '{_POOL_PREFIXES[1]}') AS unsupported,
+           starts_with(name, 'EMBED_BATCH_MAX_SEQ_') AND replace(name, 'EMBED_BATCH_MAX_SEQ_', '') NOT IN ('E5', 'JINA') AS unknown_model FROM {_sql_values(_ENV, 'name')}
+""")
+def env_difference(spark, d):
+    """Settings of kinds that have none, and of models that aren't configured."""
+    models = _values(spark, _MODELS, "name string, kind string").where("kind = 'embed'").select(config.model_env_key(F.col("name")).alias("key")).withColumn("known", F.lit(True))
+    env = _values(spark, _ENV, "name string").withColumn("key", F.regexp_extract("name", "^EMBED_BATCH_MAX_SEQ_(.+)$", 1))
+    out = env.join(F.broadcast(models), "key", "left")
+    return out.select("name", classify.unsupported(F.col("name"), _POOL_PREFIXES).alias("unsupported"), ((F.col("key") != "") & F.col("known").isNull()).alias("unknown_model"))
+
+
+_PAIR_SPECS = [(1, "r:/m:512:true"), (2, "r:/m:512"), (3, "s:/m:x"), (4, "s:/m:64"), (5, "r:/m:8:maybe"), (6, "")]
+
+
+@query(r"""
+    SELECT id, p[1] AS name, len(p) = 4 AND regexp_matches(p[3], '^[0-9]+$') AND coalesce(p[4] IN ('true', '1', 'false', '0'), false) AS reranker, len(p) = 3 AND coalesce(regexp_matches(p[3], '^[0-9]+$'), false) AS sparse
+    FROM (SELECT id, string_split(s, ':') AS p FROM """ + _sql_values(_PAIR_SPECS, "id, s") + ")")
+def pair_specs(spark, d):
+    s = F.col("s")
+    return _values(spark, _PAIR_SPECS, "id int, s string").select("id", config.reranker_spec(s)["name"].alias("name"), config.reranker_spec(s)["valid"].alias("reranker"), config.sparse_spec(s)["valid"].alias("sparse"))
+
+
+@query("""
+    WITH q AS (SELECT conv_id, count(*) AS asked FROM conversations WHERE role = 'user' GROUP BY 1), a AS (SELECT conv_id, count(*) AS answered FROM conversations WHERE role = 'assistant' GROUP BY 1)
+    SELECT q.conv_id, asked, coalesce(answered, 0) AS answered, asked = coalesce(answered, 0) AS complete FROM q LEFT JOIN a ON q.conv_id = a.conv_id
+""")
+def response_correlation(spark, d):
+    """Requests against responses by id; a request whose responses are fewer or more is not complete."""
+    rows = _read(spark, d, "conversations", "conv_id", "role")
+    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("asked"))
+    answered = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("answered"))
+    n = F.coalesce("answered", F.lit(0))
+    return asked.join(answered, "conv_id", "left").select("conv_id", "asked", n.alias("answered"), (F.col("asked") == n).alias("complete"))
+
+
+_DISPATCH = [(1, "timeout"), (2, "no_worker"), (3, "ipc"), (4, "other")]
+
+
+@query(f"""SELECT id, CASE error WHEN 'timeout' THEN 503 WHEN 'no_worker' THEN 500 WHEN 'ipc' THEN 500 END::INT AS status, CASE error WHEN 'timeout' THEN 5 END::INT AS retry_after,
+    CASE error WHEN 'timeout' THEN 'worker_unavailable' WHEN 'no_worker' THEN 'server_error' WHEN 'ipc' THEN 'server_error' END AS type FROM {_sql_values(_DISPATCH, 'id, error')}""")
+def dispatch_errors(spark, d):
+    e = F.col("error")
+    return _values(spark, _DISPATCH, "id int, error string").select("id", classify.dispatch_status(e, 0).alias("status"), classify.dispatch_status(e, 1).alias("retry_after"), classify.dispatch_status(e, 2).alias("type"))
+
+
+@query("SELECT vec_id, 'embedding' AS object, (vec_id % 4)::INT AS index, CASE WHEN vec_id % 2 = 0 THEN len(embedding) END::INT AS dims, vec_id % 2 = 1 AS has_b64 FROM embeddings")
+def response_projection(spark, d):
+    """One entry a vector: numbers or base64, as the request's format says."""
+    rows = _read(spark, d, "embeddings", "vec_id", "embedding").withColumns({"i": (F.col("vec_id") % 4).cast("int"), "format": F.when(F.col("vec_id") % 2 == 0, "float").otherwise("base64")})
+    r = requests.response(F.col("i"), F.col("embedding"), numeric.base64_floats(F.col("embedding")), F.col("format"))
+    out = rows.select("vec_id", r.alias("r"))
+    return out.select("vec_id", F.col("r.object").alias("object"), F.col("r.index").alias("index"), F.when(F.col("r.embedding").isNotNull(), F.size("r.embedding")).alias("dims"), F.col("r.embedding_b64").isNotNull().alias("has_b64"))
