@@ -6,33 +6,62 @@ as the next one's docs.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, decontaminate, jaccard_join, quality_cnn, quality_rules
+from textloom.llm import _text, byte_bpe, decontaminate, jaccard_join, quality_cnn, quality_rules
 from textloom.llm._text import stored
 from textloom.llm.queries import BPE_FILE, table
 
+#: Rows in one Arrow batch: whole texts, so fewer than usual.
+BATCH_ROWS = 1_000
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_scratch: list[str] = []
+
+
+def scratch(stage: Stage) -> Stage:
+    """Tables that a stage stores on its way are deleted when the next one begins, as its result is written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        while _scratch:
+            _text.drop(spark, _scratch.pop())
+        before = len(_text.written)
+        out = stage(spark, docs, sf_dir)
+        _scratch.extend(_text.written[before:])
+        return out
+
+    return run_stage
+
 
+@scratch
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     return quality_rules.apply(docs)
 
 
+@scratch
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network doesn't reject."""
     return quality_cnn.apply(docs, table(spark, sf_dir, "labels"))
 
 
+@scratch
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingle sets link at a similarity of 0.8 or more."""
     return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
+@scratch
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark; those that are mostly such passages go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@scratch
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of each document's tokens."""
     import public_tokenizers

@@ -75,6 +75,8 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 _cleaned: set[str] = set()
+#: Tables written by ``stored``, in order.
+written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,15 +96,17 @@ def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     top = shared_dir(spark)
     path = f"{top}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    written.append(path)
     if top not in _cleaned:
         _cleaned.add(top)
         import atexit
 
-        atexit.register(_drop, spark, top)
+        atexit.register(drop, spark, top)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def _drop(spark: SparkSession, top: str) -> None:
+def drop(spark: SparkSession, top: str) -> None:
+    """Delete a table of ``stored``, or the folder of all."""
     jvm = spark._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces whose tokens a worker remembers, some 250 bytes each: the first ones met, among them all frequent ones.
-CACHE = 200_000
+CACHE = 100_000
 
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 
@@ -119,7 +119,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = load(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts, 400_000):
+            for a, b in _slices(texts, 150_000):
                 ids = bpe.encode(texts[a:b])
                 columns = [batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))]
                 if offsets:
@@ -157,7 +157,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         bpe = load(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts, 400_000):
+            for a, b in _slices(texts, 150_000):
                 ids = bpe.encode(texts[a:b])
                 digests = [sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids]
                 decoded = [sha256(bpe.decode(x)).hexdigest() for x in ids]
