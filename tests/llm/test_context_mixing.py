@@ -81,3 +81,15 @@ def test_scores_are_finite_and_better_than_a_uniform_code(scored):
 
 def test_empty_table(spark):
     assert c.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_are_whole(spark):
+    """No count is cut or wraps, and in the end the calibration fold's words are counted too."""
+    rows = [(b"a", 0, 5 << 32, 5 << 32), (b"b", 0, 5 << 30, 5 << 30), (b"calibration", 0, 9, 0), (b"", 0, 100, 90)]
+    words = spark.createDataFrame(rows, "word binary, class int, n long, m long")
+    m = c.learned(words)
+    n, bit, _, slots = c.word_bits([b"a", b"b", b"calibration"], np.zeros(3, int), m.code)
+    x = [t[s] for t, s in zip(m.tables, slots, strict=True)]
+    apart = next(k for k in range(n[1]) if bit[k] != bit[n[0] + k])
+    assert abs(int(x[0][apart])) == round(math.log(4) * c.UNIT)
+    assert (x[0][n[0] + n[1] :] != -128).all()

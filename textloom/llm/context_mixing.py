@@ -12,7 +12,8 @@ The total of the bits' code lengths is the document's cost, and its log10 probab
 Learning is additive and distributed: word counts are gathered from all training documents;
 bit counts of the slots follow from the words' counts, so each word is visited once however
 often it stands in the corpus; gate weights are fitted by Newton steps on a fold of the
-training documents that the slots are not counted from.  Tables have a fixed size
+training documents that the slots are not counted from, and then the slots are counted anew
+from all training documents.  Counts are exact 64-bit numbers.  Tables have a fixed size
 (``PREDICTORS`` x 2**``TABLE_BITS`` bytes), the only data sent to executors with a list of at most
 ``KNOWN`` frequent words' counts; counts of all other words are joined by shuffle.
 
@@ -224,7 +225,7 @@ def code_lengths(model: Model, docs: list[list[bytes]]) -> np.ndarray:
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, class, n, m): its count in training documents of the class, and in those that slots are counted from."""
+    """(word, class, n, m): its count in training documents of the class, and in those that slots are counted from while weights are fitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, bool], Counter] = {}
@@ -261,13 +262,13 @@ def _code(words: DataFrame) -> Code:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for batch in batches:
-            for w, _, m in _some(batch):
+            for w, _, times in _some(batch):
                 raw = np.frombuffer(b" ".join(w) + b" ", np.uint8)
                 ends = np.flatnonzero(raw == SPACE)
-                total += np.bincount(raw, np.repeat(m, np.diff(np.concatenate([[-1], ends]))), 256)
+                total += np.bincount(raw, np.repeat(times, np.diff(np.concatenate([[-1], ends]))), 256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
-    rows = words.select("word", "class", "m").mapInArrow(run, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    rows = words.select("word", "class", "n").mapInArrow(run, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(256)
     for r in rows:
         counts[r["byte"]] = r["n"]
@@ -282,15 +283,16 @@ def _shares(words: DataFrame) -> np.ndarray:
     return shares / shares.sum()
 
 
-def _tables(words: DataFrame, code: Code) -> list[np.ndarray]:
+def _tables(words: DataFrame, code: Code, times_col: str) -> list[np.ndarray]:
+    """Log-odds by predictor and slot, each word counted as often as ``times_col`` has it."""
     size = 1 << (TABLE_BITS + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(size, np.uint32) for _ in range(PREDICTORS)]
+        tables = [np.zeros(size, np.uint64) for _ in range(PREDICTORS)]
         for batch in batches:
             for w, c, m in _some(batch):
                 n, bit, _, slots = word_bits(w, c, code)
-                times = np.repeat(np.minimum(m, 1 << 20).astype(np.uint32), n)
+                times = np.repeat(m.astype(np.uint64), n)
                 for table, s in zip(tables, slots, strict=True):
                     np.add.at(table, s.astype(np.int64) * 2 + bit, times)
         for k, table in enumerate(tables):
@@ -302,10 +304,10 @@ def _tables(words: DataFrame, code: Code) -> list[np.ndarray]:
         total = np.zeros(COUNTER_BLOCK, np.uint64)
         for batch in batches:
             for c in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([log_odds(total).tobytes()], pa.binary())], names=["at", "odds"])
 
-    parts = words.select("word", "class", "m").coalesce(TRAINERS).mapInArrow(count, "at long, counts binary")
+    parts = words.select("word", "class", times_col).coalesce(TRAINERS).mapInArrow(count, "at long, counts binary")
     out = [np.full(size // 2, -128, np.int8) for _ in range(PREDICTORS)]
     # fixed size: PREDICTORS x 2**TABLE_BITS bytes in all
     for r in parts.groupBy("at").applyInArrow(add, "at long, odds binary").toLocalIterator():
@@ -358,6 +360,16 @@ def _fit_weights(words: DataFrame, shared) -> np.ndarray:
     return weights
 
 
+def learned(words: DataFrame) -> Model:
+    """The model of ``_word_counts``: weights from the calibration fold, then slots of all training documents."""
+    code = _code(words)
+    apart = Model(code, _tables(words, code, "m"), np.full((GATES, PREDICTORS), 0.3), _shares(words))
+    shared = words.sparkSession.sparkContext.broadcast(apart)
+    weights = _fit_weights(words, shared)
+    shared.unpersist()
+    return Model(code, _tables(words, code, "n"), weights, apart.shares)
+
+
 def word_hash(word: bytes) -> int:
     """Signed 64-bit hash, as Spark's and Arrow's longs are."""
     h = xxhash.xxh64_intdigest(word)
@@ -400,11 +412,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     words = stored(by_class.groupBy("word").agg(F.sum("n").alias("n")))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, vocabulary = int(totals[0]), int(totals[1])
-    code = _code(by_class)
-    model = Model(code, _tables(by_class, code), np.full((GATES, PREDICTORS), 0.3), _shares(by_class))
-    shared = spark.sparkContext.broadcast(model)
-    model.weights = _fit_weights(by_class, shared)
-    shared = spark.sparkContext.broadcast((model, _frequent(words, KNOWN)[:2]))
+    shared = spark.sparkContext.broadcast((learned(by_class), _frequent(words, KNOWN)[:2]))
     unit = float(np.log10(tokens + vocabulary + 1)) if tokens else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
