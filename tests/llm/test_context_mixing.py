@@ -93,3 +93,28 @@ def test_counts_are_whole(spark):
     apart = next(k for k in range(n[1]) if bit[k] != bit[n[0] + k])
     assert abs(int(x[0][apart])) == round(math.log(4) * c.UNIT)
     assert (x[0][n[0] + n[1] :] != -128).all()
+
+
+@pytest.mark.parametrize("doc", [[b"short"], [b"w%d" % (i * i % 7) for i in range(20)], [b"y" * 300, b"the", b"the", b"z" * 90], [b"w%d" % (i % 23) for i in range(150)]])
+def test_all_weights_are_refined_from_the_start(doc):
+    """Bit by bit: every predictor's weight of every gate, after the first piece, then at intervals of at most eight."""
+    m = model([b"the"])
+    n, sign, gate, x = m.inputs([*doc, b""], np.zeros(len(doc) + 1, int))
+    x = np.stack(x, 1).astype(float) / c.UNIT
+    pieces, at = [], 0
+    for size in n:
+        pieces += [(at + k, at + min(k + c.PIECE, size)) for k in range(0, size, c.PIECE)]
+        at += size
+    weights, total, t = m.weights.copy(), math.log(c.CLASSES), 0
+    while t < len(pieces):
+        until = t + min(max(t, 1), c.BLOCK)
+        gradient, met = np.zeros_like(weights), np.zeros(c.GATES)
+        for a, b in pieces[t:until]:
+            for i in range(a, b):
+                z = min(30, max(-30, sign[i] * (weights[gate[i]] @ x[i])))
+                total += math.log1p(math.exp(-z))
+                gradient[gate[i]] += sign[i] * x[i] * (1 - 1 / (1 + math.exp(-z)))
+                met[gate[i]] += 1
+        weights += c.RATE * gradient / (met + c.DAMPING)[:, None]
+        t = until
+    assert c.BLOCK <= 8 and c.code_lengths(m, [doc])[0] == pytest.approx(total, rel=1e-4)

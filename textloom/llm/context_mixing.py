@@ -5,8 +5,9 @@ its end.  Bytes are written in a binary code (Huffman, from the training words),
 bit is predicted from several hashed contexts: the word so far, and its last three, two and
 one bytes.  A context's prediction is the log-odds of the bits counted in its slot; a gate
 (the place in the word, and whether the word so far was met in training) selects the
-weights that combine the predictions, and within each document the weights of the two longest contexts are refined
-online, after every ``BLOCK`` words, by the gradient of that document's own code length.
+weights that combine the predictions, and within each document all weights, of each gate and predictor, are refined
+online by the gradient of that document's own code length: after its first word, and at growing
+intervals up to every ``BLOCK`` words.  Words of over ``PIECE`` bits count as several.
 The total of the bits' code lengths is the document's cost, and its log10 probability.
 
 Learning is additive and distributed: word counts are gathered from all training documents;
@@ -45,8 +46,8 @@ PREDICTORS = 4
 GATES = 8
 #: Document classes; class 0 has no characters beyond ASCII.
 CLASSES = 16
-#: Words after which a document's weights are refined, the step, and the predictors (the longest contexts) whose weights are.
-BLOCK, RATE, REFINED = 128, 2.0, 2
+#: Most pieces between two refinements of a document's weights, a piece's most bits, the step, and the bits that damp it.
+BLOCK, PIECE, RATE, DAMPING = 8, 256, 3.0, 300
 #: Words in work at once in a task.
 GROUP_WORDS = 120_000
 #: Counts of at most so many frequent words are sent to executors (12 bytes each).
@@ -190,35 +191,59 @@ def code_lengths(model: Model, docs: list[list[bytes]]) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     sequences = [s + begin[k] for s, k in zip(sequences, kinds, strict=True)]
     n, sign, gate, x = model.inputs([w for own in ids for w in own], np.repeat(np.arange(CLASSES), sizes))
-    offset = np.cumsum(n) - n
     # log-odds of the bit that is there, before refinement
     base = np.zeros(len(sign), np.float32)
     for k in range(PREDICTORS):
         base += x[k] * (model.weights[:, k] / UNIT).astype(np.float32)[gate]
     base *= sign
-    pairs = np.stack([x[k] * sign for k in range(REFINED)], 1).view(np.int16).ravel()
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    delta = np.zeros((REFINED, len(docs)), np.float32)
-    cost = -np.log(model.shares[kinds])
-    for t in range(0, max(map(len, sequences)), BLOCK):
-        active = [i for i in order if len(sequences[i]) > t]
-        parts = [sequences[i][t : t + BLOCK] for i in active]
-        words = np.concatenate(parts)
-        bits = n[words]
-        at = _spans(offset[words], bits)
-        in_doc = np.add.reduceat(bits, np.cumsum([0, *map(len, parts[:-1])]))
-        first = np.cumsum(in_doc) - in_doc
-        own = pairs[at].view(np.int8).reshape(-1, REFINED).T.astype(np.float32, order="C")
+    own = np.stack([x[k] * sign for k in range(PREDICTORS)], 1).view(np.int32).ravel()
+    # words are cut into pieces, and those into runs of bits with one gate
+    per_word = -(-n // PIECE)
+    word_piece = np.cumsum(per_word) - per_word
+    piece_at = np.repeat(np.cumsum(n) - n, per_word) + _spans(np.zeros(len(n), np.int64), per_word).astype(np.int64) * PIECE
+    piece_bits = np.diff(np.append(piece_at, len(sign)))
+    starts = np.ones(len(gate), bool)
+    starts[1:] = gate[1:] != gate[:-1]
+    starts[piece_at] = True
+    run_at = np.flatnonzero(starts)
+    run_bits, run_gate = np.diff(np.append(run_at, len(sign))), gate[run_at].astype(np.int64)
+    runs = np.add.reduceat(starts, piece_at, dtype=np.int64)
+    first_run = np.cumsum(runs) - runs
+    sequences = [_spans(word_piece[q], per_word[q]) for q in sequences]
+    order = np.array(sorted(range(len(docs)), key=lambda i: -len(sequences[i])))
+    sequences = [sequences[i] for i in order]
+    lengths = np.array(list(map(len, sequences)))
+    #: by predictor, and by document (longest first) and gate
+    delta = np.zeros((PREDICTORS, len(docs) * GATES), np.float32)
+    cost = np.zeros(len(docs))
+    t = 0
+    while t < lengths[0]:
+        until = t + min(max(t, 1), BLOCK)
+        active = int(np.searchsorted(-lengths, -t))
+        pieces = np.concatenate([q[t:until] for q in sequences[:active]])
+        sizes = np.minimum(lengths[:active], until) - t
+        bits, count = piece_bits[pieces], runs[pieces]
+        at, r = _spans(piece_at[pieces], bits), _spans(first_run[pieces], count)
+        cell = np.repeat(np.repeat(np.arange(active) * GATES, sizes), count) + run_gate[r]
+        length = run_bits[r]
+        begin = np.cumsum(length) - length
+        y = own[at].view(np.int8).reshape(-1, PREDICTORS).T.astype(np.float32, order="C")
         z = base[at]
         if t:
-            for k in range(REFINED):
-                z += own[k] * np.repeat(delta[k, active], in_doc)
+            for k in range(PREDICTORS):
+                z += y[k] * np.repeat(delta[k][cell], length)
         e = np.exp(-np.clip(z, -30, 30, out=z))
         e += 1
-        cost[active] += np.add.reduceat(np.log(e), first, dtype=np.float64)
-        own *= 1 - 1 / e
-        delta[:, active] += RATE / UNIT**2 * np.add.reduceat(own, first, axis=1) / (in_doc + 2_000)
-    return cost
+        in_doc = np.add.reduceat(bits, np.cumsum(sizes) - sizes)
+        cost[:active] += np.add.reduceat(np.log(e), np.cumsum(in_doc) - in_doc, dtype=np.float64)
+        y *= 1 - 1 / e
+        met = np.bincount(cell, length, active * GATES)
+        for k in range(PREDICTORS):
+            delta[k, : active * GATES] += RATE / UNIT**2 * np.bincount(cell, np.add.reduceat(y[k], begin), active * GATES) / (met + DAMPING)
+        t = until
+    out = -np.log(model.shares[kinds])
+    out[order] += cost
+    return out
 
 
 # ---------------------------------------------------------------- learning
