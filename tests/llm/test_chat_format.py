@@ -85,3 +85,28 @@ def test_query_equals_its_sql(spark, small):
     assert (got[want.columns] == want).all().all()
     plan = op10_chat_format(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_long_conversations_are_whole(spark):
+    """A text over the JSON parser's limit, and a conversation over the variant's."""
+    rows = spark.range(141).select((F.col("id") == 0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.expr("repeat('x', IF(id = 0, 21000000, 1000000))").alias("text"))
+    got = {r["conv_id"]: r for r in c.digests(c.format_turns(c.canonical(c.from_rows(rows), "record"))).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (1, 21_000_000)
+    assert (got[0]["n_turns"], got[0]["loss_chars"]) == (140, 140_000_000)
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"assistant\n" + b"x" * 21_000_000 + b"\n").hexdigest()
+
+
+def test_json_too_large_to_parse_fails(spark):
+    rows = spark.range(1).select(F.concat(F.lit('{"response": "a", "prompt": "'), F.expr("repeat('x', 21000000)"), F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="MALFORMED_RECORD|VARIANT"):
+        c.canonical(rows, "record").select(F.size("turns")).collect()
+
+
+def test_structs_are_mapped_as_json_is(spark):
+    for x, name, turns in LAYOUTS[:-1]:
+        kind = "struct<messages:array<struct<content:string,role:string>>>" if name == "messages" else None
+        row = spark.createDataFrame([(json.dumps(x),)], "record string")
+        kind = kind or spark.range(1).select(F.schema_of_json(F.lit(json.dumps(x)))).first()[0]
+        got = c.canonical(row.select(F.from_json("record", kind).alias("record")), "record").first()
+        assert got["layout"] == name and [tuple(t) for t in got["turns"]] == turns
+        assert got["fingerprint"] == c.canonical(row, "record").first()["fingerprint"]

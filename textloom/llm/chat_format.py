@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
-A record is a JSON object.  The nested field paths of a record (types aside) are hashed
+A record is a JSON object, or a struct column.  The nested field paths of a record (types aside) are hashed
 to a fingerprint, the fingerprint selects a declarative mapping, and the mapping turns
-the record into canonical turns ``array<struct<role, text>>``.  ``format_turns`` writes
+the record into canonical turns ``array<struct<role, text>>``.  A struct's fingerprint is that of
+its schema, and its fields are read as they are, whatever their size.  ``format_turns`` writes
 turns in one template and gives the loss mask as run lengths; ``read_back`` recovers the
 turns from the written string.
 
@@ -14,7 +15,8 @@ reading back gives exactly the text that was written.
 Defined results: null texts and roles count as empty; a record that is no JSON object, or whose
 fingerprint no mapping has, gets ``layout`` null and no turns; a record without turns is
 written as the empty string; rows with equal turn numbers are ordered by role and text, and
-repeated rows are all kept; an empty table gives an empty table; other columns are
+repeated rows are all kept; a JSON text too large to be parsed (a string of over 20 M characters,
+or a variant over its limit) fails, and so does a text of over ``SURE`` bytes that is no JSON; an empty table gives an empty table; other columns are
 passed through by ``canonical`` and ``format_turns``, whose own columns are named by the caller.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -32,6 +34,8 @@ CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 ESCAPE = "␛"
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 LOSS_ROLE = "assistant"
+#: No JSON text of at most so many bytes is over the parser's limits of size.
+SURE = 20_000_000
 
 _AT_CONTROL = "(?=" + "|".join("".join(f"\\{c}" if c in "|[]<>/" else c for c in s) for s in CONTROL) + ")(.)"
 _SCALAR = "(: |<)(?:VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|STRING|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|DECIMAL\\(\\d+,\\d+\\))(?=[,>])"
@@ -57,12 +61,13 @@ class Layout:
     def fingerprint(self) -> str:
         return sha256(self.shape.encode()).hexdigest()[:16]
 
-    def turns(self, record: Column) -> Column:
+    def turns(self, record: Column, parsed: bool = True) -> Column:
+        """Turns of a variant, or of a struct if not ``parsed``."""
         if self.array:
             path, role, text = self.array
-            listed = F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            return F.transform(listed, lambda t: F.struct(self._role(F.coalesce(t[role], F.lit(""))).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-        get = lambda name: F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(""))
+            listed = F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>") if parsed else record[path]
+            return F.transform(listed, lambda t: F.struct(self._role(F.coalesce(t[role].cast("string"), F.lit(""))).alias("role"), F.coalesce(t[text].cast("string"), F.lit("")).alias("text")))
+        get = lambda name: F.coalesce(F.try_variant_get(record, f"$.{name}", "string") if parsed else record[name].cast("string"), F.lit(""))
         turns = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*map(get, names)), lambda x: x != ""), "\n\n").alias("text")) for role, names in self.parts]
         # a system turn is there only if it says something
         return F.filter(F.array(*turns), lambda t: (t["role"] != "system") | (t["text"] != ""))
@@ -104,9 +109,27 @@ def fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(shape(record), 256), 1, 16)
 
 
+def schema_shape(kind: T.DataType) -> str:
+    """``shape`` of all records of a struct type."""
+    if isinstance(kind, T.StructType):
+        return "OBJECT<" + ", ".join(f"{f.name}: {schema_shape(f.dataType)}" for f in sorted(kind, key=lambda f: f.name)) + ">"
+    return f"ARRAY<{schema_shape(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+
+
 def canonical(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS, turns_col: str = "turns", layout_col: str = "layout", fingerprint_col: str = "fingerprint") -> DataFrame:
-    """``records`` with the fingerprint, the layout's name and the turns of each JSON record."""
-    parsed = records.withColumn("__record", F.try_parse_json(F.col(record_col)))
+    """``records`` with the fingerprint, the layout's name and the turns of each record."""
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, T.StructType):
+        key = sha256(schema_shape(kind).encode()).hexdigest()[:16]
+        turns = [(x.name, x.turns(F.col(record_col), parsed=False)) for x in layouts if x.fingerprint == key][-1:]
+        there = F.col(record_col).isNotNull()
+        return records.withColumns({
+            fingerprint_col: F.when(there, F.lit(key)),
+            layout_col: F.when(there, F.lit(turns[0][0])) if turns else F.lit(None).cast("string"),
+            turns_col: F.coalesce(turns[0][1].cast(TURNS), F.array().cast(TURNS)) if turns else F.array().cast(TURNS),
+        })
+    text = F.col(record_col)
+    parsed = records.withColumn("__record", F.when(F.octet_length(text) > SURE, F.parse_json(text)).otherwise(F.try_parse_json(text)))
     print_ = parsed.withColumn(fingerprint_col, fingerprint(F.col("__record")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
@@ -151,13 +174,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", record_col: str = "record") -> DataFrame:
-    """One JSON record of the ``turn_rows`` layout for each conversation of a table with a row for each turn.
+    """One record, a struct, of the ``turn_rows`` layout for each conversation of a table with a row for each turn.
 
     A conversation is one row from here on, as its written form is one string.
     """
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col(id_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return grouped.select(id_col, F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias(record_col))
+    return grouped.select(id_col, F.struct("turns").alias(record_col))
 
 
 def digests(rows: DataFrame, id_col: str = "conv_id", text_col: str = "formatted") -> DataFrame:
