@@ -42,3 +42,16 @@ def test_table(spark, small):
     assert h.extract(pages.limit(0)).count() == 0
     for r in h.extract(spark.read.parquet(f"{small}/pages.parquet")).limit(20).collect():
         assert r["text"] and "track(" not in r["text"] and "©" not in r["text"]
+
+
+@pytest.mark.parametrize(("inner", "text"), [
+    ("<p>a <svg width=1 /> b</p><p>c</p>", "a b\nc"), ("<p>a <math/> b</p><p>c</p>", "a b\nc"), ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+    *[(f"<p>a <{n} src=x> b</p><p>c</p>", "a b\nc") for n in "iframe object video audio canvas select svg noscript template".split()],
+    *[(f"<p>a <{n}>in <p>or <b>so</b></p></{n}> b</p><p>c</p>", "a b\nc") for n in "iframe video canvas".split()],
+    ("<p>a<svg><title>t</title><style/><svg><text>no</text></svg><text>no</text></svg></p><p>c</p>", "a\nc"), ("<p>a <select><option>x<option>y</select> b</p>", "a b"),
+    ("<p>a <object>lost</p><p>c</p><video></video><p>d</object></p>", "a\nc\nd"),
+    ('<p><img alt="5" tall"> b</p><p class="x">c</p>', "b\nc"), ("<p><a don't>b</a></p><p title='x>y'>c</p>", "b\nc"), ('<p>a <img alt="5> b</p><p>c</p>', "a b\nc"), ("<p>I </3 you> b</p><p>c</p>", "I b\nc"),
+    ('<p title = "1 > 0">a</p>', "a"), ("<p>" + '<i a="' * 3 + ">b</p>", "b"),
+])
+def test_nothing_else_is_dropped(inner, text):
+    assert h.main_text(f"<article>{inner}</article><footer>f</footer>") == text

@@ -7,8 +7,10 @@ other, and more so those under the same element, are joined by smoothness edges.
 minimum cut (by maximum flow) is the labelling of least total cost.
 
 Defined results: a null or empty page has no text; a page of which nothing looks like an
-article has the empty string; very long pages are read whole in one pass; unclosed and
-stray tags are tolerated; repeated rows give repeated results; an empty table gives an empty
+article has the empty string; very long pages are read whole; unclosed and
+stray tags are tolerated, but script, style, title, textarea and xmp run to their closing tag or
+the page's end, as in browsers; what an element of ``ASIDE`` holds isn't text of the page, and its tag
+is ignored if it closes itself or is never closed; text in math is kept; repeated rows give repeated results; an empty table gives an empty
 table; only the named columns are read, so others can't clash.
 """
 
@@ -24,7 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select datalist xmp".split())
+RAW = frozenset("script style textarea title xmp".split())
+#: Elements whose content is drawn otherwise or stands in for something else; it is parsed, but its text left out.
+ASIDE = frozenset("noscript template iframe object svg canvas audio video select datalist annotation annotation-xml".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE_NAMES = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,7 +49,10 @@ BAD_NAME = frozenset(
 )
 GOOD_NAME = frozenset("article articlebody body content entry main maincontent post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)>", re.S)
+#: Quotes count only as an attribute's value, after "=".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
+#: A tag whose quotes don't fit ends at the first ">".
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^>]*>")
 _NAMES = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -55,7 +63,7 @@ ADJACENT, SIBLING = 0.3, 0.7
 
 
 class _Element:
-    __slots__ = ("name", "parent", "score", "never", "article", "linked", "header")
+    __slots__ = ("name", "parent", "score", "never", "article", "linked", "header", "silent", "foreign")
 
     def __init__(self, name: str, parent: "_Element | None", attributes: str = ""):
         self.name, self.parent = name, parent
@@ -64,6 +72,8 @@ class _Element:
         self.article = parent.article if parent else False
         self.linked = name == "a" or bool(parent and parent.linked)
         self.header = name == "header" or bool(parent and parent.header)
+        self.foreign = name in FOREIGN or bool(parent and parent.foreign)
+        self.silent = name in ASIDE or name in RAW or bool(parent and parent.silent)
         if name in ARTICLE and not self.article:
             self.article = True
             self.score += IN_ARTICLE
@@ -103,12 +113,24 @@ class Block:
         return e.score + length + BIAS + PROSE * (e.name in PROSE_NAMES) - LINK_COST * self.links
 
 
+def _closed(html: str, name: str) -> set[int]:
+    """Where the start tags of the name stand that have a closing tag of their own."""
+    open_, out = [], set()
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", html, re.I):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            out.add(open_.pop())
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order."""
     out: list[Block] = []
     top = element = _Element("#page", None)
     pieces: list[tuple[str, bool]] = []
     at, end = 0, len(html)
+    closed: dict[str, set[int]] = {}
 
     def flush() -> None:
         if pieces:
@@ -126,15 +148,16 @@ def blocks(html: str) -> list[Block]:
         lt = html.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not element.silent:
             pieces.append((html[at:lt], element.linked))
         if lt == end:
             break
-        m = _TOKEN.match(html, lt)
+        m = _TOKEN.match(html, lt) or _LOOSE.match(html, lt)
         if not m:
             if html[lt + 1 : lt + 2].isalpha() or html[lt + 1 : lt + 2] == "/":
                 break  # a tag that never ends
-            pieces.append(("<", element.linked))
+            if not element.silent:
+                pieces.append(("<", element.linked))
             at = lt + 1
             continue
         at = m.end()
@@ -146,22 +169,29 @@ def blocks(html: str) -> list[Block]:
             while e is not top and e.name != name:
                 e = e.parent
             if e is not top:
-                if name in BLOCK:
+                if name in BLOCK and not (element.silent and e.silent):
                     flush()
                 element = e.parent
             continue
-        if name in RAW:
+        if name in RAW and not element.foreign:
             close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
             continue
+        if name in ASIDE:
+            if name not in closed:
+                closed[name] = _closed(html, name)
+            if lt not in closed[name]:
+                continue
         if name == "br":
-            pieces.append((" ", element.linked))
+            if not element.silent:
+                pieces.append((" ", element.linked))
             continue
         if name in BLOCK:
-            flush()
+            if not element.silent:
+                flush()
             ends = CLOSES.get(name, CLOSES["p"] if name not in ("html", "head", "body") else frozenset())
             e = element
-            while e is not top and e.name not in CONTAINER:
+            while e is not top and e.name not in CONTAINER and e.name not in ASIDE:
                 if e.name in ends:
                     element = e.parent
                 e = e.parent
