@@ -162,8 +162,18 @@ _POOLED = ", ".join(f"list_sum(list_transform(ids, lambda t: {_COMPONENT.format(
     SELECT doc_id, {', '.join(f'round(v{k} / size, {PLACES}) AS v{k}' for k in range(_DIMS))} FROM n
 """)
 def scatter_vectors(spark, d):
-    """Each distinct text is encoded once, and its vector goes to all documents with it; half of them come from the cache."""
-    encoder = encoders.HashEncoder(_DIMS, _LONGEST)
+    """``scatter_vectors_whole`` of texts clipped at ``_LONGEST`` tokens."""
+    return _scattered(spark, d, _LONGEST)
+
+
+@query()
+def scatter_vectors_whole(spark, d):
+    """Each distinct text is encoded once, from all its tokens, and its vector goes to all documents with it; half of them come from the cache."""
+    return _scattered(spark, d, (1 << 31) - 1)
+
+
+def _scattered(spark: SparkSession, d: str, longest: int) -> DataFrame:
+    encoder = encoders.HashEncoder(_DIMS, longest)
     docs = _read(spark, d, "documents", "doc_id", "text")
     warm = docs.where(F.col("doc_id") % 2 == 0).select(text.text_hash(F.col("text")).alias("sha"), "text").dropDuplicates(["sha"]).select("sha", encoder.dense(F.col("text")).alias("embedding"))
     out = dense.embed(docs, encoder.dense, warm)
@@ -403,6 +413,16 @@ def pad_mask(spark, d):
     return filled.select("doc_id", F.array_join("p", " ").alias("ids"), F.array_join("m", " ").alias("mask"), text.leading_ones(F.col("m")).alias("ones"))
 
 
+@query()
+def pad_mask_whole(spark, d):
+    """All tokens of each document, padded to the longest of its batch."""
+    ids = _read(spark, d, "documents").select("source", "doc_id", text.token_ids(F.col("text")).alias("ids"))
+    placed = ids.join(_packed(spark, d, "pack_padded").select("source", "doc_id", "batch"), ["source", "doc_id"])
+    widths = placed.groupBy("source", "batch").agg(F.max(F.size("ids")).alias("width"))
+    filled = placed.join(widths, ["source", "batch"]).select("source", "doc_id", "batch", "width", text.padded(F.col("ids"), F.col("width")).alias("p"), text.mask(F.col("ids"), F.col("width")).alias("m"))
+    return filled.select("source", "doc_id", "batch", "width", F.array_join("p", " ").alias("ids"), F.array_join("m", " ").alias("mask"), text.leading_ones(F.col("m")).alias("ones"))
+
+
 @query("SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3)::INT AS slot FROM documents")
 def round_robin(spark, d):
     from pyspark.sql import Window
