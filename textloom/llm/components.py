@@ -11,23 +11,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm import _text
 from textloom.llm._text import stored
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every node of an edge table of longs; component is the least id reachable.
 
-    Loops and repeated edges do no harm, edges with a null end are left out, and no edges
-    give an empty table.
+    Rounds go on until nothing changes, and a round's table is deleted when the next one is
+    written.  Loops and repeated edges do no harm, edges with a null end are left out, and no
+    edges give an empty table.
     """
     pairs = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("a") != F.col("b"))).distinct()
     now, before = stored(pairs), None
-    for _ in range(rounds):
+    while True:
+        path = _text.written[-1]
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
         now = stored(_small_star(_large_star(now)))
+        _text.drop(now.sparkSession, path)
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(now.select(F.col("a"), F.col("a")).distinct())
 
 

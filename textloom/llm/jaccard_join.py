@@ -2,21 +2,27 @@
 
 Two documents link when 100 x intersection >= percent x union of their shingle sets.
 
-Routing.  Equal sets are one class, and only one document of a class goes on.  Sets
-that link differ in at most (a + b)(100 - percent)/(100 + percent) shingles, so if a size level's
-shingles are dealt by hash to more segments than that, a linking pair has some segment in
-common; the sets' fingerprints by segment are the routing keys.  Segments with nothing in them say
-little, so there are a few segments more than needed and empty ones are used only by
-the rare set that has more of them than that.  Every pair of documents that shares a key is
-in one candidate component.
-
-Joining.  The documents of a candidate component are joined by signature trees: leaves
-hold documents with token bitmaps, nodes the OR of their children's bitmaps and the range
-of their set sizes, and a traversal of two trees at once drops pairs of nodes that
-can't reach the overlap needed.  Pairs of documents that are left are compared exactly.  Documents
-already connected aren't compared again, so a large group of near copies costs about its size.
-A component larger than a block is cut into blocks by size, and each pair of blocks that
-can hold linking sizes is a task of its own: no task takes more than two blocks.
+Classes.  Equal sets are one class, and only its least document goes on.
+
+Routing.  All shingles have one order: by how often they stand in the corpus, as a count
+sketch of fixed size estimates it, then by hash.  Sets that link have one of the first
+n - ceil(percent n / 100) + 1 shingles of each in common, whatever the order; rarest first, that
+says much, and a passage that many documents share says nothing.  These shingles are the
+routing keys.  The least document of a key is the centre of the others, and the
+documents of one centre are one group: every pair that shares a key is in a group, and
+groups aren't chained.
+
+Joining.  Groups are joined by signature trees: leaves hold documents with token
+bitmaps, nodes the OR of their children's bitmaps and the range of their set sizes, and a
+traversal of two trees at once drops pairs of nodes that can't reach the overlap needed.
+It runs over the bitmaps alone first, and only documents that may still link have
+their texts shuffled; then over the sets, and the pairs left are compared exactly.  Documents
+already connected aren't compared again.
+
+Large groups.  A group of more than a block is cut into blocks by size.  Each block is joined
+with the group's centre among it, and then only the documents that aren't in the
+group's largest component yet are compared with all of its blocks.  So near copies of one text cost
+their number, no task takes more than two blocks, and no pair is left out.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text
 of fewer words than a shingle has its whole sequence as one; rows without an id get a
@@ -27,76 +33,51 @@ the id and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.llm._text import WordHashes, mix64, shingles, space_words, stored
 from textloom.llm.components import components
 
 WIDTH, PERCENT = 3, 90
-#: Sizes from LEVEL**k to LEVEL**(k+1) are one level.
-LEVEL = 1.35
-#: Documents and shingles of a candidate component in one block.
+#: Documents and shingles of a group in one block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Cells of the count sketch, of which every executor gets 2 bytes each, and cells in one row of it.
+CELL_BITS, CELL_ROW = 22, 1 << 16
 #: Buckets of ids of which a set is sent to every executor, to leave out texts before they're shuffled.
 BUCKETS = 1 << 20
 LEAF = 8
+#: Least and most bits of a bitmap; between them it has four to eight for each shingle.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
 
+# ---------------------------------------------------------------- order and routing
 
-def level(n: int) -> int:
-    return int(math.log(n) / math.log(LEVEL) + 1e-9)
 
+def cells(s: np.ndarray) -> np.ndarray:
+    return (mix64(s) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-def spare(segments: int) -> int:
-    """Segments beyond those needed, for empty ones."""
-    return 2 + segments // 64
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit numbers in the same order: exact below 1024, and by logarithm above."""
+    c = np.maximum(counts.astype(np.float64), 1)
+    return np.where(c < 1024, counts, np.minimum(1024 * (np.log2(c) - 9), 65_535)).astype(np.uint16)
 
-def segments(at: int, percent: int) -> int:
-    """Segments of a level: more than the shingles in which linking sets can differ whose smaller one is of the level."""
-    largest = math.ceil(LEVEL ** (at + 1))
-    differ = largest * (1 + 100 / percent) * (100 - percent) / (100 + percent)
-    need = int(differ + 1e-9) + 1
-    return need + spare(need)
 
+def routing_keys(s: np.ndarray, percent: int, order: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set, rarest first, of which two sets that link have one in common.
 
-def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: two sets that link have one in common."""
+    Those that stand once in the corpus are left out; without ranks the order is by hash alone.
+    """
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
-    own = level(n)
-    levels = [own]
-    # as the larger one of a pair: the smaller one has at least this many
-    least = max(1, -(-n * percent // 100))
-    levels += range(level(least), own)
-    out = []
-    mixed = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
-    for at in levels:
-        k = segments(at, percent)
-        place = (mixed % np.uint64(k)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        counts = np.bincount(place, minlength=k)
-        filled = np.flatnonzero(counts)
-        starts = np.concatenate([[0], np.cumsum(counts)])[filled]
-        sums = np.zeros(k, np.uint64)
-        sums[filled] = np.add.reduceat(s[order], starts)
-        tag = np.uint64((at + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        keys = mix64(mix64(sums + np.arange(k, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ tag)
-        need = k - spare_of(k)
-        out.append(keys if k - len(filled) > spare_of(k) else keys[filled])
-        assert need > 0
-    return np.concatenate(out)
-
-
-def spare_of(k: int) -> int:
-    """How many of a level's k segments are spare."""
-    need = next(x for x in range(k, 0, -1) if x + spare(x) <= k)
-    return k - need
+        return s
+    rank = np.zeros(n, np.uint16) if order is None else order[cells(s)]
+    first = np.argsort(rank, kind="stable")[: n - -(-percent * n // 100) + 1]
+    return s[first[rank[first] != 1]]
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -104,28 +85,87 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+# ---------------------------------------------------------------- signature trees
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set as 64-bit words; one of half the length is the OR of its halves."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length()))
+    flags = np.zeros(bits, bool)
+    flags[(s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
 class Tree:
-    """Signature tree over sets, given by indexes in order of size."""
-
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
-        most = max(len(sets[i]) for i in members)
-        self.bits = 1 << min(14, max(8, (4 * most - 1).bit_length()))
-        self.sets, self.members = sets, members
-        self.sizes = np.array([len(sets[i]) for i in members])
-        words = self.bits // 64
-        self.maps = np.zeros((len(members), words), np.uint64)
-        for row, i in enumerate(members):
-            bit = (sets[i] % np.uint64(self.bits)).astype(np.int64)
-            np.bitwise_or.at(self.maps[row], bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    """Signature tree over members (in order of size) of given set sizes and bitmaps of equal length."""
+
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+        self.members, starts = members, np.arange(0, len(members), LEAF)
         #: shingles beyond one for each bit that is set
-        self.extra = self.sizes - np.bitwise_count(self.maps).sum(1)
-        starts = np.arange(0, len(members), LEAF)
-        #: levels from the leaves up: bitmap, least and largest size, most extra
-        self.levels = [(np.bitwise_or.reduceat(self.maps, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts), np.maximum.reduceat(self.extra, starts))]
-        while len(self.levels[-1][0]) > 1:
+        extra = sizes - np.bitwise_count(maps).sum(1)
+        #: from the members up: bitmap, least and largest size, most extra
+        self.levels = [(maps, sizes, sizes, extra)]
+        while len(starts) and (len(self.levels) == 1 or len(self.levels[-1][0]) > 1):
             maps, low, high, extra = self.levels[-1]
-            at = np.arange(0, len(maps), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
+            starts = np.arange(0, len(maps), LEAF)
+            self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(extra, starts)))
+
+    def children(self, level: int, node: int) -> np.ndarray:
+        return np.arange(node * LEAF, min((node + 1) * LEAF, len(self.levels[level - 1][0])))
+
+
+def _possible(x: Tree, la: int, a: np.ndarray, y: Tree, lb: int, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of nodes may hold a pair that links: sizes near enough, and enough bits in common."""
+    maps_a, low_a, high_a, extra_a = (t[a] for t in x.levels[la])
+    maps_b, low_b, high_b, extra_b = (t[b] for t in y.levels[lb])
+    near = (high_a[:, None] * 100 >= low_b * percent) & (high_b * 100 >= low_a[:, None] * percent)
+    if near.any():
+        common = np.bitwise_count(maps_a[:, None] & maps_b[None]).sum(2) + np.minimum(extra_a[:, None], extra_b)
+        near &= common >= needed(low_a[:, None], low_b, percent)
+    return near
+
+
+Visit = Callable[[np.ndarray, np.ndarray, np.ndarray], None]
+
+
+def walk(x: Tree, y: Tree, percent: int, visit: Visit) -> None:
+    """Traverse two trees (or one with itself) at once; ``visit`` gets members of two leaves and which pairs of them may link."""
+    same = x is y
+    stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
+    while stack:
+        la, a, lb, b = stack.pop()
+        down_a, down_b = la >= lb, lb >= la
+        i, j = x.children(la, a) if down_a else np.array([a]), y.children(lb, b) if down_b else np.array([b])
+        pairs = _possible(x, la - down_a, i, y, lb - down_b, j, percent)
+        if same and a == b:
+            pairs = np.triu(pairs, 1 if la == 1 else 0)
+        if la <= 1 and lb <= 1:
+            if pairs.any():
+                visit(x.members[i], y.members[j], pairs)
+        else:
+            stack += [(la - down_a, int(i[p]), lb - down_b, int(j[q])) for p, q in np.argwhere(pairs)]
+
+
+def traverse(sizes: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, visit: Visit) -> None:
+    """Walk the trees of ``left`` with themselves, or with those of ``right``; members of one bitmap length are a tree."""
+
+    def trees(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        length = np.array([len(maps[r]) for r in rows])
+        return {int(k): (rows[length == k], np.stack([maps[r] for r in rows[length == k]])) for k in np.unique(length)}
+
+    def tree(members: np.ndarray, bitmaps: np.ndarray, words: int) -> Tree:
+        return Tree(members, sizes[members], np.bitwise_or.reduce(bitmaps.reshape(len(members), -1, words), 1))
+
+    ours = trees(left)
+    theirs = ours if right is None else trees(right)
+    for k, (u, of_u) in ours.items():
+        for m, (v, of_v) in theirs.items():
+            # sizes are in order, so the last one is the largest
+            if (right is None and k > m) or sizes[u[-1]] * 100 < sizes[v[0]] * percent or sizes[v[-1]] * 100 < sizes[u[0]] * percent:
+                continue
+            x = tree(u, of_u, min(k, m))
+            walk(x, x if u is v else tree(v, of_v, min(k, m)), percent, visit)
 
 
 class Groups:
@@ -146,59 +186,37 @@ class Groups:
             self.up[max(a, b)] = min(a, b)
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links among ``left``, or between ``left`` and ``right``, that connect what all links would connect."""
-    by_size = lambda rows: rows[np.argsort([len(sets[i]) for i in rows], kind="stable")]
-    x = Tree(sets, by_size(left))
-    y = x if right is None else Tree(sets, by_size(right))
-    if x.bits != y.bits:
-        both = np.concatenate([left, right])
-        return _between(sets, by_size(both), set(left.tolist()), percent)
-    groups, out = Groups(len(sets)), []
-    _walk(x, y, right is None, groups, out, percent)
-    return out
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members have another one that the bitmaps let them link with."""
+    out = np.zeros(len(sizes), bool)
 
+    def visit(u: np.ndarray, v: np.ndarray, pairs: np.ndarray) -> None:
+        out[u] |= pairs.any(1)
+        out[v] |= pairs.any(0)
 
-def _between(sets, members, first: set[int], percent: int) -> list[tuple[int, int]]:
-    """Two sides whose sizes ask for other bitmaps share one tree."""
-    tree, groups, out = Tree(sets, members), Groups(len(sets)), []
-    _walk(tree, tree, True, groups, out, percent, first)
+    traverse(sizes, maps, np.arange(len(sizes)), None, percent, visit)
     return out
 
 
-def _walk(x: Tree, y: Tree, same: bool, groups: Groups, out: list, percent: int, first: set[int] | None = None) -> None:
-    stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
-    while stack:
-        la, a, lb, b = stack.pop()
-        maps_a, low_a, high_a, extra_a = (t[a] for t in x.levels[la])
-        maps_b, low_b, high_b, extra_b = (t[b] for t in y.levels[lb])
-        # sizes too far apart, or too few bits in common, for any pair below
-        if high_a * 100 < low_b * percent or high_b * 100 < low_a * percent:
-            continue
-        if int(np.bitwise_count(maps_a & maps_b).sum()) + min(extra_a, extra_b) < needed(int(low_a), int(low_b), percent):
-            continue
-        if la == 0 and lb == 0:
-            _leaves(x, a, y, b, same, groups, out, percent, first)
-        elif la >= lb and la > 0:
-            stack += [(la - 1, c, lb, b) for c in range(a * LEAF, min((a + 1) * LEAF, len(x.levels[la - 1][0]))) if not same or la > lb or c <= (b + 1) * LEAF]
-        else:
-            stack += [(la, a, lb - 1, c) for c in range(b * LEAF, min((b + 1) * LEAF, len(y.levels[lb - 1][0])))]
+def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links among ``left``, or between ``left`` and ``right``: all, or so many that they connect what all would."""
+    groups, out = Groups(len(sets)), []
+    sizes = np.array(list(map(len, sets)), np.int64)
+
+    def visit(u: np.ndarray, v: np.ndarray, pairs: np.ndarray) -> None:
+        for p, q in np.argwhere(pairs):
+            a, b = int(u[p]), int(v[q])
+            if not every and groups.find(a) == groups.find(b):
+                continue
+            if len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= needed(len(sets[a]), len(sets[b]), percent):
+                groups.join(a, b)
+                out.append((a, b))
+
+    traverse(sizes, [signature(s) for s in sets], left, right, percent, visit)
+    return out
 
 
-def _leaves(x: Tree, a: int, y: Tree, b: int, same: bool, groups: Groups, out: list, percent: int, first: set[int] | None) -> None:
-    if same and a > b:
-        return
-    i, j = slice(a * LEAF, (a + 1) * LEAF), slice(b * LEAF, (b + 1) * LEAF)
-    common = np.bitwise_count(x.maps[i][:, None] & y.maps[j][None]).sum(2) + np.minimum(x.extra[i][:, None], y.extra[j][None])
-    least = needed(x.sizes[i][:, None], y.sizes[j][None], percent)
-    for p, q in np.argwhere(common >= least).tolist():
-        u, v = int(x.members[a * LEAF + p]), int(y.members[b * LEAF + q])
-        if (same and a == b and p >= q) or (first is not None and (u in first) == (v in first)) or groups.find(u) == groups.find(v):
-            continue
-        su, sv = x.sets[u], y.sets[v]
-        if len(np.intersect1d(su, sv, assume_unique=True)) >= least[p, q]:
-            groups.join(u, v)
-            out.append((u, v))
+# ---------------------------------------------------------------- sets of documents
 
 
 def _shingle_sets(texts: pa.Array, words: WordHashes, width: int) -> Iterator[np.ndarray]:
@@ -207,63 +225,82 @@ def _shingle_sets(texts: pa.Array, words: WordHashes, width: int) -> Iterator[np
             yield shingles(words.of(space_words(t.as_py())), width)
 
 
-def _routed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, keys): set size, 128-bit fingerprint of the set, routing keys."""
+def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    with np.errstate(over="ignore"):
+        return mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
+
+
+def _measured(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n, f1, f2): set size and 128-bit fingerprint of the set; and rows (at, counts) of each task's part of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sketch = WordHashes(), np.zeros(1 << CELL_BITS, np.uint32)
+        names = ["id", "n", "f1", "f2", "at", "counts"]
+        for batch in batches:
+            n, prints = [], []
+            for s in _shingle_sets(batch.column(1), words, width):
+                n.append(len(s))
+                prints.append(fingerprint(s))
+                np.add.at(sketch, cells(s), np.uint32(1))
+            p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+        for at in range(0, len(sketch), CELL_ROW):
+            row = sketch[at : at + CELL_ROW]
+            if row.any():
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([at], pa.int64()), pa.array([zlib.compress(row.tobytes(), 1)], pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, at long, counts binary")
+
+
+def _order(parts: DataFrame) -> np.ndarray:
+    """The sketch of all tasks as ranks: 2 bytes a cell, whatever the corpus."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELL_ROW, np.uint64)
+        for batch in batches:
+            for c in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([ranks(total).tobytes()], pa.binary())], names=["at", "ranks"])
+
+    out = np.zeros(1 << CELL_BITS, np.uint16)
+    for r in parts.groupBy("at").applyInArrow(add, "at long, ranks binary").toLocalIterator():
+        out[r["at"] : r["at"] + CELL_ROW] = np.frombuffer(r["ranks"], np.uint16)
+    return out
+
+
+def _routed(docs: DataFrame, order: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(id, n, f1, f2, map, keys) of documents that have an id and a set."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            n, prints, keys, offsets = [], [], [], [0]
+            n, prints, maps, keys, offsets = [], [], [], [], [0]
             for s in _shingle_sets(batch.column(1), words, width):
-                with np.errstate(over="ignore"):
-                    n.append(len(s))
-                    prints.append((mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)))
-                    keys.append(routing_keys(s, percent))
+                n.append(len(s))
+                prints.append(fingerprint(s))
+                maps.append(signature(s).tobytes() if len(s) else None)
+                keys.append(routing_keys(s, percent, shared.value))
                 offsets.append(offsets[-1] + len(keys[-1]))
             p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "f1", "f2", "map", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.where(F.col("id").isNotNull()).mapInArrow(run, "id long, n long, f1 long, f2 long, map binary, keys array<long>").where("n > 0")
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """From each key's least id an edge to its other ids.
+# ---------------------------------------------------------------- groups of candidates
 
-    Keys are dealt once, sorted, and streamed a batch at a time, so a frequent key costs its rows and no memory.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, least = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            at = np.flatnonzero(new)
-            heads = ids[at]
-            if keys[0] == key:
-                heads[0] = least
-            of = np.repeat(heads, np.diff(np.concatenate([at, [len(keys)]])))
-            key, least = keys[-1], heads[-1]
-            other = of != ids
-            yield pa.RecordBatch.from_arrays([pa.array(of[other]), pa.array(ids[other])], names=["src", "dst"])
-
-    return keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "src long, dst long").distinct()
-
-
-def _block_links(width: int, percent: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        with np.errstate(over="ignore"):
-            sets = list(_shingle_sets(table["text"], WordHashes(), width))
-        ids, side = table["id"].to_pylist(), table["side"].to_numpy()
-        rows = np.arange(len(ids))
-        # a pair of blocks, or one block with itself; links within a block are found by its own task
-        found = links(sets, rows[side == 0], rows[side == 1] if (side == 1).any() else None, percent) if (side == 0).any() else []
-        return pa.table({"src": pa.array([ids[a] for a, _ in found], pa.int64()), "dst": pa.array([ids[b] for _, b in found], pa.int64())})
+def _members(reps: DataFrame) -> DataFrame:
+    """(centre, id): the documents of each group, the centre included.
 
-    return run
+    Centres are found by a map-side minimum, and the join with them is one that adaptive execution splits where a key is frequent.
+    """
+    keyed = reps.select("id", F.explode("keys").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
+    others = keyed.join(centres, "key").where("id > centre").select("centre", "id").distinct()
+    return stored(others.union(others.select("centre", "centre").distinct()))
 
 
 def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -277,55 +314,142 @@ def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return near.join(chosen, "id")
 
 
+def _alive(percent: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        maps = [np.frombuffer(m.as_py(), np.uint64) for m in table["map"]]
+        return table.select(["centre", "id", "n"]).filter(pa.array(may_link(table["n"].to_numpy(), maps, percent)))
+
+    return run
+
+
+def _block_links(width: int, percent: int, every: bool):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sets = list(_shingle_sets(table["text"], WordHashes(), width))
+        ids, side = table["id"].to_pylist(), table["side"].to_numpy()
+        # an id may have rows without shingles besides the one that is a candidate
+        rows = np.flatnonzero(np.fromiter(map(len, sets), np.int64, len(sets)))
+        side = side[rows]
+        # among one block, or between documents of one (side 0) and all of one (side 1)
+        one = not (side == 0).any()
+        found = [] if not (side == 1).any() else links(sets, rows if one else rows[side == 0], None if one else rows[side == 1], percent, every)
+        return pa.table({"src": pa.array([ids[a] for a, _ in found], pa.int64()), "dst": pa.array([ids[b] for _, b in found], pa.int64())})
+
+    return run
+
+
+def _joined(docs: DataFrame, rows: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
+    """Links of tasks: rows are (id, centre, block, other, side)."""
+    texts = _texts_of(docs, rows)
+    found = texts.groupBy("centre", "block", "other").applyInArrow(_block_links(width, percent, every), "src long, dst long")
+    return stored(found.where("src != dst"))
+
+
+def _blocks(large: DataFrame, totals: DataFrame) -> DataFrame:
+    """(centre, id, n, block) of large groups: blocks are ranges of size, found from counts of sizes, not by a sort of documents."""
+    counts = large.groupBy("centre", "n").agg(F.count(F.lit(1)).alias("c")).join(totals, "centre")
+    w = Window.partitionBy("centre").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("c").over(w) - F.col("c")
+    span = F.col("docs") / F.col("blocks")
+    last = F.least(F.floor((before + F.col("c") - 1) / span), F.col("blocks") - 1)
+    ranges = counts.select("centre", "n", F.floor(before / span).cast("int").alias("b0"), last.cast("int").alias("b1"))
+    block = F.col("b0") + F.pmod(F.xxhash64("id"), F.col("b1") - F.col("b0") + 1).cast("int")
+    return stored(large.join(ranges, ["centre", "n"]).select("centre", "id", "n", block.alias("block")))
+
+
+def _tree_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
+    members = _members(reps).join(reps.select("id", "n", "map"), "id")
+    totals = members.groupBy("centre").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    n_blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    totals = stored(totals.withColumn("blocks", n_blocks))
+    of_large = totals.where("blocks > 1").select("centre")
+    small = members.join(of_large, "centre", "left_anti").select("centre", "id", "n", "map")
+    alive = stored(small.groupBy("centre").applyInArrow(_alive(percent), "centre long, id long, n long"))
+    one = F.lit(0).alias("block"), F.lit(0).alias("other"), F.lit(1).alias("side")
+    rows = alive.select("id", "centre", *one).distinct()
+    large = members.join(of_large, "centre", "left_semi").select("centre", "id", "n")
+    if totals.where("blocks > 1").isEmpty():
+        return _joined(docs, rows, width, percent, every)
+    placed = _blocks(large, totals.where("blocks > 1"))
+    sizes = stored(placed.groupBy("centre", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    if every:
+        return _joined(docs, rows, width, percent, every).union(_across(docs, placed, placed, sizes, width, percent, every))
+    # the centre goes to every block, and is the first to connect what is near it
+    in_block = placed.select("id", "centre", "block", one[1], one[2]).union(sizes.select(F.col("centre").alias("id"), "centre", "block", one[1], one[2])).distinct()
+    first = _joined(docs, rows.union(in_block), width, percent, every)
+    whole = components(first)
+    labelled = stored(placed.join(whole, "id", "left").select("centre", "id", "block", F.coalesce("component", "id").alias("component")))
+    main = labelled.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    apart = labelled.join(main, "centre").where("component != main").select("centre", "id", "block")
+    return first.union(_across(docs, apart, placed, sizes, width, percent, every))
+
+
+def _across(docs: DataFrame, some: DataFrame, placed: DataFrame, sizes: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
+    """Links between some documents of large groups and all of them, a pair of blocks at a time."""
+    some = stored(some.select("centre", "id", "block"))
+    ours = some.select("centre", "block").distinct().join(sizes, ["centre", "block"])
+    theirs = sizes.select("centre", *[F.col(c).alias(f"o{c}") for c in ("block", "low", "high")])
+    near = (F.col("high") * 100 >= F.col("olow") * percent) & (F.col("ohigh") * 100 >= F.col("low") * percent)
+    tasks = stored(ours.join(theirs, "centre").where(near).select("centre", "block", F.col("oblock").alias("other")))
+    if every:
+        tasks = tasks.where("block <= other")
+    left = some.join(tasks, ["centre", "block"]).select("id", "centre", "block", "other", F.lit(0).alias("side"))
+    right = placed.select("id", "centre", F.col("block").alias("other")).join(tasks, ["centre", "other"]).select("id", "centre", "block", "other", F.lit(1).alias("side"))
+    return _joined(docs, left.union(right), width, percent, every)
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their (id, n, rep), and the representatives with bitmaps and keys."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    measured = stored(_measured(docs, width))
+    order = _order(measured.where("at is not null").select("at", "counts"))
+    sized = measured.where("at is null").select("id", "n", "f1", "f2")
+    there = sized.where("n > 0 and id is not null")
+    # one document for each set; rows with the same id and different sets are joined later
+    sets = stored(there.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
+    reps = stored(_routed(docs, order, width, percent).join(sets.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "map", "keys"))
+    classed = sized.join(sets, ["n", "f1", "f2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
+    return docs, classed, reps
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles (long), component_id (long): the least id that links reach, the document's own included.
 
     Ids are whole numbers.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    routed = stored(_routed(docs, width, percent))
-    # one document for each set; rows with the same id and different sets are joined below
-    sets = stored(routed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    reps = routed.join(sets.select("n", "f1", "f2", F.col("rep").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", F.explode("keys").alias("key"))
-    near = stored(_stars(reps))
-    candidates = components(near)
-    found = _tree_links(docs, routed, candidates, width, percent)
-    shared = routed.where((F.col("n") > 0) & F.col("id").isNotNull()).join(sets, ["n", "f1", "f2"]).select("id", "n", "rep")
-    whole = components(found.union(shared.where(F.col("id") != F.col("rep")).select(F.col("rep"), F.col("id"))))
-    out = routed.select("id", "n").join(whole, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-
-
-def _tree_links(docs: DataFrame, routed: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    sized = stored(candidates.join(routed.groupBy("id").agg(F.max("n").alias("n")), "id"))
-    totals = sized.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    n_blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    large = totals.withColumn("blocks", n_blocks).where(F.col("blocks") > 1)
-    # blocks of a large component are ranges of size: its sizes are counted, not its documents sorted
-    from pyspark.sql import Window
-
-    counts = sized.join(large.select("component", "blocks"), "component").groupBy("component", "blocks", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("component")
-    upto = F.sum("c").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = counts.withColumn("before", upto - F.col("c")).withColumn("all", F.sum("c").over(w))
-    span = F.col("all") / F.col("blocks")
-    ranges = stored(dealt.select("component", "n", "c", F.floor(F.col("before") / span).cast("int").alias("b0"), F.least(F.floor((F.col("before") + F.col("c") - 1) / span), F.col("blocks") - 1).cast("int").alias("b1")))
-    placed = sized.join(ranges, ["component", "n"], "left").select("component", "id", "n", F.when(F.col("b0").isNull(), 0).otherwise(F.col("b0") + F.pmod(F.xxhash64("id"), F.col("b1") - F.col("b0") + 1)).cast("int").alias("block"))
-    placed = stored(placed)
-    block_sizes = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = (block_sizes.select("component", *[F.col(c).alias(f"{c}{k}") for c in ("block", "low", "high")]) for k in (0, 1))
-    tasks = stored(x.join(y, "component").where((F.col("block0") <= F.col("block1")) & (F.col("high0") * 100 >= F.col("low1") * percent) & (F.col("high1") * 100 >= F.col("low0") * percent)).select("component", "block0", "block1"))
-    sides = F.explode(F.array(F.struct(F.col("block0").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block1").alias("block"), F.lit(1).alias("side")))).alias("s")
-    wanted = tasks.select("component", "block0", "block1", sides).select("component", "block0", "block1", "s.*").where((F.col("side") == 0) | (F.col("block0") != F.col("block1")))
-    rows = placed.join(wanted, ["component", "block"]).select("id", "component", "block0", "block1", "side")
-    texts = _texts_of(docs, rows)
-    grouped = texts.groupBy("component", "block0", "block1").applyInArrow(_block_links(width, percent), "src long, dst long")
-    return stored(grouped)
+    docs, classed, reps = _prepared(docs, id_col, text_col, width, percent)
+    found = _tree_links(docs, reps, width, percent, False)
+    # an id with several sets links their representatives
+    several = classed.where("rep is not null").groupBy("id").agg(F.min("rep").alias("src"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    whole = components(found.union(several.select("src", F.explode("reps").alias("dst"))))
+    labelled = classed.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", F.coalesce("component", "rep", "id").alias("label"))
+    # rows of one id may have no shingles, or several sets
+    labelled = stored(labelled)
+    out = labelled.join(labelled.groupBy("id").agg(F.min("label").alias("least")), "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All pairs (src < dst) of class representatives that link, and the membership (id, rep) of documents with shingles.
+
+    A class is the documents of one set, and its representative the least id.  Unlike ``classes``, no pair is
+    skipped for being connected by others, so a group of near copies gives as many rows as it has links.
+    """
+    docs, classed, reps = _prepared(docs, id_col, text_col, width, percent)
+    found = _tree_links(docs, reps, width, percent, True)
+    pairs = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return pairs, classed.where("rep is not null").select(F.col("id").alias(id_col), "rep").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's least, once each, and all rows without an id."""
+    """The rows of ``docs`` whose id is its component's least, once each, and all rows without an id.
+
+    Only ids decide; a row's text moves only to meet them, and is sorted out only where its id has several rows.
+    """
     found = classes(docs, id_col, text_col, **options)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return one.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    first = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")))
+    once = docs.join(first.where("rows = 1").select(id_col), id_col, "left_semi")
+    again = docs.join(first.where("rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return once.union(again).union(docs.where(F.col(id_col).isNull())).select(docs.columns)
