@@ -54,7 +54,7 @@ def test_gradients_are_those_of_the_loss():
     w = {k: v.astype(np.float64) for k, v in cnn.start(3).items()}
     raws, y = [b"hello world " * 30, b"%%% $$$", b"x" * 200], np.array([1.0, 0.0, 1.0])
     b, chunks = cnn.padded(raws)
-    loss = lambda v: float(-np.mean(y * np.log(p := cnn.probability(v, cnn.features(cnn.chunk_maxima(v, b), chunks))) + (1 - y) * np.log(1 - p)))
+    loss = lambda v: float(-np.mean(y * np.log(p := cnn.probability(v, cnn.features(cnn.chunk_maxima(v, b, chunks), chunks))) + (1 - y) * np.log(1 - p)))
     g = cnn._gradients(w, b, chunks, y)
     rng = np.random.default_rng(0)
     for name, value in w.items():
@@ -78,6 +78,51 @@ def test_long_texts_are_scored_as_if_in_one_piece(monkeypatch):
     assert np.allclose(cnn.predict(w, raws), whole, atol=1e-5)
 
 
+def test_scores_depend_on_the_text_alone(monkeypatch):
+    w = cnn.start(5)
+    r = random.Random(4)
+    raws = [bytes(r.choices(range(1, 256), k=n)) for n in [0, 1, 5, 122, 123, 126, 127, 128, 129, 256, 1000, 70_000] * 8]
+    whole = cnn.predict(w, raws)
+    alone = np.concatenate([cnn.predict(w, [x]) for x in raws])
+    assert (whole == alone).all()
+    order = r.sample(range(len(raws)), len(raws))
+    assert (cnn.predict(w, [raws[i] for i in order]) == whole[order]).all()
+    for block in (1 << 12, 1 << 15):
+        monkeypatch.setattr(cnn, "BLOCK", block)
+        assert (cnn.predict(w, raws) == whole).all()
+
+
+def brute_score(w, raw):
+    """The network for one text, window by window in plain loops."""
+    n = max(1, -(-len(raw) // cnn.CHUNK)) * cnn.CHUNK
+    b = np.frombuffer(raw.ljust(n, b"\0"), np.uint8)
+    best = np.full((n // cnn.CHUNK, cnn.FILTERS), -np.inf)
+    for at in range(0, n - cnn.WIDTH + 1, cnn.STRIDE):
+        x = np.concatenate([w["embed"][c] for c in b[at : at + cnn.WIDTH]])
+        best[at // cnn.CHUNK] = np.maximum(best[at // cnn.CHUNK], x @ w["filters"])
+    best = np.maximum(best + w["filter_bias"], 0)
+    pairs = [np.maximum(best[k], best[min(k + 1, len(best) - 1)]) for k in range(len(best))]
+    h = np.maximum(np.concatenate([np.max(pairs, 0), np.mean(pairs, 0)]) @ w["hidden"] + w["hidden_bias"], 0)
+    return 1 / (1 + np.exp(-(h @ w["out"] + w["out_bias"][0])))
+
+
+def test_scores_equal_brute_force():
+    w = cnn.start(9)
+    r = random.Random(6)
+    raws = [bytes(r.choices(range(256), k=n)) for n in (0, 1, 7, 127, 128, 130, 600)]
+    assert np.allclose(cnn.predict(w, raws), [brute_score(w, x) for x in raws], atol=1e-5)
+
+
+def test_rows_and_columns_beside_do_not_matter(spark, tables):
+    docs, labels = tables
+    docs = docs.select("doc_id", "text")
+    a = {(r["doc_id"], r["score"]) for r in cnn.scores(docs.repartition(7, "text"), labels).collect()}
+    b = {(r["doc_id"], r["score"]) for r in cnn.scores(docs.orderBy("text").coalesce(1), labels).collect()}
+    assert a == b
+    named = docs.withColumn("__score", docs.doc_id)
+    assert cnn.apply(named, labels).columns == named.columns
+
+
 def test_pairs_of_terms_are_learned():
     r = random.Random(0)
     filler = [f"w{i}" for i in range(60)]

@@ -121,3 +121,11 @@ def held_out(id_column, modulus: int, remainder: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")) % modulus == remainder
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -14,11 +14,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, l
     """Up to ``most`` (text, label) of labelled rows outside the held-out fold, in an order that depends on ids alone.
 
     Rows without a label or an id, and texts of over ``longest`` characters, are not
-    learned from, so the sample's size is bounded by most x longest.
+    learned from, so the sample's size is bounded by most x longest.  An id counts once: with the largest of its
+    labels and the least of its texts.
     """
     fit = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"), FOLDS, 0))
     ids = fit.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length(F.coalesce("text", F.lit(""))) <= longest)
-    # the sample has at most ``most`` rows, so it is the side to send
-    rows = texts.join(F.broadcast(ids), "id").select("id", "text", "label").limit(2 * most).toArrow().to_pylist()
-    return [(r["text"] or "", r["label"]) for r in sorted(rows, key=lambda r: (str(r["id"]), r["text"] or ""))]
+    # the sample has at most ``most`` rows, so it is the side to send; of an id with several texts the least is learned from
+    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = found.toArrow().to_pylist()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: str(r["id"]))]

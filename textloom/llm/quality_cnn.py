@@ -1,9 +1,13 @@
 """Quality scores from a byte-level convolutional network in numpy.
 
 Bytes are embedded, learned filters of ``WIDTH`` bytes slide over the whole text in steps
-of ``STRIDE``, each chunk of ``CHUNK`` bytes (with its neighbour: chunks overlap by half)
-keeps every filter's maximum, and the document's largest and mean chunk maxima go
-through a small hidden layer to one probability.
+of ``STRIDE`` (so a filter starts at every other byte), each chunk of ``CHUNK`` bytes (with its
+neighbour: chunks overlap by half) keeps every filter's maximum, and the document's largest and
+mean chunk maxima go through a small hidden layer to one probability.
+
+A score depends on the text and the weights alone: no window reaches beyond its text's last
+chunk, and scoring adds numbers in an order that the text decides, whatever rows stand
+beside it (filters are applied by tables of byte pairs, not by matrix products of a whole batch).
 
 It learns from a bounded sample of labelled rows (``SAMPLE`` rows of at most ``LONGEST``
 characters) on the driver; scoring runs over every whole text in Arrow batches.  A text
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textloom.llm._text import held_out, utf8
+from textloom.llm._text import free_name, held_out, utf8
 from textloom.llm._training import FOLDS, labelled_sample
 
 SAMPLE, LONGEST = 3_000, 20_000
@@ -58,7 +62,7 @@ def padded(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def responses(w: Weights, b: np.ndarray) -> np.ndarray:
-    """Filter responses (before the bias) at each step of STRIDE bytes; windows reach WIDTH - STRIDE bytes over the next chunk."""
+    """Filter responses (before the bias) at each step of STRIDE bytes, by matrix products; the last ones of a text aren't whole."""
     rows = w["embed"][b].reshape(-1, STRIDE * EMBED)
     parts = w["filters"].reshape(STEPS, STRIDE * EMBED, FILTERS)
     out = rows @ parts[0]
@@ -67,8 +71,26 @@ def responses(w: Weights, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_maxima(w: Weights, b: np.ndarray) -> np.ndarray:
-    return np.maximum(responses(w, b).reshape(-1, PER, FILTERS).max(1) + w["filter_bias"], 0)
+def pair_tables(w: Weights) -> np.ndarray:
+    """For each step of a window, what a pair of bytes adds to each filter: ``responses`` as four look-ups."""
+    first, second = (np.einsum("be,kef->kbf", w["embed"], w["filters"].reshape(STEPS, STRIDE, EMBED, FILTERS)[:, k]) for k in range(STRIDE))
+    return (first[:, None] + second[:, :, None]).reshape(STEPS, 1 << 16, FILTERS)
+
+
+def whole_windows(r: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Responses by chunk, where windows that would reach beyond their text never are the largest."""
+    r = r.reshape(-1, PER, FILTERS)
+    r[np.cumsum(chunks) - 1, PER - STEPS + 1 :] = -np.inf
+    return r
+
+
+def chunk_maxima(w: Weights, b: np.ndarray, chunks: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+    tables = pair_tables(w) if tables is None else tables
+    pairs = b.view("<u2")
+    r = tables[0].take(pairs, 0)
+    for k in range(1, STEPS):
+        r[:-k] += tables[k].take(pairs[k:], 0)
+    return np.maximum(whole_windows(r, chunks).max(1) + w["filter_bias"], 0)
 
 
 def features(maxima: np.ndarray, chunks: np.ndarray) -> np.ndarray:
@@ -82,26 +104,27 @@ def features(maxima: np.ndarray, chunks: np.ndarray) -> np.ndarray:
 
 
 def probability(w: Weights, x: np.ndarray) -> np.ndarray:
-    z = np.maximum(x @ w["hidden"] + w["hidden_bias"], 0) @ w["out"] + w["out_bias"]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    h = np.maximum((x[:, :, None] * w["hidden"]).sum(1) + w["hidden_bias"], 0)
+    return 1 / (1 + np.exp(-np.clip(((h * w["out"]).sum(1) + w["out_bias"]).astype(np.float64), -30, 30)))
 
 
-def predict(w: Weights, raws: list[bytes]) -> np.ndarray:
+def predict(w: Weights, raws: list[bytes], tables: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of texts.  Up to BLOCK bytes are in work at once; a longer text goes block by block."""
+    tables = pair_tables(w) if tables is None else tables
     out, batch, size = [], [], 0
 
     def flush() -> None:
         nonlocal size
         if batch:
             b, chunks = padded(batch)
-            out.append(probability(w, features(chunk_maxima(w, b), chunks)))
+            out.append(probability(w, features(chunk_maxima(w, b, chunks, tables), chunks)))
         batch.clear()
         size = 0
 
     for r in raws:
         if len(r) > BLOCK:
             flush()
-            out.append(probability(w, features(_long(w, r), np.array([-(-len(r) // CHUNK)]))))
+            out.append(probability(w, features(_long(w, r, tables), np.array([-(-len(r) // CHUNK)]))))
             continue
         if size + len(r) > BLOCK:
             flush()
@@ -111,18 +134,18 @@ def predict(w: Weights, raws: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _long(w: Weights, raw: bytes) -> np.ndarray:
+def _long(w: Weights, raw: bytes, tables: np.ndarray) -> np.ndarray:
     """Chunk maxima of one long text: each block is read with the chunk after it, whose own maxima come with the next block."""
     parts = []
     for at in range(0, len(raw), BLOCK):
-        b, _ = padded([raw[at : at + BLOCK + CHUNK]])
-        parts.append(chunk_maxima(w, b)[: -(-min(BLOCK, len(raw) - at) // CHUNK)])
+        b, chunks = padded([raw[at : at + BLOCK + CHUNK]])
+        parts.append(chunk_maxima(w, b, chunks, tables)[: -(-min(BLOCK, len(raw) - at) // CHUNK)])
     return np.concatenate(parts)
 
 
 def _gradients(w: Weights, b: np.ndarray, chunks: np.ndarray, y: np.ndarray) -> Weights:
     n = len(y)
-    r = responses(w, b).reshape(-1, PER, FILTERS)
+    r = whole_windows(responses(w, b), chunks)
     arg = r.argmax(1)
     maxima = np.maximum(np.take_along_axis(r, arg[:, None], 1)[:, 0] + w["filter_bias"], 0)
     at = np.concatenate([[0], np.cumsum(chunks)[:-1]])
@@ -155,9 +178,8 @@ def _gradients(w: Weights, b: np.ndarray, chunks: np.ndarray, y: np.ndarray) ->
     c, f = np.nonzero(dmax)
     d = dmax[c, f].astype(np.float32)
     where_bytes = ((c * PER + arg[c, f]) * STRIDE)[:, None] + np.arange(WIDTH)
-    inside = where_bytes < len(b)
-    seen = b[np.minimum(where_bytes, len(b) - 1)]
-    window = w["embed"][seen] * inside[..., None]
+    seen = b[where_bytes]
+    window = w["embed"][seen]
     df = np.zeros((FILTERS, WIDTH * EMBED), np.float32)
     order = np.argsort(f, kind="stable")
     flat = (window.reshape(len(f), -1) * d[:, None])[order]
@@ -165,7 +187,7 @@ def _gradients(w: Weights, b: np.ndarray, chunks: np.ndarray, y: np.ndarray) ->
     for k in range(FILTERS):
         df[k] = flat[starts[k] : starts[k + 1] if k + 1 < FILTERS else len(flat)].sum(0)
     g["filters"] = df.T
-    back = (w["filters"].T[f].reshape(len(f), WIDTH, EMBED) * d[:, None, None]) * inside[..., None]
+    back = w["filters"].T[f].reshape(len(f), WIDTH, EMBED) * d[:, None, None]
     g["embed"] = np.stack([np.bincount(seen.ravel(), back[..., k].ravel(), 256) for k in range(EMBED)], 1).astype(np.float32)
     return g
 
@@ -201,8 +223,9 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 48, rate: f
 def score_column(text: Column, weights: Weights) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = pair_tables(weights)
         for texts in batches:
-            yield pa.array(predict(weights, [utf8(t.as_py()) for t in texts]).astype(float), pa.float64())
+            yield pa.array(predict(weights, [utf8(t.as_py()) for t in texts], tables), pa.float64())
 
     return scored(text)
 
@@ -220,5 +243,5 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: s
 
 def apply(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
-    weights = fit(docs, labels, label, id_col=id_col, text_col=text_col)
-    return docs.withColumn("__score", score_column(F.col(text_col), weights)).where(F.col("__score") >= threshold).drop("__score")
+    weights, name = fit(docs, labels, label, id_col=id_col, text_col=text_col), free_name(docs, "__score")
+    return docs.withColumn(name, score_column(F.col(text_col), weights)).where(F.col(name) >= threshold).drop(name)
