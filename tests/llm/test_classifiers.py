@@ -134,3 +134,27 @@ def test_pairs_of_terms_are_learned():
     active = fm._Active(machine)
     right = [(machine.score(active.of(t)) >= 0.5) == bool(y) for t, y in rows[900:]]
     assert np.mean(right) > 0.98
+
+
+def test_pairs_that_tell_nothing_alone_are_learned():
+    r = random.Random(0)
+    filler = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(1500):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [*r.sample(filler, 12), *["insult"] * a, *["group"] * b]
+        r.shuffle(words)
+        rows.append((" ".join(words), int(a == b)))
+    machine = fm.train(rows[:1100])
+    active = fm._Active(machine)
+    assert {fm.slots(w)[0] for w in (b"insult", b"group")} <= set(machine.features)
+    right = [(machine.score(active.of(t)) >= 0.5) == bool(y) for t, y in rows[1100:]]
+    assert np.mean(right) > 0.95
+
+
+def test_machine_equals_all_pairs():
+    rng = np.random.default_rng(0)
+    machine = fm.Machine({i: i for i in range(9)}, 0.3, rng.normal(size=9), rng.normal(size=(9, fm.RANK)))
+    for active in ([], [4], [0, 3, 8], list(range(9))):
+        z = 0.3 + sum(machine.weights[i] for i in active) + sum(machine.factors[i] @ machine.factors[j] for i in active for j in active if i < j)
+        assert abs(machine.score(active) - 1 / (1 + np.exp(-z))) < 1e-9

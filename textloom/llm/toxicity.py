@@ -1,12 +1,14 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are the words of a text and their beginnings of 3 to 6 bytes, hashed.  The slots
-that tell the classes apart best become features, and the machine learns a weight and a
-short factor vector for each, so that pairs of terms can say what neither says alone.
+Terms are the words of a text and their beginnings of 3 to 6 bytes, hashed.  Slots become
+features if they tell the classes apart alone, or if they do so in a pair with another one: of
+the ``PAIRED`` slots that vary most, all pairs have a score test against what the machine
+leaves unexplained.  The machine learns a weight and a short factor vector for each feature, so
+that pairs of terms can say what neither says alone.
 
 It learns from a bounded sample of labelled rows (``SAMPLE`` rows of at most ``LONGEST``
 characters) on the driver; scoring runs over every whole text in Arrow batches, with a
-model of at most ``FEATURES`` x (``RANK`` + 1) numbers sent along.
+model of at most (``FEATURES`` + ``PAIR_FEATURES``) x (``RANK`` + 1) numbers sent along.
 
 Defined results: null and empty texts have no terms and get the score of the bias; long
 texts are scored whole; equal texts get equal scores; an empty table gives an empty table;
@@ -33,6 +35,8 @@ SLOTS = 1 << 20
 FEATURES, LEAST, RANK = 1_024, 4, 4
 #: Least difference of a term's shares in the classes, in standard errors.
 CLEAR = 3.5
+#: Slots whose pairs are tested, the most that this may add, a pair's least score in standard errors, and in how many rows it stands at least.
+PAIRED, PAIR_FEATURES, PAIR_CLEAR, PAIR_LEAST = 4_096, 1_024, 6.0, 20
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -81,24 +85,62 @@ def train(rows: list[tuple[str, int]], steps: int = 250, rate: float = 0.05, dec
     z = (of[1] / n1 - of[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
     z[(of[0] + of[1] < LEAST) | (np.abs(z) < CLEAR)] = 0
     best = np.lexsort((np.arange(SLOTS), -np.abs(z)))[:FEATURES]
-    features = {int(s): k for k, s in enumerate(best) if z[s]}
-    x = np.zeros((len(rows), max(len(features), 1)), np.float32)
+    best = best[z[best] != 0]
+    x = _active_matrix(docs, best)
+    state, explained = _adam(x, y, steps, rate, decay, seed)
+    spread = np.where(of[0] + of[1] < PAIR_LEAST, 0, p * (1 - p))
+    varied = np.lexsort((np.arange(SLOTS), -spread))[:PAIRED]
+    paired = telling_pairs(_active_matrix(docs, varied[spread[varied] > 0]), y, explained)
+    more = np.setdiff1d(varied[paired], best)
+    if len(more):
+        best = np.concatenate([best, more])
+        state, _ = _adam(_active_matrix(docs, best), y, steps, rate, decay, seed)
+    return Machine({int(f): k for k, f in enumerate(best)}, float(state[0]), state[1].astype(float), state[2].astype(float))
+
+
+def _active_matrix(docs: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Which of the chosen slots each document has."""
+    place = np.full(SLOTS, -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(docs), max(len(chosen), 1)), np.float32)
     for i, d in enumerate(docs):
-        x[i, [features[s] for s in d.tolist() if s in features]] = 1
+        at = place[d]
+        x[i, at[at >= 0]] = 1
+    return x
+
+
+def telling_pairs(x: np.ndarray, y: np.ndarray, explained: np.ndarray, block: int = 512) -> np.ndarray:
+    """Columns of a 0/1 matrix in some pair whose score test is clear, those of the clearest pairs first, at most PAIR_FEATURES."""
+    left, spread = (y - explained).astype(np.float32), (explained * (1 - explained)).astype(np.float32)
+    strength = np.zeros(x.shape[1])
+    for at in range(0, x.shape[1], block):
+        part = x[:, at : at + block]
+        score, variance, rows = (part * left[:, None]).T @ x, (part * spread[:, None]).T @ x, part.T @ x
+        clear = np.where(rows >= PAIR_LEAST, np.abs(score) / np.sqrt(variance + 1e-6), 0)
+        clear[np.arange(part.shape[1]), np.arange(at, at + part.shape[1])] = 0
+        strength[at : at + block] = clear.max(1)
+    order = np.argsort(-strength, kind="stable")[:PAIR_FEATURES]
+    return order[strength[order] >= PAIR_CLEAR]
+
+
+def _adam(x: np.ndarray, y: np.ndarray, steps: int, rate: float, decay: float, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bias, weights and factors of least logistic loss, and the probabilities that they give."""
     rng = np.random.default_rng(seed)
-    state = [np.array(np.log(n1 / n0), np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], RANK)).astype(np.float32)]
+    state = [np.array(np.log(y.mean() / (1 - y.mean())), np.float32), np.zeros(x.shape[1], np.float32), rng.normal(0, 0.02, (x.shape[1], RANK)).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in state], [np.zeros_like(a) for a in state]
-    for t in range(1, steps + 1):
+    for t in range(1, steps + 2):
         b, w, v = state
         xv = x @ v
-        out = b + x @ w + 0.5 * ((xv**2).sum(1) - (x @ (v**2)).sum(1))
-        e = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
+        out = b + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
+        p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        if t > steps:
+            return state, p
+        e = (p - y) / len(y)
         grads = [e.sum(), x.T @ e + decay * w, x.T @ (e[:, None] * xv) - (x.T @ e)[:, None] * v + decay * v]
         for k, g in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.999 * s[k] + 0.001 * g**2
             state[k] = state[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-    return Machine(features, float(state[0]), state[1].astype(float), state[2].astype(float))
 
 
 class _Active(dict):
