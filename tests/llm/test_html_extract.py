@@ -55,3 +55,58 @@ def test_table(spark, small):
 ])
 def test_nothing_else_is_dropped(inner, text):
     assert h.main_text(f"<article>{inner}</article><footer>f</footer>") == text
+
+
+@pytest.mark.parametrize(("inner", "text"), [
+    ('<p title="hidden gems">A</p><p aria-hidden="false">B</p><p data-id="comment-5">C</p>', "A\nB\nC"), ("<p hidden>A</p><p>B</p>", "B"), ("<p data-hidden=1>A</p>", "A"),
+    ("<a href=it's>x</a><p>After</p>", "x\nAfter"), ("<p class=o'neil>x</p><p>y</p>", "x\ny"), ("<p>if a <b then c</p><p>more</p>", "if a <b then c\nmore"),
+    ("<p>x<y and y>z</p>", "xz"), ("<p>1 <a", "1 <a"), ("<p>" + "word " * 300_000 + "</p>", " ".join(["word"] * 300_000)),
+])
+def test_attributes_and_stray_signs(inner, text):
+    assert h.main_text(f"<article>{inner}</article><footer>f</footer>").startswith(text)
+
+
+def paragraphs(n, link_at=None):
+    prose = [f"This is sentence {i} of an article. It goes on for a while, as prose does, and then it ends." for i in range(n)]
+    return prose, "".join(f"<div><a href=x>{t}</a></div>" if i == link_at else f"<div>{t}</div>" for i, t in enumerate(prose))
+
+
+def test_the_cut_decides():
+    """A paragraph that is one link goes with the article around it, and a label in a list of links with the links."""
+    prose, html = paragraphs(7, link_at=3)
+    menu = "".join(f"<li><a href=y>Topic number {i}</a></li>" if i != 4 else "<li>Topics by name</li>" for i in range(9))
+    found = h.blocks(f"<body><div><ul>{menu}</ul></div><div><div><div>{html}</div></div></div></body>")
+    alone = [b.benefit() > 0 for b in found]
+    assert h.labels(found) == [False] * 9 + [True] * 7 and alone != h.labels(found)
+    assert [b.benefit() > 0 for b in found if b.text in (prose[3], "Topics by name")] != [False, True]
+
+
+def test_pages_where_cut_and_threshold_differ(spark, small):
+    """Real pages, with one paragraph of each made a link and elements that say nothing: the cut is right on all, the threshold isn't."""
+    import re
+
+    differ = 0
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        want = h.main_text(r["html"]).split("\n")
+        if len(want) < 6:
+            continue
+        menu = "".join(f"<li><a>{w}</a></li>" for w in re.findall(r"\w+", want[0])[:6])
+        inner = "".join(f"<div>{'<a>' * (i == 3)}{t.replace('&', '&amp;').replace('<', '&lt;')}</div>" for i, t in enumerate(want))
+        found = h.blocks(f"<body><div><ul>{menu}</ul></div><div><div>{inner}</div></div></body>")
+        got = h.labels(found)
+        assert [b.text for b, k in zip(found, got, strict=True) if k] == want
+        differ += got != [b.benefit() > 0 for b in found]
+    assert differ > 10
+
+
+def test_classifier_is_fitted():
+    pages = [f"<nav>{''.join(f'<a>topic {i}</a> ' for i in range(9))}</nav><article>{''.join(f'<p>{t}</p>' for t in paragraphs(5)[0])}</article>"] * 5
+    w = h.train([e for p in pages for e in h.examples(p)])
+    assert len(w) == len(h.DEFAULT) and w[1] > 0 > w[2]
+    assert h.train([]) == h.DEFAULT == h.train(h.examples("<nav>x</nav>"))
+
+
+def test_edges_weaken_with_distance():
+    found = h.blocks("<div><p>a</p><p>b</p></div><div><div><div><p>c</p></div></div></div>")
+    w = {(i, j): x for i, j, x in h.edges(found)}
+    assert w[0, 1] > w[1, 2] > w[0, 2] and h.hops(found[0].element, found[1].element) == 2
