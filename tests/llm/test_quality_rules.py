@@ -44,7 +44,7 @@ def corpus():
 
 def test_outliers_go_and_clean_documents_stay(spark, corpus):
     docs = spark.createDataFrame([(*r, 1) for r in corpus], "doc_id long, text string, lang string, source string, n_words int")
-    out = q.verdicts(docs, min_rows=50).collect()
+    out = q.verdicts(docs).collect()
     assert len(out) == len(corpus)
     by = collections.defaultdict(list)
     for r in out:
@@ -52,7 +52,7 @@ def test_outliers_go_and_clean_documents_stay(spark, corpus):
     assert all(all(by[i]) for i in range(400)) and all(by[2001])
     assert not any(any(by[i]) for i in [*range(1000, 1020), 2000, 2002])
     assert q.apply(docs.limit(0)).count() == 0
-    kept = q.apply(docs, min_rows=50)
+    kept = q.apply(docs)
     assert kept.columns == docs.columns and kept.count() == 402
 
 
@@ -68,6 +68,53 @@ def test_distance_is_mahalanobis(spark):
     assert np.allclose(got["d2"], np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z), rtol=1e-6)
 
 
+def numpy_mcd(x):
+    """Half-samples of least determinant over every subset, with the least deviations added as the operator does."""
+    import itertools
+
+    half = -(-len(x) // 2)
+    floor = np.diag([s**2 for _, s in q.VECTOR])
+    volume = lambda rows: np.linalg.slogdet(np.cov(x[list(rows)].T, bias=True) + floor)[1]
+    return min(((volume(c), c) for c in itertools.combinations(range(len(x)), half)), key=lambda v: v[0])
+
+
+def test_half_samples_equal_those_of_all_subsets(spark):
+    rng = np.random.default_rng(4)
+    d, groups = len(q.VECTOR), {}
+    for g in range(6):
+        good = rng.normal(size=(9, d)) * 0.3 + g
+        groups[f"g{g}"] = np.concatenate([good, good.mean(0) + rng.normal(size=(4, d)) * 0.5 + rng.choice([-9, 9], (4, d))])
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    frame = spark.createDataFrame(rows, "g string, " + ", ".join(f"x_{i} double" for i in range(d)))
+    for r in q._model(q.concentrate(frame, d), d).collect():
+        best, chosen = numpy_mcd(groups[r["g"]])
+        # buckets of distance may take in a row at the limit, which all subsets leave out
+        assert r["volume"] <= best + 1.2 and max(chosen) < 9
+        assert np.abs(np.array([r[f"m_{i}"] for i in range(d)]) - groups[r["g"]][:9].mean(0)).max() < 0.5
+
+
+def test_every_size_is_judged_by_its_own_group_in_one_way(spark):
+    """A source that differs from its language keeps its own documents if it is large; alone, one such document is an outlier."""
+    rng = np.random.default_rng(2)
+    d = len(q.VECTOR)
+    usual = [("en", f"s{i % 5}", *map(float, v)) for i, v in enumerate(rng.normal(size=(1500, d)) * 0.1)]
+    other = [("en", "odd", *map(float, v + 8)) for v in rng.normal(size=(600, d)) * 0.1]
+    single = [("en", "one", *([8.0] * d))]
+    frame = spark.createDataFrame(usual + other + single, "lang string, source string, " + ", ".join(f"x_{i} double" for i in range(d)))
+    models = q.fit(frame)
+    keyed = frame.withColumn("g", q._levels()[0]).join(models, "g")
+    far = {r["source"]: r["far"] for r in keyed.withColumn("d2", q.distance([F.col(f"x_{i}") for i in range(d)], F.col("m"))).groupBy("source").agg(F.avg((F.col("d2") > q.CUTOFF).cast("int")).alias("far")).collect()}
+    assert far.pop("one") == 1.0 and max(far.values()) < 0.01
+
+
+def test_long_texts_and_clashing_columns(spark):
+    text = "long words of a text that never ends, " * 100_000
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, 2), (2, None, None, None, None, None), (2, "", "en", "s", 1, 2)], "doc_id long, text string, lang string, source string, __rules int, __rules_g int")
+    got = {r["doc_id"]: r for r in q.verdicts(docs).where("doc_id = 1").collect()}
+    assert got[1]["n_words"] == 800_000 and got[1]["base_failed"]
+    assert q.apply(docs).columns == docs.columns
+
+
 def test_no_python_in_the_plan(spark, small):
     from textloom.llm.queries import op7_quality_rules
 

@@ -9,22 +9,28 @@ A concentration step is two aggregations: a histogram of log distances by group,
 running count gives the group's half-sample limit, and the mean and covariance of the
 rows within it.  Both combine on the map side, so a source with a third of all rows is
 no larger a task than others, and the histogram is the same however rows are dealt.
-Groups with fewer than ``min_rows`` rows use their language's estimate, and languages
-with fewer the estimate over all rows.
+Steps go on for each group until the determinant falls no more, from two starts (the
+coordinates' medians with the least deviations, and the mean and covariance of all rows), and the lower one is taken.
+
+Estimates are regularised in one way at every size: a group's location, scatter and scale are
+pooled with those of its language as if that had ``PRIOR_ROWS`` rows of the group, and a
+language's likewise with those of all rows.  A hot source's own rows decide, a source of one row is
+judged much as its language.
 
 Defined results: a null text counts as empty (no words, so it fails the base rules); null
 languages and sources are groups of their own; very long texts are counted whole; equal
 rows get equal results; an empty table gives an empty table; columns named like ours are
-not read, since everything is computed into one struct column named by the caller.
+neither read nor lost, since everything is computed into one struct column under a free name.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._text import stored
+from textloom.llm._text import free_name, stored
 
 #: Characters counted as symbols, capital letters, and what makes a word.
 SYMBOLS = "[#*$%&|<>]"
@@ -39,8 +45,8 @@ SUBSET = 0.5
 CUTOFF = 30.86
 #: The median of chi-square with 5 degrees of freedom, to which a half-sample's distances are scaled.
 MEDIAN = 4.351
-STEPS = 3
-MIN_ROWS = 200
+#: Rows that a wider group's estimate counts for in a narrower one's.
+PRIOR_ROWS = 100
 #: Statistic vector: name and the least standard deviation that a group may have in it.
 VECTOR = (("log_word_chars", 0.15), ("log_symbols", 0.05), ("upper", 0.05), ("dup_lines", 0.08), ("repeats", 0.08))
 #: Buckets of the distance histogram for each e-fold.
@@ -132,36 +138,46 @@ def distance(x: list[Column], m: Column) -> Column:
     return solve(0, None)
 
 
+def _names(d: int) -> list[str]:
+    """Means and covariances."""
+    return [f"m_{i}" for i in range(d)] + [f"c_{i}_{j}" for i in range(d) for j in range(i + 1)]
+
+
 def _model(moments: DataFrame, d: int) -> DataFrame:
-    """Group and model struct from means, covariances and the median distance's scale."""
+    """``moments`` with a model struct (scale 1) and the log of the determinant; no group may deviate less than VECTOR says."""
     cov = {(i, j): F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) + F.lit(VECTOR[i][1] ** 2 if i == j else 0.0) for i in range(d) for j in range(i + 1)}
+    factor = _cholesky(cov, d)
     out = moments
-    for name, column in _cholesky(cov, d):
+    for name, column in factor:
         out = out.withColumn(name, column)
-    names = [f"m_{i}" for i in range(d)] + [n for n, _ in _cholesky(cov, d)]
-    return out.select("g", F.struct(*[F.col(n).alias(n) for n in names], F.lit(1.0).alias("scale")).alias("m"))
+    names = [f"m_{i}" for i in range(d)] + [n for n, _ in factor]
+    volume = reduce(lambda x, y: x + y, [F.log(F.col(f"l_{i}_{i}")) for i in range(d)])
+    return out.select(*moments.columns, F.struct(*[F.col(n).alias(n) for n in names], F.lit(1.0).alias("scale")).alias("m"), (2 * volume).alias("volume"))
+
+
+#: Models are broadcast up to so many groups; beyond, joins with them shuffle, and adaptive execution splits hot groups.
+MOST_GROUPS = 100_000
 
 
-def _join(rows: DataFrame, models: DataFrame, most: int = 100_000) -> DataFrame:
-    """Rows with their group's model.  Models are broadcast up to ``most`` groups; beyond, the join shuffles and AQE splits hot groups."""
-    small = models.count() <= most
-    return rows.join(F.broadcast(models) if small else models, "g")
+def _join(rows: DataFrame, models: DataFrame, small: bool, by: tuple[str, ...] = ("g",)) -> DataFrame:
+    """Rows with their group's models; ``small`` if these are at most MOST_GROUPS."""
+    return rows.join(F.broadcast(models) if small else models, list(by))
 
 
-def _moments(rows: DataFrame, d: int, within: Column | None = None) -> DataFrame:
+def _moments(rows: DataFrame, d: int, within: Column | None = None, by: tuple[str, ...] = ("g",)) -> DataFrame:
     rows = rows if within is None else rows.where(within)
     aggs = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(d)] + [F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    return rows.groupBy("g").agg(*aggs)
+    return rows.groupBy(*by).agg(*aggs)
 
 
-def _limits(rows: DataFrame, share: float) -> DataFrame:
+def _limits(rows: DataFrame, share: float, by: tuple[str, ...] = ("g",)) -> DataFrame:
     """For each group the least histogram bucket of log distance with ``share`` of the rows at or below it."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("g")
+    counts = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by)
     running = counts.withColumn("upto", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return running.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(F.min("b").alias("limit"))
+    return running.where(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("b").alias("limit"))
 
 
 def _bucket(distance2: Column) -> Column:
@@ -169,54 +185,92 @@ def _bucket(distance2: Column) -> Column:
     return F.floor(F.log(F.greatest(F.least(distance2, F.lit(1e9)), F.lit(1e-9))) * BUCKETS).cast("int")
 
 
-def fit(vectors: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS) -> DataFrame:
-    """Models ``(g, m)`` from rows of (lang, source, x_0 .. x_{d-1}), for groups 'l/s', languages 'l' and all rows ''."""
-    d = len(VECTOR)
-    names = (F.struct("lang", "source"), F.struct("lang"), F.struct())
-    keys = [F.to_json(k, {"ignoreNullFields": "false"}) for k in names]
-    counts = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    keep = counts.where(F.col("n") >= min_rows).select(keys[0].alias("g")).union(by_lang.where(F.col("n") >= min_rows).select(keys[1].alias("g"))).union(vectors.limit(1).select(F.lit("{}").alias("g")))
-    rows = vectors.select(F.explode(F.array(*keys)).alias("g"), *[f"x_{i}" for i in range(d)])
-    rows = stored(_join(rows, stored(keep)))
-    x = [F.col(f"x_{i}") for i in range(d)]
+def _levels() -> list[Column]:
+    """Keys of a row's groups: language and source, language, all rows."""
+    return [F.to_json(F.struct(*map(F.col, k)), {"ignoreNullFields": "false"}) for k in (("lang", "source"), ("lang",), ())]
+
+
+def concentrate(rows: DataFrame, d: int) -> DataFrame:
+    """(g, moments): the half-samples of least determinant that the starts lead to, of rows (g, x_0 .. x_{d-1})."""
+    x, by, names = [F.col(f"x_{i}") for i in range(d)], ("g", "start"), _names(d)
     medians = rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", F.lit(0.5), F.lit(1000)).alias(f"m_{i}") for i in range(d)])
-    start = medians.select("*", *[F.lit(0.0).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
-    model = stored(_model(start, d))
-    for _ in range(steps):
-        near = _join(rows, model).withColumn("b", _bucket(distance(x, F.col("m"))))
-        within = _join(near, stored(_limits(near, SUBSET)))
-        model = stored(_model(_moments(within, d, F.col("b") <= F.col("limit")), d))
-    median = _limits(_join(rows, model).withColumn("b", _bucket(distance(x, F.col("m")))), 0.5)
-    scale = F.greatest(F.exp((F.col("limit") + 0.5) / BUCKETS) / MEDIAN, F.lit(1.0))
-    return stored(_join(model, stored(median)).select("g", F.col("m").withField("scale", scale).alias("m")))
-
-
-def with_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "__rules", min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    middle = medians.select("g", F.lit(0).alias("start"), *[F.col(n) if n[0] == "m" else F.lit(0.0).alias(n) for n in names])
+    now = stored(_model(middle.union(_moments(rows, d).select("g", F.lit(1).alias("start"), *names)), d).withColumn("before", F.lit(None).cast("double")))
+    left, done = now.count(), []
+    small = left <= MOST_GROUPS
+    while left:
+        near = _join(rows, now.select(*by, "m"), small).withColumn("b", _bucket(distance(x, F.col("m"))))
+        within = _join(near, _limits(near, SUBSET, by), small, by)
+        fresh = _model(_moments(within, d, F.col("b") <= F.col("limit"), by), d)
+        # the starts are no half-samples: their determinants are no bound, and every group takes a step
+        old = now.select(*by, "before", *[F.col(n).alias(f"old_{n}") for n in names])
+        both = stored(_join(fresh, old, small, by).withColumn("falls", F.col("before").isNull() | (F.col("volume") < F.col("before") - 1e-9)))
+        done.append(both.where(~F.col("falls")).select(*by, F.col("before").alias("volume"), *[F.col(f"old_{n}").alias(n) for n in names]))
+        now = both.where("falls").select(*by, *names, "m", "volume", F.col("volume").alias("before"))
+        left = now.count()
+    if not done:
+        return rows.limit(0).select("g", *[F.lit(0.0).alias(n) for n in names])
+    least = reduce(DataFrame.union, done).groupBy("g").agg(F.min_by(F.struct(*names), F.struct("volume", "start")).alias("best"))
+    return least.select("g", "best.*")
+
+
+def _pooled(own: DataFrame, wider: DataFrame, d: int, prior_rows: float) -> DataFrame:
+    """Moments of ``own`` (g, up, n, ..) pooled with those of the wider group ``up``, which counts for ``prior_rows`` rows."""
+    side = wider.select(F.col("g").alias("up"), *[F.col(n).alias(f"w_{n}") for n in _names(d)])
+    share = F.col("n") / (F.col("n") + F.lit(float(prior_rows)))
+    mean = [share * F.col(f"m_{i}") + (1 - share) * F.col(f"w_m_{i}") for i in range(d)]
+    apart = [F.col(f"m_{i}") - F.col(f"w_m_{i}") for i in range(d)]
+    cov = [share * F.col(f"c_{i}_{j}") + (1 - share) * F.col(f"w_c_{i}_{j}") + share * (1 - share) * apart[i] * apart[j] for i in range(d) for j in range(i + 1)]
+    return own.join(side, "up").select("g", "up", "n", *[c.alias(n) for n, c in zip(_names(d), mean + cov, strict=True)])
+
+
+def fit(vectors: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """Models ``(g, m)`` of each language and source, from rows of (lang, source, x_0 .. x_{d-1})."""
+    d = len(VECTOR)
+    keys, x = _levels(), [F.col(f"x_{i}") for i in range(d)]
+    rows = stored(vectors.select(F.explode(F.array(*keys)).alias("g"), *x))
+    sizes = [vectors.groupBy("lang", "source"), vectors.groupBy("lang"), vectors.groupBy()]
+    found = stored(concentrate(rows, d))
+    own = [size.agg(F.count(F.lit(1)).alias("n")).select(keys[k].alias("g"), keys[min(k + 1, 2)].alias("up"), "n").join(found, "g") for k, size in enumerate(sizes)]
+    top = own[2].where("n > 0")
+    lang = _pooled(own[1], top, d, prior_rows)
+    source = _pooled(own[0], lang, d, prior_rows)
+    levels = [level.select("*", F.lit(k).alias("level")) for k, level in enumerate((source, lang, top))]
+    models = stored(_model(reduce(DataFrame.union, levels), d).select("g", "up", "n", "level", "m"))
+    small = models.count() <= MOST_GROUPS
+    median = _limits(_join(rows, models.select("g", "m"), small).withColumn("b", _bucket(distance(x, F.col("m")))), 0.5)
+    # a half-sample's distances are too large for all rows by a factor, which is pooled like the moments, in logarithms
+    log_scale = F.greatest((F.col("limit") + 0.5) / BUCKETS - float(log(MEDIAN)), F.lit(0.0))
+    scaled = stored(models.join(median, "g").select("g", "up", "n", "level", "m", log_scale.alias("s")))
+    share = F.col("n") / (F.col("n") + F.lit(float(prior_rows)))
+    wide = scaled.where("level = 2").select(F.col("g").alias("up"), F.col("s").alias("s0"))
+    by_lang = scaled.where("level = 1").join(wide, "up").select(F.col("g").alias("up"), (share * F.col("s") + (1 - share) * F.col("s0")).alias("s1"))
+    narrow = scaled.where("level = 0").join(by_lang, "up")
+    return stored(narrow.select("g", F.col("m").withField("scale", F.exp(share * F.col("s") + (1 - share) * F.col("s1"))).alias("m")))
+
+
+def with_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "__rules", prior_rows: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` with a struct column of the statistics, base_failed, distance (null where base_failed) and kept."""
     # counting costs more than writing: rows go to the shared folder with their statistics, which are then read for fitting and again for the verdicts
     counted = stored(docs.withColumn(out_col, statistics(F.col(text_col))))
     s = F.col(out_col)
     vectors = counted.where(~base_failed(s)).select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *[v.alias(f"x_{i}") for i, v in enumerate(vector(s))])
-    return _judged(counted, fit(vectors, min_rows), F.col(lang_col), F.col(source_col), out_col, cutoff)
+    return _judged(counted, fit(vectors, prior_rows), F.col(lang_col), F.col(source_col), out_col, cutoff)
 
 
 def _judged(counted: DataFrame, models: DataFrame, lang: Column, source: Column, out_col: str, cutoff: float) -> DataFrame:
-    """Each row takes the narrowest model that there is: of its language and source, its language, or all rows."""
-    options = {"ignoreNullFields": "false"}
-    lang, source = lang.cast("string").alias("lang"), source.cast("string").alias("source")
-    out, s = counted, F.col(out_col)
-    for k, key in enumerate((F.to_json(F.struct(lang, source), options), F.to_json(F.struct(lang), options), F.lit("{}"))):
-        side = models.select(F.col("g").alias(f"{out_col}_g{k}"), F.col("m").alias(f"{out_col}_m{k}"))
-        side = F.broadcast(side) if models.count() <= 100_000 else side
-        out = out.join(side, key == F.col(f"{out_col}_g{k}"), "left")
-    model = F.coalesce(*[F.col(f"{out_col}_m{k}") for k in range(3)])
-    d2 = F.when(~base_failed(s), _let(F.array(*vector(s)), lambda x: _let(model, lambda m: distance([F.get(x, F.lit(i)) for i in range(len(VECTOR))], m))))
+    """Each row that passes the base rules has a model, of its language and source."""
+    s = F.col(out_col)
+    group, model = (free_name(counted, f"{out_col}_{c}") for c in "gm")
+    key = F.when(~base_failed(s), F.to_json(F.struct(lang.cast("string").alias("lang"), source.cast("string").alias("source")), {"ignoreNullFields": "false"}))
+    side = models.select(F.col("g").alias(group), F.col("m").alias(model))
+    out = counted.join(F.broadcast(side) if models.count() <= MOST_GROUPS else side, key == F.col(group), "left")
+    d2 = F.when(~base_failed(s), _let(F.array(*vector(s)), lambda x: _let(F.col(model), lambda m: distance([F.get(x, F.lit(i)) for i in range(len(VECTOR))], m))))
     judged = s.withField("base_failed", base_failed(s)).withField("distance", d2).withField("kept", ~base_failed(s) & (F.coalesce(d2, F.lit(0.0)) <= cutoff))
-    return out.withColumn(out_col, judged).drop(*[f"{out_col}_{c}{k}" for k in range(3) for c in "gm"])
+    return out.withColumn(out_col, judged).drop(group, model)
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior_rows: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """id, the statistics, base_failed, distance and kept of each document.
 
     The statistics are counted once, into a table without the texts.
@@ -224,10 +278,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     base = stored(docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), statistics(F.col(text_col)).alias("s")))
     s = F.col("s")
     vectors = base.where(~base_failed(s)).select("lang", "source", *[v.alias(f"x_{i}") for i, v in enumerate(vector(s))])
-    judged = _judged(base, fit(vectors, min_rows), F.col("lang"), F.col("source"), "s", cutoff)
+    judged = _judged(base, fit(vectors, prior_rows), F.col("lang"), F.col("source"), "s", cutoff)
     return judged.select(F.col("id").alias(id_col), "s.*")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    return with_verdicts(docs, out_col="__rules", **options).where(F.col("__rules")["kept"]).drop("__rules")
+    name = free_name(docs, "__rules")
+    return with_verdicts(docs, out_col=name, **options).where(F.col(name)["kept"]).drop(name)
