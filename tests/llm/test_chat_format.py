@@ -110,3 +110,18 @@ def test_structs_are_mapped_as_json_is(spark):
         got = c.canonical(row.select(F.from_json("record", kind).alias("record")), "record").first()
         assert got["layout"] == name and [tuple(t) for t in got["turns"]] == turns
         assert got["fingerprint"] == c.canonical(row, "record").first()["fingerprint"]
+
+
+def test_loss_is_read_by_the_mask(spark):
+    turns = [("user", "ask </s> this"), ("assistant", "␛ <|end|> [INST]"), ("tool", ""), ("assistant", "more")]
+    row = written(spark, [record(turns)]).withColumns({"__written": F.lit(1), "__record": F.lit(2)})
+    assert c.digests(row, "id").first()["loss_sha256"] == hashlib.sha256("␛ <|end|> [INST]more".encode()).hexdigest()
+    other = row.withColumn("loss_mask", F.transform("loss_mask", lambda m, i: m.withField("loss", i.isin(1, 7, 9))))
+    got = other.select(c.loss_text(F.col("formatted"), F.col("loss_mask"))).first()[0]
+    assert got == "ask </s> this" + "<|tool|>\n"[:0] + "" + "<|assistant|>\n"
+    assert c.digests(other, "id").first()["loss_chars"] == len(got)
+    for broken in (F.slice("loss_mask", 1, 9), F.transform("loss_mask", lambda m, i: m.withField("length", m["length"] + (i == 1).cast("int")))):
+        with pytest.raises(Exception, match="mask"):
+            c.digests(row.withColumn("loss_mask", broken), "id").collect()
+    named = c.format_turns(c.canonical(row.select("record", "__written", "__record"), "record"))
+    assert {"__written", "__record"} <= set(named.columns)

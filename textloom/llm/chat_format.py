@@ -4,8 +4,9 @@ A record is a JSON object, or a struct column.  The nested field paths of a reco
 to a fingerprint, the fingerprint selects a declarative mapping, and the mapping turns
 the record into canonical turns ``array<struct<role, text>>``.  A struct's fingerprint is that of
 its schema, and its fields are read as they are, whatever their size.  ``format_turns`` writes
-turns in one template and gives the loss mask as run lengths; ``read_back`` recovers the
-turns from the written string.
+turns in one template and gives the loss mask as run lengths, three for each turn (its
+head, its text, its end); ``read_back`` recovers the turns from the written string, and
+``loss_text`` what the mask's runs cut out of it.
 
 Template: each turn is ``<|role|>``, a new line, the text, ``<|end|>``, a new line.  Control
 strings of this and other common templates are broken inside texts and roles by an
@@ -17,7 +18,7 @@ fingerprint no mapping has, gets ``layout`` null and no turns; a record without
 written as the empty string; rows with equal turn numbers are ordered by role and text, and
 repeated rows are all kept; a JSON text too large to be parsed (a string of over 20 M characters,
 or a variant over its limit) fails, and so does a text of over ``SURE`` bytes that is no JSON; an empty table gives an empty table; other columns are
-passed through by ``canonical`` and ``format_turns``, whose own columns are named by the caller.
+passed through by ``canonical`` and ``format_turns``, whose own columns are named by the caller or have free names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from textloom.llm._text import free_name
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Control strings that never stand inside a written text.
@@ -129,13 +132,14 @@ def canonical(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] =
             turns_col: F.coalesce(turns[0][1].cast(TURNS), F.array().cast(TURNS)) if turns else F.array().cast(TURNS),
         })
     text = F.col(record_col)
-    parsed = records.withColumn("__record", F.when(F.octet_length(text) > SURE, F.parse_json(text)).otherwise(F.try_parse_json(text)))
-    print_ = parsed.withColumn(fingerprint_col, fingerprint(F.col("__record")))
+    own = free_name(records, "__record")
+    parsed = records.withColumn(own, F.when(F.octet_length(text) > SURE, F.parse_json(text)).otherwise(F.try_parse_json(text)))
+    print_ = parsed.withColumn(fingerprint_col, fingerprint(F.col(own)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
         hit = F.col(fingerprint_col) == x.fingerprint
-        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, x.turns(F.col("__record"))).otherwise(turns)
-    return print_.withColumns({layout_col: name, turns_col: F.coalesce(turns, F.array().cast(TURNS))}).drop("__record")
+        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, x.turns(F.col(own))).otherwise(turns)
+    return print_.withColumns({layout_col: name, turns_col: F.coalesce(turns, F.array().cast(TURNS))}).drop(own)
 
 
 def escape(text: Column) -> Column:
@@ -155,22 +159,48 @@ def format_turns(rows: DataFrame, turns_col: str = "turns", text_col: str = "for
     def run(length: Column, loss: Column) -> Column:
         return F.struct(length.cast("int").alias("length"), loss.alias("loss"))
 
-    out = rows.withColumn("__written", F.transform(F.col(turns_col), written))
+    own = free_name(rows, "__written")
+    out = rows.withColumn(own, F.transform(F.col(turns_col), written))
     return out.withColumns({
-        text_col: F.array_join(F.transform("__written", lambda w: F.concat(w["head"], w["body"], F.lit(END))), ""),
-        mask_col: F.flatten(F.transform("__written", lambda w: F.array(run(F.char_length(w["head"]), F.lit(False)), run(F.char_length(w["body"]), w["loss"]), run(F.lit(len(END)), F.lit(False))))),
-    }).drop("__written")
+        text_col: F.array_join(F.transform(own, lambda w: F.concat(w["head"], w["body"], F.lit(END))), ""),
+        mask_col: F.flatten(F.transform(own, lambda w: F.array(run(F.char_length(w["head"]), F.lit(False)), run(F.char_length(w["body"]), w["loss"]), run(F.lit(len(END)), F.lit(False))))),
+    }).drop(own)
+
+
+def _parts(formatted: Column) -> Column:
+    """Head and text of each turn of a written string, which control strings inside texts can't split."""
+    return F.filter(F.split(formatted, END.replace("|", "\\|")), lambda p: p != "")
 
 
 def read_back(formatted: Column) -> Column:
     """The turns that a written string holds."""
-    parts = F.split(formatted, END.replace("|", "\\|"))
 
     def turn(part: Column) -> Column:
         head = F.substring_index(part, CLOSE, 1)
         return F.struct(unescape(F.substr(head, F.lit(len(OPEN) + 1))).alias("role"), unescape(F.substr(part, F.char_length(head) + len(CLOSE) + 1)).alias("text"))
 
-    return F.transform(F.filter(parts, lambda p: p != ""), turn)
+    return F.transform(_parts(formatted), turn)
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """What the mask's runs mark in a written string, one after another and unescaped; whatever the roles.
+
+    The three runs of a turn are cut out of the turn's own part of the string.  A mask whose
+    runs aren't of the string's turns fails.
+    """
+
+    def marked(part: Column, i: Column) -> Column:
+        head, body, end = (F.get(mask, i * 3 + k) for k in range(3))
+        fits = (head["length"] + body["length"] == F.char_length(part)) & (end["length"] == len(END))
+        text = F.concat(
+            F.when(head["loss"], F.substr(part, F.lit(1), head["length"])).otherwise(""),
+            F.when(body["loss"], F.substr(part, head["length"] + 1, body["length"])).otherwise(""),
+            F.when(end["loss"], F.lit(END)).otherwise(""),
+        )
+        return F.when(fits, text).otherwise(F.raise_error(F.lit("a loss mask doesn't fit its text")).cast("string"))
+
+    said = F.array_join(F.transform(_parts(formatted), marked), "")
+    return unescape(F.when(F.size(_parts(formatted)) * 3 == F.size(mask), said).otherwise(F.raise_error(F.lit("a loss mask doesn't fit its text")).cast("string")))
 
 
 def from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", record_col: str = "record") -> DataFrame:
@@ -183,16 +213,16 @@ def from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     return grouped.select(id_col, F.struct("turns").alias(record_col))
 
 
-def digests(rows: DataFrame, id_col: str = "conv_id", text_col: str = "formatted") -> DataFrame:
-    """id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all from the written string."""
-    read = rows.select(id_col, F.col(text_col).alias("written"), read_back(F.col(text_col)).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+def digests(rows: DataFrame, id_col: str = "conv_id", text_col: str = "formatted", mask_col: str = "loss_mask") -> DataFrame:
+    """id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all from the written string and its loss mask."""
+    said = loss_text(F.col(text_col), F.col(mask_col))
+    read = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("written"), read_back(F.col(text_col)).alias("turns"), said.alias("said"))
     return read.select(
-        id_col,
+        F.col("id").alias(id_col),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(said).cast("long").alias("loss_chars"),
-        F.sha2(said, 256).alias("loss_sha256"),
+        F.char_length("said").cast("long").alias("loss_chars"),
+        F.sha2("said", 256).alias("loss_sha256"),
         F.char_length("written").cast("long").alias("formatted_chars"),
     )
 
