@@ -101,3 +101,26 @@ def test_query_over_small_tables(spark, small):
                     found |= known[g]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert r["items_sha256"] == d.items_sha256(list(found))
+
+
+def test_blocks_give_the_same_and_plans_do_not_grow(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefg") for _ in range(n))
+    items = spark.createDataFrame([(k, text(r.choice([2, 5, 9, 12, 30]))) for k in range(60)], "item_id long, text string")
+    rows = [text(r.randint(0, 60)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*rows, *rows[:5], None, ""])], "doc_id long, text string")
+    size = sum(len(i["text"]) // 4 + 1 for i in items.collect())
+    one, some, many = ([d.scan(docs, items, window=6, block_words=n), None] for n in (10**6, -(-size // 3), -(-size // 20)))
+    want = sorted(map(str, one[0].collect()))
+    for got in (some[0], many[0]):
+        assert sorted(map(str, got.collect())) == want
+    shape = lambda df: re.findall(r"(?m)^[ :+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert shape(some[0]) == shape(many[0])
+
+
+def test_long_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000 + "one two three", 5)], "doc_id long, text string, __hits int")
+    items = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "three")], "item_id long, text string")
+    assert d.scan(docs, items).select("n_words", "n_hit", "items").first() == (200_003, 3, ["1", "2", "3"])
+    out = d.clean(docs, items)
+    assert out.columns == docs.columns and out.first()["text"] == ("word " * 200_000).rstrip()

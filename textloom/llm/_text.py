@@ -7,6 +7,7 @@ partitioning, the shuffles and the recovery.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -107,6 +108,16 @@ def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def stored_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """Tables of one schema, written one after another to one folder and read back as one table."""
+    path, schema = f"{shared_dir(spark)}/{uuid.uuid4().hex}", None
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    written.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop(spark: SparkSession, top: str) -> None:
     """Delete a table of ``stored``, or the folder of all."""
     jvm = spark._jvm

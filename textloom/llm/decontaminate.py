@@ -5,10 +5,11 @@ every word the automaton knows the longest run of words ending there that also
 stands in some item.  Runs of ``window`` words, or all of a shorter item, are hits;
 ``clean`` removes the hit spans, and documents that are mostly hits.
 
-The automaton is built from the benchmark, which is bounded here: up to
-``BLOCK_WORDS`` words make one automaton that each task builds for itself, and a larger
-benchmark is cut into blocks of that size whose hits are joined together, so no
-broadcast grows with the benchmark.
+A benchmark of any size is dealt by hash to blocks of about ``BLOCK_WORDS`` words, in a stored table.  One
+block at a time is sent to the executors, where each worker builds its automaton once, and
+scans all documents; further blocks' hits are appended to a table by the text's hash
+and joined to the documents.  So what the driver and a worker hold, and the plan, are those of one
+block however large the benchmark is.
 
 Defined results: null and empty texts have no words and no hits; null items match
 nothing; equal items are all reported; documents are whatever rows come in, repeated or
@@ -19,13 +20,15 @@ and are passed through by ``clean``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textloom.llm._text import alnum_words
+from textloom.llm._text import alnum_words, free_name, stored, stored_parts
 
 WINDOW = 10
 #: Words of items in one automaton (about 100 bytes of memory each in a worker).
@@ -94,26 +97,28 @@ class SuffixAutomaton:
             place[k] += 1
             if place[k] >= self.window:
                 self.windows.setdefault(self.at_window[s], set()).add(k)
-        #: state -> (words, item) of the short items whose whole text ends with it
-        own: dict[int, list[tuple[int, int]]] = {}
+        #: state -> short items whose whole text ends with it; equal items are together
+        self.short: dict[int, list[int]] = {}
         for k, (_, words) in enumerate(items):
             if 0 < len(words) < self.window:
                 s = 0
                 for w in words:
                     s = self.next[s][w]
-                own.setdefault(s, []).append((len(words), k))
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * n
-        if own:
+                self.short.setdefault(s, []).append(k)
+        #: state -> the nearest state with short items among it and its suffixes, 0 without any; a chain has fewer than ``window``
+        self.near_short = [0] * n
+        if self.short:
             for s in sorted(range(1, n), key=self.length.__getitem__):
-                self.short[s] = (*own.get(s, ()), *self.short[self.link[s]])
+                self.near_short[s] = s if s in self.short else self.near_short[self.link[s]]
+        self.short_length = {s: len(items[ks[0]][1]) for s, ks in self.short.items()}
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans [from, to) of words that are hit, apart and in order, and the items hit."""
         edges, link, length, window = self.next, self.link, self.length, self.window
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        windows, ends = set(), set()
         state = run = 0
-        root, short = edges[0], self.short
+        root, near_short, short_length = edges[0], self.near_short, self.short_length
         for i, w in enumerate(words):
             if not state:
                 state = root.get(w, 0)
@@ -130,45 +135,44 @@ class SuffixAutomaton:
                 continue
             start = i + 1
             if run >= window:
-                found |= self.windows[self.at_window[state]]
+                windows.add(self.at_window[state])
                 start = i + 1 - window
-            for size, k in short[state]:
-                if size <= run:
-                    found.add(k)
-                    start = min(start, i + 1 - size)
+            s = near_short[state]
+            while s:
+                if short_length[s] <= run:
+                    ends.add(s)
+                    start = min(start, i + 1 - short_length[s])
+                s = near_short[link[s]]
             if start <= i:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, i + 1))
-        return spans, found
+        return spans, {k for of, states in ((self.windows, windows), (self.short, ends)) for s in states for k in of[s]}
 
 
-def blocks(items: DataFrame, item_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``most`` words, streamed to the driver a partition at a time."""
-    block, size = [], 0
-    for item, text in items.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        block.append((item, text))
-        size += len(text or "") // 4 + 1
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+Block = list[tuple[str, str]]
+#: The automaton that a worker built last, by its block's name.
+_built: dict[str, SuffixAutomaton] = {}
 
 
-def _scan_udf(block: list[tuple[str, str]], window: int):
+def _automaton(name: str, block: Block, window: int) -> SuffixAutomaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = SuffixAutomaton([(i, alnum_words(t)) for i, t in block], window)
+    return _built[name]
+
+
+def _scan_udf(shared: Broadcast, window: int):
     kind = T.StructType([
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
-    built: list[SuffixAutomaton] = []
 
     @F.arrow_udf(kind)
     def scan_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not built:
-            built.append(SuffixAutomaton([(i, alnum_words(t)) for i, t in block], window))
-        automaton = built[0]
+        name, block = shared.value
+        automaton = _automaton(name, block, window)
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for texts in batches:
             counts, spans, items = [], [], []
@@ -195,13 +199,36 @@ def _merged(spans: Column) -> Column:
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, hits_col: str = "__hits", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with a struct column of n_words, spans (of word places, apart and in order) and items (sorted)."""
-    parts = [_scan_udf(block, window)(F.col(text_col)) for block in blocks(items, item_col, item_text_col, block_words)] or [_scan_udf([], window)(F.col(text_col))]
-    if len(parts) == 1:
-        return docs.withColumn(hits_col, parts[0])
-    names = [f"{hits_col}_{k}" for k in range(len(parts))]
-    out = docs.withColumns(dict(zip(names, parts, strict=True)))
-    spans, found = (F.concat(*[F.col(n)[field] for n in names]) for field in ("spans", "items"))
-    return out.withColumn(hits_col, F.struct(F.col(names[0])["n_words"].alias("n_words"), _merged(spans).alias("spans"), F.array_sort(F.array_distinct(found)).alias("items"))).drop(*names)
+    spark = docs.sparkSession
+    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    size = items.agg(F.sum(F.floor(F.octet_length("text") / 4) + 1)).first()[0] or 0
+    n = max(1, -(-int(size) // block_words))
+    dealt = stored(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), ("block",)) if n > 1 else items
+
+    def block(k: int) -> Broadcast:
+        rows = (dealt.where(F.col("block") == k) if n > 1 else dealt).select("item", "text").toArrow()
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, list(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True))))
+
+    out = docs.withColumn(hits_col, _scan_udf(block(0), window)(F.col(text_col)))
+    if n == 1:
+        return out
+    # equal texts have equal hits, so that these are kept once for a text
+    key, more = (free_name(out, f"{hits_col}_{c}") for c in ("key", "more"))
+    texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+
+    def hits_of_blocks() -> Iterator[DataFrame]:
+        for k in range(1, n):
+            shared = block(k)
+            found = texts.select("key", _scan_udf(shared, window)("text").alias("h")).where(F.size("h.spans") > 0)
+            yield found.groupBy("key").agg(F.any_value("h").alias("h"))
+            shared.unpersist()
+
+    rest = stored_parts(spark, hits_of_blocks()).groupBy("key").agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.flatten(F.collect_list("h.items")).alias("items"))
+    side = rest.select(F.col("key").alias(key), F.struct("spans", "items").alias(more))
+    h, m = F.col(hits_col), F.col(more)
+    joined = out.join(side, F.md5(text_col) == F.col(key), "left")
+    both = F.struct(h["n_words"].alias("n_words"), _merged(F.concat(h["spans"], m["spans"])).alias("spans"), F.array_sort(F.array_distinct(F.concat(h["items"], m["items"]))).alias("items"))
+    return joined.withColumn(hits_col, F.when(m.isNotNull(), both).otherwise(h)).drop(key, more)
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -222,9 +249,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverag
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([without(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    marked = with_hits(docs, items, text_col, window=window, hits_col="__hits", **options)
-    h = F.col("__hits")
-    return marked.where(_n_hit(h) <= max_coverage * h["n_words"]).withColumn(text_col, F.when(F.size(h["spans"]) > 0, cut(F.col(text_col), h["spans"])).otherwise(F.col(text_col))).drop("__hits")
+    name = free_name(docs, "__hits")
+    marked = with_hits(docs, items, text_col, window=window, hits_col=name, **options)
+    h = F.col(name)
+    return marked.where(_n_hit(h) <= max_coverage * h["n_words"]).withColumn(text_col, F.when(F.size(h["spans"]) > 0, cut(F.col(text_col), h["spans"])).otherwise(F.col(text_col))).drop(name)
 
 
 def without(text: str, spans: list[dict]) -> str:
