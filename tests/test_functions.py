@@ -150,3 +150,28 @@ def test_readers(spark, tmp_path):
     assert {(r["items"], r["route"]) for r in routes.collect()} == {(8, "model_quantized_static_b8.onnx"), (3, "dynamic")}
     readers.write_exposition(spark.createDataFrame([("x 1",)], "value string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "x 1"
+
+
+def test_strict_settings(spark):
+    rows = spark.createDataFrame([("1K", "1.5"), (None, None)], "a string, b string")
+    got = rows.select(config.byte_count(F.col("a"), strict=True).alias("a"), config.ratio_threshold(F.col("b"), strict=True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(1024, 1.5), (None, 0.0)]
+    for text, f in (("1T", config.byte_count), ("x", config.ratio_threshold)):
+        with pytest.raises(Exception, match="not a"):
+            spark.createDataFrame([(text,)], "s string").select(f(F.col("s"), strict=True)).collect()
+
+
+def test_cache_limits_without_ordering_all(spark, monkeypatch):
+    import random
+
+    from textloom.operators import dense
+
+    r = random.Random(5)
+    monkeypatch.setattr(dense, "PARTS", 4)
+    monkeypatch.setattr(dense, "BAND", 3)
+    rows = [(f"{r.getrandbits(256):064x}", r.choice([1, 5, 5, 5, 900, -7])) for _ in range(120)]
+    cache = spark.createDataFrame(rows, "sha string, last_used long")
+    for n in (0, 1, 20, 77, 119, 120, 500):
+        got = {x["sha"] for x in dense.updated_cache(cache, cache.limit(0), n).collect()}
+        assert got == {s for s, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:n]}
+    assert dense.updated_cache(cache.limit(0), cache.limit(0), 5).count() == 0

@@ -64,6 +64,16 @@ def dispatch_status(error: Column, field: int) -> Column:
     return out
 
 
+def readiness(shutdown: Column, failed: Column, elapsed: Column, limit: Column) -> Column:
+    """What a probe tells: shutdown, timeout, error or ok."""
+    return F.when(shutdown, "shutdown").when(elapsed >= limit, "timeout").when(failed, "error").otherwise("ok")
+
+
+def kind_name(i: Column) -> Column:
+    """Name of a worker's kind by its number; null beyond them."""
+    return F.get(F.array(*[F.lit(k) for k in ("embed", "rerank", "splade")]), i)
+
+
 def unsupported(name: Column, prefixes: list[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:

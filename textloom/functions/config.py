@@ -64,14 +64,20 @@ def spinning(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("1", "true", "yes"), F.lit(False))
 
 
-def byte_count(text: Column) -> Column:
-    """Bytes of a number with a unit, null where there's none."""
+def byte_count(text: Column, strict: bool = False) -> Column:
+    """Bytes of a number with a unit; what has none is null, or fails if ``strict``.  Unset stays null."""
     t = F.upper(F.rtrim(text))
     number, unit = F.regexp_extract(t, "^([0-9]+)\\s*([A-Z]*)$", 1), F.regexp_extract(t, "^([0-9]+)\\s*([A-Z]*)$", 2)
     size = F.lit(None).cast("long")
     for name, n in UNITS.items():
         size = F.when(unit == name, F.lit(n).cast("long")).otherwise(size)
-    return F.when(number != "", number.try_cast("bigint") * size)
+    return _checked(F.when(number != "", number.try_cast("bigint") * size), text, "size", strict)
+
+
+def _checked(value: Column, text: Column, what: str, strict: bool) -> Column:
+    if not strict:
+        return value
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"not a {what}: "), text)).cast("double")).otherwise(value)
 
 
 def ratio_or(text: Column, default: float = 2.0) -> Column:
@@ -80,10 +86,16 @@ def ratio_or(text: Column, default: float = 2.0) -> Column:
     return F.when((x >= 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x).otherwise(F.lit(default))
 
 
-def ratio_threshold(text: Column) -> Column:
-    """A finite number from 0; 0 (off) where unset; null is an error."""
+def ratio_threshold(text: Column, strict: bool = False) -> Column:
+    """A finite number from 0; 0 (off) where unset; anything else is null, or fails if ``strict``."""
     x = F.trim(text).try_cast("double")
-    return F.when(text.isNull(), F.lit(0.0)).when((x >= 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x)
+    value = F.when(text.isNull(), F.lit(0.0)).when((x >= 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x)
+    return _checked(value, text, "length ratio", strict)
+
+
+def window_is_inert(window: Column, timeout: Column) -> Column:
+    """A freshness window shorter than the probe's timeout never suppresses anything."""
+    return window < timeout
 
 
 def optimisation_level(text: Column) -> Column:
@@ -96,6 +108,12 @@ def seconds_or(text: Column, default: float) -> Column:
     return F.when((x > 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x).otherwise(F.lit(default))
 
 
+def millis_or_off(text: Column, default: int) -> Column:
+    """Whole milliseconds; null is off: the setting 0, or a default of 0 where it is unset or no number."""
+    n = F.coalesce(whole(text), F.lit(default).cast("long"))
+    return F.when(n > 0, n)
+
+
 def overlay(own: Column, common: Column, default: Column) -> Column:
     """A model's own setting, else the common one, else the default; 0 and what isn't a number count as unset."""
     n = [F.when(whole(x) > 0, whole(x)) for x in (own, common)]

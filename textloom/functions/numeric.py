@@ -38,6 +38,15 @@ def l2_normalised(v: Column) -> Column:
     return let(v, lambda w: let(F.struct(w.alias("v"), norm(w).alias("n")), scaled))
 
 
+def masked_mean(tokens: Column, mask: Column, dims: int) -> Column:
+    """Mean of the token vectors that the mask has, scaled to unit length; zeros if it has none."""
+    real = F.transform(mask, lambda m: m.cast("double"))
+    n = F.greatest(F.aggregate(real, F.lit(0.0), lambda s, m: s + m), F.lit(1.0))
+    zero = F.array(*[F.lit(0.0)] * dims)
+    weighted = F.zip_with(tokens, real, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    return l2_normalised(F.aggregate(weighted, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b), lambda s: F.transform(s, lambda x: x / n)))
+
+
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(least)) * F.greatest(norm(b), F.lit(least)))
 

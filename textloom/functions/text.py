@@ -29,6 +29,11 @@ def cache_key(model: Column, input_type: Column) -> Column:
     return F.when(input_type == "query", F.concat(model, F.lit(":query"))).otherwise(model)
 
 
+def opaque_id(nanos: Column) -> Column:
+    """Id of a request from its time in nanoseconds."""
+    return F.concat(F.lit("rrk_"), F.lower(F.hex(nanos.cast("long"))))
+
+
 def blank(text: Column) -> Column:
     """True for texts of white space only, in Unicode's sense."""
     return text.rlike(r"^\p{IsWhite_Space}*$")

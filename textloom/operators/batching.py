@@ -54,9 +54,9 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], budget: Budget, l
         load = max(s["max"], most) * (s["items"] + n) if b.padded else s["total"] + tokens
         return load < b.tokens
 
-    def step(s: dict, row: dict) -> tuple:
-        most, n = row[length] or 0, row[texts] if texts else 1
-        tokens = row[total] if total else most
+    def step(s: dict, most: int | None, *rest: int) -> tuple:
+        most, n = most or 0, rest[0] if texts else 1
+        tokens = rest[-1] if total else most
         empty = s["batch"] == 0
         full = not empty and (s["items"] >= b.items or (s["max"] * s["items"] if b.padded else s["total"]) >= b.tokens)
         refused = not empty and (
@@ -75,7 +75,7 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], budget: Budget, l
         return s["batch"], head, refused and not full, reason
 
     start = lambda: {"batch": 0, "items": 0, "max": 0, "total": 0}
-    return ordered_fold(rows, keys, order, start, step, "batch int, head boolean, carried boolean, reason string")
+    return ordered_fold(rows, keys, order, [c for c in (length, texts, total) if c], start, step, "batch int, head boolean, carried boolean, reason string")
 
 
 def batches(packed_rows: DataFrame, keys: list[str], length: str = "len") -> DataFrame:
@@ -88,20 +88,78 @@ def split_back(results: DataFrame, keys: list[str], item: str, pos: str, value:
     return results.groupBy(*keys, item).agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("p")).select(*keys, item, F.transform("p", lambda x: x[value]).alias(value))
 
 
+def admitted(items: DataFrame, cancelled: Column) -> DataFrame:
+    """Items whose requester is still there; the others aren't charged, packed or dispatched."""
+    return items.where(~F.coalesce(cancelled, F.lit(False)))
+
+
+def delivered(packed_rows: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Items with ``error``: a batch's failure goes to all of its items, and so does a count of results that isn't its count of items.
+
+    replies: (keys, batch, results, failure), one for each batch; a batch without one has no results.
+    """
+    sizes = packed_rows.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("__n")).join(replies, [*keys, "batch"], "left")
+    got = F.coalesce("results", F.lit(0))
+    wrong = F.when(got != F.col("__n"), F.format_string("embed_fn returned %d vectors for %d texts", got.cast("long"), F.col("__n")))
+    return packed_rows.join(sizes.select(*keys, "batch", F.coalesce("failure", wrong).alias("error")), [*keys, "batch"])
+
+
+def permits(events: DataFrame, keys: list[str], order: list[str], arrival: str, most: int) -> DataFrame:
+    """Events with ``in_use`` (before) and ``limited``: an arrival takes a permit or is turned away at once; another event gives one back."""
+
+    def step(s: dict, arrives: bool | None) -> tuple:
+        used = s["used"]
+        limited = bool(arrives) and used >= most
+        s["used"] = used + (not limited) if arrives else max(0, used - 1)
+        return used, limited
+
+    return ordered_fold(events, keys, order, [arrival], lambda: {"used": 0}, step, "in_use int, limited boolean")
+
+
+def waiters(events: DataFrame, keys: list[str], order: list[str], arrival: str, most: int, cap: int) -> DataFrame:
+    """Events with ``outcome``, ``running`` and ``waiting`` (after) of a worker with ``most`` permits.
+
+    An arrival is refused where ``cap`` wait already, else runs or waits; a finished request's permit goes to
+    one that waits.
+    """
+
+    def step(s: dict, arrives: bool | None) -> tuple:
+        if arrives:
+            if s["waiting"] >= cap:
+                outcome = "refused"
+            elif s["running"] < most:
+                s["running"] += 1
+                outcome = "runs"
+            else:
+                s["waiting"] += 1
+                outcome = "waits"
+        elif s["running"] == 0:
+            outcome = "idle"
+        else:
+            outcome = "finished"
+            if s["waiting"]:
+                s["waiting"] -= 1
+            else:
+                s["running"] -= 1
+        return outcome, s["running"], s["waiting"]
+
+    return ordered_fold(events, keys, order, [arrival], lambda: {"running": 0, "waiting": 0}, step, "outcome string, running int, waiting int")
+
+
 def backpressure(events: DataFrame, keys: list[str], order: list[str], arrival: str, capacity: int = 256) -> DataFrame:
     """Events with depth (before) and rejected: an arrival is refused from 80 % of ``capacity`` waiting; another event takes one off."""
     limit = capacity * 8 // 10
 
-    def step(s: dict, row: dict) -> tuple:
+    def step(s: dict, arrives: bool | None) -> tuple:
         depth = s["depth"]
-        rejected = bool(row[arrival]) and depth >= limit
-        if not row[arrival]:
+        rejected = bool(arrives) and depth >= limit
+        if not arrives:
             s["depth"] = max(0, depth - 1)
         elif not rejected:
             s["depth"] += 1
         return depth, rejected
 
-    return ordered_fold(events, keys, order, lambda: {"depth": 0}, step, "depth int, rejected boolean")
+    return ordered_fold(events, keys, order, [arrival], lambda: {"depth": 0}, step, "depth int, rejected boolean")
 
 
 def heartbeats(probes: DataFrame, keys: list[str], order: list[str], at: str = "at", result: str = "result", window: float = 90.0, kill_after: int = 3) -> DataFrame:
@@ -111,8 +169,7 @@ def heartbeats(probes: DataFrame, keys: list[str], order: list[str], at: str = "
     ``window`` seconds after a success is suppressed; the ``kill_after``-th failure in a row kills.
     """
 
-    def step(s: dict, row: dict) -> tuple:
-        what, now = row[result], row[at]
+    def step(s: dict, what: str, now: float) -> tuple:
         if what in ("ok", "success"):
             s.update(last=now, failures=0)
             return what, 0
@@ -128,17 +185,17 @@ def heartbeats(probes: DataFrame, keys: list[str], order: list[str], at: str = "
             return "kill", kill_after
         return what, s["failures"]
 
-    return ordered_fold(probes, keys, order, lambda: {"last": None, "failures": 0}, step, "label string, failures int")
+    return ordered_fold(probes, keys, order, [result, at], lambda: {"last": None, "failures": 0}, step, "label string, failures int")
 
 
 def respawns(events: DataFrame, keys: list[str], order: list[str], event: str = "event", start: float = 2.0, most: float = 60.0) -> DataFrame:
     """Events (exit, spawn_ok, spawn_fail) with ``delay``: seconds waited before the next spawn; doubled by failures, reset by success."""
 
-    def step(s: dict, row: dict) -> tuple:
-        if row[event] == "spawn_fail":
+    def step(s: dict, what: str) -> tuple:
+        if what == "spawn_fail":
             s["delay"] = min(2 * s["delay"], most)
-        elif row[event] == "spawn_ok":
+        elif what == "spawn_ok":
             s["delay"] = start
         return (s["delay"],)
 
-    return ordered_fold(events, keys, order, lambda: {"delay": start}, step, "delay double")
+    return ordered_fold(events, keys, order, [event], lambda: {"delay": start}, step, "delay double")

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], tuple], out: str) -> DataFrame:
-    """``rows`` with columns ``out`` (a DDL string), which ``step(state, row)`` gives for each row in turn.
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], uses: list[str], start: Callable[[], dict], step: Callable[..., tuple], out: str) -> DataFrame:
+    """``rows`` with columns ``out`` (a DDL string), which ``step(state, *values of uses)`` gives for each row in turn.
 
-    ``start()`` is the state at the first row of a key; ``step`` changes it.
+    ``start()`` is the state at the first row of a key; ``step`` changes it.  Only keys and used columns leave Arrow.  A
+    key's rows are one task's work, so keys should be bounded, as requests and arrival windows are.
     """
     added = T.StructType.fromDDL(out)
     schema = T.StructType([*rows.schema.fields, *added.fields])
@@ -27,11 +28,12 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Call
         key, state = object(), None
         for batch in batches:
             got = []
-            for row in batch.to_pylist():
-                now = tuple(row[k] for k in keys)
+            columns = batch.schema.names
+            of_key, used = ([batch.column(columns.index(c)).to_pylist() for c in names] for names in (keys, uses))
+            for now, values in zip(zip(*of_key, strict=True), zip(*used, strict=True), strict=True):
                 if now != key:
                     key, state = now, start()
-                got.append(step(state, row))
+                got.append(step(state, *values))
             columns = [pa.array([g[i] for g in got], types[f.name]) for i, f in enumerate(added.fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema.fields])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import classify
+from textloom.functions.config import metrics_port
 from textloom.functions.text import blank
 
 MAX_INPUTS = 32
@@ -85,5 +86,27 @@ def resolved(requests: DataFrame, models: DataFrame, kind: str, model_col: str =
     return out.withColumns({"model_outcome": outcome, "resolved_model": F.when(outcome == "ok", F.when(named, F.col("__name")).otherwise(F.col("__only")))}).drop("__n", "__only", "__name")
 
 
+def kind_checked(asked: DataFrame, models: DataFrame, model_col: str = "model", kind_col: str = "kind") -> DataFrame:
+    """``asked`` with ``worker_kind`` and ``mismatch``: the error of a request whose kind isn't its model's; null where it fits or the model is unknown.
+
+    ``models`` (name, kind) is the configuration, a handful of rows.
+    """
+    own = models.select(F.col("name").alias(model_col), F.col("kind").alias("worker_kind"))
+    out = asked.join(own, model_col, "left")
+    return out.withColumn("mismatch", F.when(F.col(kind_col) != F.col("worker_kind"), F.concat(F.lit("kind mismatch: "), F.col("worker_kind"), F.lit(" worker got "), F.col(kind_col))))
+
+
+def numbered_workers(models: DataFrame, order: str, base: int) -> DataFrame:
+    """``models`` (name, kind, ..) with ``index`` (embed, then rerank, then splade, each in order) and the metrics ``port``.
+
+    The configuration is a handful of rows, so one task numbers them.
+    """
+    from pyspark.sql import Window
+
+    rank = F.array_position(F.array(*[F.lit(k) for k in ("embed", "rerank", "splade")]), F.col("kind"))
+    index = (F.row_number().over(Window.orderBy(rank, order)) - 1).cast("int")
+    return models.withColumn("index", index).withColumn("port", metrics_port(F.lit(base), F.col("index")))
+
+
 def response(index: Column, vector: Column, b64: Column, encoding_format: Column) -> Column:
     return F.struct(F.lit("embedding").alias("object"), index.alias("index"), F.when(encoding_format == "float", vector).alias("embedding"), F.when(encoding_format == "base64", b64).alias("embedding_b64"))

@@ -57,7 +57,9 @@ def _sql_values(rows: list[tuple], names: str) -> str:
 _WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t\\r\\n]+'), lambda x: x <> '')"
 _IDS = "list_transform(" + _WORDS + ", lambda w: (3 + ('0x' || substr(md5(w), 1, 7))::BIGINT % 30519)::INT)"
 _SIGMOID = "1.0 / (1.0 + exp(-CASE WHEN isnan({x}) THEN {x} ELSE greatest(-50.0, least(50.0, {x})) END))"
-_LENS = f"SELECT source, doc_id, len({_WORDS.format(t='text')})::BIGINT AS len FROM documents"
+#: Documents of one arrival window: a source's are packed and dispatched a window at a time, so that no task has all of them.
+_ARRIVALS = 256
+_LENS = f"SELECT source, doc_id // {_ARRIVALS} AS arrival, doc_id, len({_WORDS.format(t='text')})::BIGINT AS len FROM documents"
 
 # ------------------------------------------------------------------ ranking
 
@@ -71,7 +73,7 @@ _LOGITS = f"""
 def _logits(spark: SparkSession, d: str) -> DataFrame:
     """Logits of every vector for each of the query vectors: a stated query set, sent to all executors."""
     corpus = _read(spark, d, "embeddings", "vec_id", "embedding")
-    asked = corpus.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(1_000)
+    asked = corpus.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return corpus.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", (numeric.dot(F.col("q"), F.col("embedding")) * 8).alias("logit"))
 
 
@@ -125,7 +127,9 @@ def rerank_echo_documents(spark, d):
     encoder = encoders.HashEncoder()
     asked = _read(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("source"), F.col("text").alias("query"))
     pairs = _read(spark, d, "documents", "doc_id", "source", "text").join(asked, "source").withColumn("logit", encoder.pair(F.col("query"), F.col("text")))
-    best = rerank.results(pairs, ["source"], "logit", "doc_id", 5)
+    best = rerank.results(pairs.drop("text", "query"), ["source"], "logit", "doc_id", 5)
+    # texts meet the few ids that are returned, and don't go through the ranking
+    best = best.join(_read(spark, d, "documents", "doc_id", "text"), "doc_id")
     echo = rerank.echoed(F.col("text"), F.char_length("source") % 2 == 0)
     return best.select("source", "doc_id", "rank", _round("relevance_score").alias("relevance_score"), F.sha2(echo["text"], 256).alias("document_sha"))
 
@@ -233,18 +237,21 @@ _TOP_TERMS = f"""
 
 
 def _top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.top_terms(encoders.sparse_terms(_read(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id", 8, 0.7)
+    """(doc_id, p): the eight heaviest terms of each text, counted and chosen inside its row."""
+    docs = _read(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", encoders.HashEncoder().sparse(F.col("text"), 8, 0.7).alias("p"))
 
 
 @query(_TOP_TERMS + f"SELECT doc_id, rank, term, round(weight, {PLACES}) AS weight FROM r WHERE rank <= 8")
 def sparse_topk(spark, d):
-    return _top_terms(spark, d).select("doc_id", "rank", "term", _round("weight").alias("weight"))
+    rows = _top_terms(spark, d).select("doc_id", F.posexplode("p").alias("at", "t"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "t.term", _round("t.weight").alias("weight"))
 
 
 @query(_TOP_TERMS + f"""SELECT doc_id, string_agg(term::VARCHAR, ' ' ORDER BY rank) AS indices, round(sum(weight), {PLACES}) AS weight_sum, count(*)::INT AS n
     FROM r WHERE rank <= 8 GROUP BY doc_id""")
 def sparse_unzip(spark, d):
-    out = sparse.unzipped(_top_terms(spark, d), "doc_id")
+    out = sparse.unzipped(_top_terms(spark, d).where(F.size("p") > 0), "doc_id", "p")
     return out.select("doc_id", F.array_join("indices", " ").alias("indices"), _round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).alias("weight_sum"), F.size("values").alias("n"))
 
 
@@ -252,8 +259,7 @@ def sparse_unzip(spark, d):
     SELECT doc_id, string_agg(term::VARCHAR, ' ' ORDER BY k) AS indices FROM p WHERE k <= 3 GROUP BY doc_id""")
 def sparse_retruncate(spark, d):
     """The first three of the returned pairs that are over a higher threshold."""
-    pairs = _top_terms(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("p"))
-    kept = pairs.withColumn("p", sparse.truncated(F.col("p"), F.lit(3), F.lit(1.2))).where(F.size("p") > 0)
+    kept = _top_terms(spark, d).withColumn("p", sparse.truncated(F.col("p"), F.lit(3), F.lit(1.2))).where(F.size("p") > 0)
     return kept.select("doc_id", F.array_join(F.transform("p", lambda x: x["term"]), " ").alias("indices"))
 
 
@@ -295,28 +301,32 @@ _REQUEST = 32
 
 
 @query(f"""
-    WITH RECURSIVE l AS ({_LENS}), q AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {_REQUEST} AS request FROM l),
-    o AS (SELECT source, request, doc_id, greatest(len, 1) AS n, row_number() OVER (PARTITION BY source, request ORDER BY len DESC, doc_id) AS rn FROM q),
-    r(source, request, doc_id, rn, grp, widest) AS (
-        SELECT source, request, doc_id, rn, 0, n FROM o WHERE rn = 1
+    WITH RECURSIVE l AS ({_LENS}), q AS (SELECT *, (row_number() OVER (PARTITION BY source, arrival ORDER BY doc_id) - 1) // {_REQUEST} AS request FROM l),
+    o AS (SELECT source, arrival, request, doc_id, greatest(len, 1) AS n, row_number() OVER (PARTITION BY source, arrival, request ORDER BY len DESC, doc_id) AS rn FROM q),
+    r(source, arrival, request, doc_id, rn, grp, widest) AS (
+        SELECT source, arrival, request, doc_id, rn, 0, n FROM o WHERE rn = 1
         UNION ALL
-        SELECT o.source, o.request, o.doc_id, o.rn, CASE WHEN r.widest > 2 * o.n THEN grp + 1 ELSE grp END, CASE WHEN r.widest > 2 * o.n THEN o.n ELSE r.widest END
-        FROM r JOIN o ON o.source = r.source AND o.request = r.request AND o.rn = r.rn + 1)
+        SELECT o.source, o.arrival, o.request, o.doc_id, o.rn, CASE WHEN r.widest > 2 * o.n THEN grp + 1 ELSE grp END, CASE WHEN r.widest > 2 * o.n THEN o.n ELSE r.widest END
+        FROM r JOIN o ON o.source = r.source AND o.arrival = r.arrival AND o.request = r.request AND o.rn = r.rn + 1)
     SELECT source, doc_id, grp::INT AS group_no FROM r
 """)
 def subbatch_plan(spark, d):
-    """Requests of up to 32 documents of a source; each is split into groups of like length."""
+    """Requests of up to 32 documents of a source's arrival window; each is split into groups of like length."""
     from pyspark.sql import Window
 
     lens = _lengths(spark, d)
-    numbered = lens.withColumn("request", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / _REQUEST))
-    asked = numbered.groupBy("source", "request").agg(F.array_sort(F.collect_list(F.struct("doc_id", "len"))).alias("x"))
+    numbered = lens.withColumn("request", F.floor((F.row_number().over(Window.partitionBy("source", "arrival").orderBy("doc_id")) - 1) / _REQUEST))
+    asked = numbered.groupBy("source", "arrival", "request").agg(F.array_sort(F.collect_list(F.struct("doc_id", "len"))).alias("x"))
     plan = asked.select("source", "x", F.explode(batching.sub_batches(F.transform("x", lambda i: i["len"]), F.lit(2.0))).alias("g"))
     return plan.select("source", F.get("x", F.col("g.pos"))["doc_id"].alias("doc_id"), F.col("g.group").alias("group_no"))
 
 
+def _arrival() -> Column:
+    return F.floor(F.col("doc_id") / _ARRIVALS).alias("arrival")
+
+
 def _lengths(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select("source", "doc_id", F.size(text.words(F.col("text"))).cast("long").alias("len"))
+    return _read(spark, d, "documents").select("source", _arrival(), "doc_id", F.size(text.words(F.col("text"))).cast("long").alias("len"))
 
 
 _BUDGETS = {
@@ -331,36 +341,39 @@ def _packed_sql(b: batching.Budget) -> str:
     now = "r.mx * r.items" if b.padded else "r.total"
     ratio = f" OR (r.mx > 0 AND d.len > r.mx * {b.length_ratio})" if b.padded and b.length_ratio > 0 else ""
     return f"""
-        WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM ({_LENS})),
-        r(source, doc_id, rn, len, batch, head, carried, items, mx, total) AS (
-            SELECT source, doc_id, rn, len, 1, true, false, 1::BIGINT, len, len FROM d WHERE rn = 1
+        WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source, arrival ORDER BY doc_id) AS rn FROM ({_LENS})),
+        r(source, arrival, doc_id, rn, len, batch, head, carried, items, mx, total) AS (
+            SELECT source, arrival, doc_id, rn, len, 1, true, false, 1::BIGINT, len, len FROM d WHERE rn = 1
             UNION ALL
-            SELECT d.source, d.doc_id, d.rn, d.len, CASE WHEN f.refused THEN r.batch + 1 ELSE r.batch END, f.refused, f.refused AND NOT f.saturated,
+            SELECT d.source, d.arrival, d.doc_id, d.rn, d.len, CASE WHEN f.refused THEN r.batch + 1 ELSE r.batch END, f.refused, f.refused AND NOT f.saturated,
                    CASE WHEN f.refused THEN 1 ELSE r.items + 1 END, CASE WHEN f.refused THEN d.len ELSE greatest(r.mx, d.len) END, CASE WHEN f.refused THEN d.len ELSE r.total + d.len END
-            FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1,
+            FROM r JOIN d ON d.source = r.source AND d.arrival = r.arrival AND d.rn = r.rn + 1,
                  LATERAL (SELECT greatest(r.mx, d.len) > {b.longest}{ratio} OR r.items + 1 > {b.items} OR {load} >= {b.tokens} AS refused,
                                  r.items >= {b.items} OR {now} >= {b.tokens} AS saturated) f),
-        p AS (SELECT source, doc_id, len, batch, head, carried,
+        p AS (SELECT source, arrival, doc_id, len, batch, head, carried,
                      CASE WHEN head AND 1 > {b.items} THEN 'exceeds_batch_max_items' WHEN head AND len >= {b.tokens} THEN 'exceeds_max_batch_tokens' WHEN head AND len > {b.longest} THEN 'solo_seq_overflow' END AS reason FROM r)
     """
 
 
+_STREAM = ["source", "arrival"]
+
+
 def _packed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return batching.packed(_lengths(spark, d), ["source"], ["doc_id"], _BUDGETS[name])
+    return batching.packed(_lengths(spark, d), _STREAM, ["doc_id"], _BUDGETS[name])
 
 
 def _pack_query(name: str) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return _packed(spark, d, name).select("source", "doc_id", "batch", "head", "carried", "reason")
+        return _packed(spark, d, name).select("source", "arrival", "doc_id", "batch", "head", "carried", "reason")
 
     f.__name__ = name
-    query(_packed_sql(_BUDGETS[name]) + "SELECT source, doc_id, batch::INT AS batch, head, carried, reason FROM p")(f)
+    query(_packed_sql(_BUDGETS[name]) + "SELECT source, arrival, doc_id, batch::INT AS batch, head, carried, reason FROM p")(f)
 
 
 for _name in _BUDGETS:
     _pack_query(_name)
 
-_BATCHES = ", b AS (SELECT source, batch, count(*) AS items, max(len) AS mx, sum(len)::BIGINT AS total FROM p GROUP BY 1, 2)"
+_BATCHES = ", b AS (SELECT source, arrival, batch, count(*) AS items, max(len) AS mx, sum(len)::BIGINT AS total FROM p GROUP BY 1, 2, 3)"
 _WIDTH = "(CASE WHEN mx <= 1 THEN 1 ELSE least(1024, (2 ** length(bin(mx - 1)))::BIGINT) END)::BIGINT"
 
 
@@ -371,16 +384,16 @@ _WIDTH = "(CASE WHEN mx <= 1 THEN 1 ELSE least(1024, (2 ** length(bin(mx - 1))):
 """)
 def padding_waste(spark, d):
     """Share of padding of each batch: by the longest item, and by the width rounded up."""
-    b = batching.batches(_packed(spark, d, "pack_padded"), ["source"])
+    b = batching.batches(_packed(spark, d, "pack_padded"), _STREAM)
     area = F.col("max_len") * F.col("items")
     rounded = numeric.rounded_width(F.col("max_len"), F.lit(1024).cast("long")) * F.col("items")
     return b.groupBy("source").agg(F.count(F.lit(1)).alias("batches"), _round(F.avg(numeric.waste(area, F.col("total")))).alias("waste"), _round(F.avg(numeric.waste(rounded, F.col("total")))).alias("rounded_waste"))
 
 
-@query(_packed_sql(_BUDGETS["pack_padded"]) + _BATCHES + "SELECT source, batch::INT AS batch, items::DOUBLE * 12 * mx * mx * 4 AS scratch_bytes, items * mx AS token_budget FROM b")
+@query(_packed_sql(_BUDGETS["pack_padded"]) + _BATCHES + "SELECT source, arrival, batch::INT AS batch, items::DOUBLE * 12 * mx * mx * 4 AS scratch_bytes, items * mx AS token_budget FROM b")
 def attention_scratch(spark, d):
-    b = batching.batches(_packed(spark, d, "pack_padded"), ["source"])
-    return b.select("source", "batch", numeric.attention_bytes(F.col("items"), numeric.heads_of(F.lit("stand-in")), F.col("max_len")).alias("scratch_bytes"), (F.col("items") * F.col("max_len")).alias("token_budget"))
+    b = batching.batches(_packed(spark, d, "pack_padded"), _STREAM)
+    return b.select(*_STREAM, "batch", numeric.attention_bytes(F.col("items"), numeric.heads_of(F.lit("stand-in")), F.col("max_len")).alias("scratch_bytes"), (F.col("items") * F.col("max_len")).alias("token_budget"))
 
 
 @query(_packed_sql(_BUDGETS["pack_ragged"]) + _BATCHES + """
@@ -389,14 +402,14 @@ def attention_scratch(spark, d):
     FROM b GROUP BY 1, 2
 """)
 def batch_dimensions(spark, d):
-    b = batching.batches(_packed(spark, d, "pack_ragged"), ["source"])
+    b = batching.batches(_packed(spark, d, "pack_ragged"), _STREAM)
     labelled = b.select(numeric.batch_bucket(F.col("items")).alias("batch_size_bucket"), numeric.width_bucket(F.col("max_len")).alias("seq_len_bucket"))
     return metrics.counter(labelled, ["batch_size_bucket", "seq_len_bucket"])
 
 
-@query(_packed_sql(_BUDGETS["pack_ratio"]) + "SELECT source, count(*) FILTER (carried) AS carries, count(*) FILTER (reason IS NOT NULL) AS oversize, max(batch)::INT AS batches FROM p GROUP BY source")
+@query(_packed_sql(_BUDGETS["pack_ratio"]) + "SELECT source, count(*) FILTER (carried) AS carries, count(*) FILTER (reason IS NOT NULL) AS oversize, count(*) FILTER (head) AS batches FROM p GROUP BY source")
 def carry_counts(spark, d):
-    return _packed(spark, d, "pack_ratio").groupBy("source").agg(F.count_if("carried").alias("carries"), F.count("reason").alias("oversize"), F.max("batch").alias("batches"))
+    return _packed(spark, d, "pack_ratio").groupBy("source").agg(F.count_if("carried").alias("carries"), F.count("reason").alias("oversize"), F.count_if("head").alias("batches"))
 
 
 _PAD_WIDTH = 12
@@ -416,18 +429,18 @@ def pad_mask(spark, d):
 @query()
 def pad_mask_whole(spark, d):
     """All tokens of each document, padded to the longest of its batch."""
-    ids = _read(spark, d, "documents").select("source", "doc_id", text.token_ids(F.col("text")).alias("ids"))
-    placed = ids.join(_packed(spark, d, "pack_padded").select("source", "doc_id", "batch"), ["source", "doc_id"])
-    widths = placed.groupBy("source", "batch").agg(F.max(F.size("ids")).alias("width"))
-    filled = placed.join(widths, ["source", "batch"]).select("source", "doc_id", "batch", "width", text.padded(F.col("ids"), F.col("width")).alias("p"), text.mask(F.col("ids"), F.col("width")).alias("m"))
-    return filled.select("source", "doc_id", "batch", "width", F.array_join("p", " ").alias("ids"), F.array_join("m", " ").alias("mask"), text.leading_ones(F.col("m")).alias("ones"))
+    ids = _read(spark, d, "documents").select("source", _arrival(), "doc_id", text.token_ids(F.col("text")).alias("ids"))
+    placed = ids.join(_packed(spark, d, "pack_padded").select(*_STREAM, "doc_id", "batch"), [*_STREAM, "doc_id"])
+    widths = placed.groupBy(*_STREAM, "batch").agg(F.max(F.size("ids")).alias("width"))
+    filled = placed.join(widths, [*_STREAM, "batch"]).select(*_STREAM, "doc_id", "batch", "width", text.padded(F.col("ids"), F.col("width")).alias("p"), text.mask(F.col("ids"), F.col("width")).alias("m"))
+    return filled.select(*_STREAM, "doc_id", "batch", "width", F.array_join("p", " ").alias("ids"), F.array_join("m", " ").alias("mask"), text.leading_ones(F.col("m")).alias("ones"))
 
 
-@query("SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3)::INT AS slot FROM documents")
+@query(f"SELECT source, doc_id, ((row_number() OVER (PARTITION BY source, doc_id // {_ARRIVALS} ORDER BY doc_id) - 1) % 3)::INT AS slot FROM documents")
 def round_robin(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("doc_id")
+    w = Window.partitionBy("source", _arrival()).orderBy("doc_id")
     return _read(spark, d, "documents").select("source", "doc_id", F.pmod(F.row_number().over(w) - 1, F.lit(3)).alias("slot"))
 
 
@@ -567,7 +580,7 @@ def flag_settings(spark, d):
 """)
 def worker_settings(spark, d):
     i = F.col("id").cast("int")
-    return spark.range(10).select(i.alias("id"), config.backoff(i).alias("backoff"), config.metrics_port(F.lit(65_530), i).alias("port"), config.semaphore_cap(F.lit(None).cast("string"), i, F.lit(2)).alias("semaphore"), (i * 10 < 30).alias("inert"))
+    return spark.range(10).select(i.alias("id"), config.backoff(i).alias("backoff"), config.metrics_port(F.lit(65_530), i).alias("port"), config.semaphore_cap(F.lit(None).cast("string"), i, F.lit(2)).alias("semaphore"), config.window_is_inert(i * 10, F.lit(30)).alias("inert"))
 
 
 _MESSAGES = [
@@ -747,14 +760,14 @@ def static_shape_route(spark, d):
     from textloom.sources import readers
 
     shapes = readers.static_shapes(_values(spark, _FILES, "name string"))
-    return metrics.counter(readers.routed(batching.batches(_packed(spark, d, "pack_padded"), ["source"]), shapes), ["route"])
+    return metrics.counter(readers.routed(batching.batches(_packed(spark, d, "pack_padded"), _STREAM), shapes), ["route"])
 
 
-@query(_packed_sql(_BUDGETS["pack_padded"]) + "SELECT source, batch::INT AS batch, string_agg(len::VARCHAR, ' ' ORDER BY doc_id) AS lens, count(*) AS n FROM p GROUP BY 1, 2")
+@query(_packed_sql(_BUDGETS["pack_padded"]) + "SELECT source, arrival, batch::INT AS batch, string_agg(len::VARCHAR, ' ' ORDER BY doc_id) AS lens, count(*) AS n FROM p GROUP BY 1, 2, 3")
 def batch_split(spark, d):
     """What a batch gives, handed back in the order of its items; as many results as items."""
-    back = batching.split_back(_packed(spark, d, "pack_padded"), ["source"], "batch", "doc_id", "len")
-    return back.select("source", "batch", F.array_join("len", " ").alias("lens"), F.size("len").cast("long").alias("n"))
+    back = batching.split_back(_packed(spark, d, "pack_padded"), _STREAM, "batch", "doc_id", "len")
+    return back.select(*_STREAM, "batch", F.array_join("len", " ").alias("lens"), F.size("len").cast("long").alias("n"))
 
 
 _ENV = [("RERANKER_SESSION_POOL_SIZE_A",), ("SPLADE_SESSION_POOL_SIZE_B",), ("EMBED_BATCH_MAX_SEQ_E5",), ("EMBED_BATCH_MAX_SEQ_NOPE",), ("PATH",)]
@@ -814,3 +827,6 @@ def response_projection(spark, d):
     r = requests.response(F.col("i"), F.col("embedding"), numeric.base64_floats(F.col("embedding")), F.col("format"))
     out = rows.select("vec_id", r.alias("r"))
     return out.select("vec_id", F.col("r.object").alias("object"), F.col("r.index").alias("index"), F.when(F.col("r.embedding").isNotNull(), F.size("r.embedding")).alias("dims"), F.col("r.embedding_b64").isNotNull().alias("has_b64"))
+
+
+from textloom.plans import serving  # noqa: E402, F401 - registers its queries

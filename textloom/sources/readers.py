@@ -36,8 +36,8 @@ def static_shapes(files: DataFrame, name: str = "name") -> DataFrame:
 
 def routed(batches: DataFrame, shapes: DataFrame, size: str = "items") -> DataFrame:
     """Batches with the graph of exactly their size, or ``dynamic``."""
-    fixed = shapes.limit(10_000).select(F.col("batch").alias("__batch"), F.col("file").alias("__file"))
-    return batches.join(F.broadcast(fixed), F.col(size) == F.col("__batch"), "left").withColumn("route", F.coalesce("__file", F.lit("dynamic"))).drop("__batch", "__file")
+    fixed = shapes.select(F.col("batch").alias("__batch"), F.col("file").alias("__file"))
+    return batches.join(fixed, F.col(size) == F.col("__batch"), "left").withColumn("route", F.coalesce("__file", F.lit("dynamic"))).drop("__batch", "__file")
 
 
 def write_exposition(samples: DataFrame, path: str) -> None:
