@@ -71,7 +71,7 @@ def readiness(shutdown: Column, failed: Column, elapsed: Column, limit: Column)
 
 def kind_name(i: Column) -> Column:
     """Name of a worker's kind by its number; null beyond them."""
-    return F.get(F.array(*[F.lit(k) for k in ("embed", "rerank", "splade")]), i)
+    return F.get(F.array(*map(F.lit, KINDS)), i)
 
 
 def unsupported(name: Column, prefixes: list[str]) -> Column:

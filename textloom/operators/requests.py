@@ -103,7 +103,7 @@ def numbered_workers(models: DataFrame, order: str, base: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    rank = F.array_position(F.array(*[F.lit(k) for k in ("embed", "rerank", "splade")]), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, classify.KINDS)), F.col("kind"))
     index = (F.row_number().over(Window.orderBy(rank, order)) - 1).cast("int")
     return models.withColumn("index", index).withColumn("port", metrics_port(F.lit(base), F.col("index")))
 

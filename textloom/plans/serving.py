@@ -308,3 +308,99 @@ def list_settings(spark, d):
         "event_id", F.array_join(config.listed(s), "|").alias("parts"), F.array_join(scenarios, "|").alias("scenarios"), config.cached_graph_path(F.concat(F.lit("/g/"), i.cast("string")), i * 1000).alias("graph"),
         config.cache_decision(i % 5 != 0, i * 1000, i % 2 == 0).alias("decision"),
     )
+
+
+# ------------------------------------------------------------------ the same parsers and gates over whole tables
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN conv_id % 3 > 0 THEN 'e5' END AS model, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END::INT AS n, CASE WHEN turn % 3 < 2 THEN sha256(text) END AS first_sha,
+           CASE conv_id % 4 WHEN 0 THEN 'base64' WHEN 1 THEN 'hex' ELSE 'float' END AS encoding_format, CASE WHEN conv_id % 5 = 0 THEN 'query' ELSE 'document' END AS input_type, conv_id % 4 <> 1 AS valid FROM conversations
+""")
+def embed_requests(spark, d):
+    """Turns as JSON embedding requests: a text, a list of two or an empty list; one format isn't known."""
+    rows = _read(spark, d, "conversations", "conv_id", "turn", "text")
+    one = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    value = F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, F.concat(F.lit("["), one, F.lit(',"x"]'))).otherwise("[]")
+    i = F.col("conv_id")
+    fields = [F.concat(F.lit('"input":'), value), F.when(i % 4 == 0, F.lit('"encoding_format":"base64"')).when(i % 4 == 1, F.lit('"encoding_format":"hex"')), F.when(i % 5 == 0, F.lit('"input_type":"query"')), F.when(i % 3 > 0, F.lit('"model":"e5"'))]
+    out = requests.parsed(rows.select("conv_id", "turn", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("json")), "json", "embed")
+    return out.select("conv_id", "turn", "model", F.size("input").alias("n"), F.sha2(F.get("input", F.lit(0)), 256).alias("first_sha"), "encoding_format", "input_type", "valid")
+
+
+@query(f"""
+    WITH a AS (SELECT conv_id, turn, {_KIND} AS kind, CASE turn % 5 WHEN 0 THEN NULL WHEN 1 THEN 'e5' WHEN 2 THEN 'jina' WHEN 3 THEN 'ranker' ELSE 'nope' END AS model FROM conversations),
+         m AS (SELECT * FROM {_sql_values([("e5", "embed"), ("jina", "embed"), ("ranker", "rerank")], 'name, kind')}), k AS (SELECT kind, count(*) AS n, min(name) AS lone FROM m GROUP BY 1)
+    SELECT conv_id, turn, a.kind, CASE WHEN a.model IS NOT NULL AND m.name IS NOT NULL THEN 'ok' WHEN a.model IS NOT NULL THEN 'unknown_model' WHEN k.n = 1 THEN 'ok' WHEN coalesce(k.n, 0) = 0 THEN 'no_model' ELSE 'model_required' END AS model_outcome,
+           CASE WHEN a.model IS NOT NULL THEN m.name WHEN k.n = 1 THEN k.lone END AS resolved_model
+    FROM a LEFT JOIN m ON a.model = m.name AND a.kind = m.kind LEFT JOIN k ON a.kind = k.kind
+""")
+def request_models(spark, d):
+    """The model of every turn as a request, named or not, of each kind."""
+    models = _values(spark, [("e5", "embed"), ("jina", "embed"), ("ranker", "rerank")], "name string, kind string")
+    named = F.get(F.array(F.lit(None).cast("string"), F.lit("e5"), F.lit("jina"), F.lit("ranker"), F.lit("nope")), (F.col("turn") % 5).cast("int"))
+    asked = _read(spark, d, "conversations").select("conv_id", "turn", classify.kind_name((F.col("conv_id") % 3).cast("int")).alias("kind"), named.alias("model"))
+    parts = [requests.resolved(asked.where(F.col("kind") == k), models, k) for k in ("embed", "rerank", "splade")]
+    return parts[0].union(parts[1]).union(parts[2]).select("conv_id", "turn", "kind", "model_outcome", "resolved_model")
+
+
+@query(r"""
+    WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN repeat(' ', (conv_id % 3)::INT) || chr(160) WHEN turn % 7 = 6 THEN '' ELSE text END AS x, CASE WHEN conv_id % 6 = 0 THEN 'unknown_model' ELSE 'ok' END AS model FROM conversations)
+    SELECT conv_id, turn, CASE WHEN conv_id % 19 = 0 THEN 'shutdown' WHEN regexp_matches(x, '^[\s\p{Z}]*$') THEN 'blank_input' ELSE model END AS outcome FROM p
+""")
+def sparse_turn_gates(spark, d):
+    """Every turn as a sparse request; some are white space of one kind or another."""
+    i, t = F.col("conv_id"), F.col("turn")
+    blank = F.concat(F.repeat(F.lit(" "), (i % 3).cast("int")), F.lit("\u00a0"))
+    x = F.when(t % 4 == 3, blank).when(t % 7 == 6, F.lit("")).otherwise(F.col("text"))
+    model = F.when(i % 6 == 0, "unknown_model").otherwise("ok")
+    return _read(spark, d, "conversations").select("conv_id", "turn", requests.sparse_outcome(F.array(F.lit("text"), x), model, i % 19 == 0).alias("outcome"))
+
+
+_UNIT = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'B' WHEN 2 THEN 'k' WHEN 3 THEN 'KiB' WHEN 4 THEN ' M' WHEN 5 THEN 'MIB' WHEN 6 THEN 'g' WHEN 7 THEN 'GiB' ELSE 'T' END"
+
+
+@query(f"""
+    SELECT event_id, event_id * CASE event_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1024 WHEN 3 THEN 1024 WHEN 4 THEN 1048576 WHEN 5 THEN 1048576 WHEN 6 THEN 1073741824 WHEN 7 THEN 1073741824 END::BIGINT AS bytes,
+           CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN '1 8' WHEN event_id % 4 = 0 THEN (event_id % 3)::VARCHAR WHEN event_id % 3 = 0 THEN (event_id % 4)::VARCHAR WHEN event_id % 4 = event_id % 3 THEN (event_id % 4)::VARCHAR ELSE (event_id % 4) || ' ' || (event_id % 3) END AS sizes,
+           coalesce(event_type = 'error', false) AS strict, event_type NOT IN ('view', 'click') AS lenient, least(2.0 * 2.0 ** least(event_id, 30), 60.0) AS backoff, upper(event_type) || '_' || event_id AS env_key
+    FROM events
+""")
+def event_settings(spark, d):
+    """Sizes with units, lists of warm-up sizes, flags, delays and keys, made from every event."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    unit = F.get(F.array(*map(F.lit, ("", "B", "k", "KiB", " M", "MIB", "g", "GiB", "T"))), (i % 9).cast("int"))
+    sizes = F.concat((i % 4).cast("string"), F.lit(",nope, "), (i % 3).cast("string"), F.lit(","), (i % 4).cast("string"))
+    strict = F.when(kind == "error", "TRUE").otherwise("yes")
+    lenient = F.when(kind == "view", " false ").when(kind == "click", "0").otherwise("no")
+    return _read(spark, d, "events", "event_id", "event_type").select(
+        "event_id", config.byte_count(F.concat(i.cast("string"), unit)).alias("bytes"), F.array_join(config.warm_up_sizes(sizes, [1, 8]), " ").alias("sizes"), config.strict_bool(strict).alias("strict"),
+        config.lenient_bool(lenient).alias("lenient"), config.backoff(i).alias("backoff"), config.model_env_key(F.concat(kind, F.lit("-"), i.cast("string"))).alias("env_key"),
+    )
+
+
+@query("""
+    SELECT event_id, CASE event_type WHEN 'error' THEN 'queue_overflow' WHEN 'click' THEN 'arena_oom' WHEN 'view' THEN 'kind_mismatch' WHEN 'purchase' THEN 'tokenize' ELSE 'other' END AS worker,
+           CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'arena_oom' ELSE 'other' END AS runtime, CASE WHEN event_type = 'click' AND event_id % 2 = 1 THEN event_id % 20 END::INT AS bin_num FROM events
+""")
+def event_messages(spark, d):
+    """The class of the message that each event would have logged."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    oom = F.when(i % 2 == 0, F.concat(F.lit("arena: Available memory of "), i.cast("string"), F.lit(" is smaller than requested"))).otherwise(F.concat(F.lit("Extending BFCArena for Cpu. bin_num:"), (i % 20).cast("string"), F.lit(" (requested)")))
+    said = F.when(kind == "error", "worker Queue Overflow").when(kind == "click", oom).when(kind == "view", "Kind mismatch: embed").when(kind == "purchase", "Tokenizer failed").otherwise(F.concat(F.lit("event "), i.cast("string")))
+    return _read(spark, d, "events", "event_id", "event_type").select("event_id", classify.worker_error(said).alias("worker"), classify.runtime_error(said).alias("runtime"), classify.extended_bin(said).alias("bin_num"))
+
+
+@query("""
+    WITH s AS (SELECT p_partkey, 'm' || p_partkey AS name, p_size::BIGINT AS dim, (p_partkey % 4096)::BIGINT AS max_len, p_partkey % 6 AS k FROM part)
+    SELECT p_partkey, name, CASE WHEN k <> 1 THEN dim END AS dim, CASE WHEN k <> 2 THEN max_len END AS max_len, CASE WHEN k = 3 THEN 'model.onnx' WHEN k = 4 THEN '../x.onnx' ELSE 'model_quantized.onnx' END AS file, k IN (0, 3) AS valid FROM s
+""")
+def part_specs(spark, d):
+    """Parts as specifications of models, in one of six layouts of which two are right."""
+    k, n = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    dim, longest = F.col("p_size").cast("string"), (F.col("p_partkey") % 4096).cast("string")
+    head = F.concat(F.lit("m"), n, F.lit(":/m/x:"))
+    full = F.concat(head, dim, F.lit(":"), longest, F.lit(":0:true"))
+    spec = F.when(k == 0, full).when(k == 1, F.concat(head, F.lit("wide:"), longest, F.lit(":0:true"))).when(k == 2, F.concat(head, dim)).when(k == 3, F.concat(full, F.lit(":model.onnx"))).when(k == 4, F.concat(full, F.lit(":../x.onnx"))).otherwise(F.concat(head, dim, F.lit(":"), longest, F.lit(":0:maybe")))
+    s = config.embed_spec(spec)
+    return _read(spark, d, "part", "p_partkey", "p_size").select("p_partkey", *[s[c].alias(c) for c in ("name", "dim", "max_len", "file", "valid")])
