@@ -5,11 +5,11 @@ estimates a minimum-covariance-determinant location and scatter for every (langu
 source) by concentration steps, and ``verdicts`` rejects rows whose transformed
 statistic vector has too large a Mahalanobis distance.
 
-A concentration step is two aggregations: a histogram of log distances by group, whose
-running count gives the group's half-sample limit, and the mean and covariance of the
-rows within it.  Both combine on the map side, so a source with a third of all rows is
-no larger a task than others, and the histogram is the same however rows are dealt.
-Steps go on for each group until the determinant falls no more, from two starts (the
+A concentration step is one aggregation: sums of the vectors and their products by group and
+bucket of log distance.  Running counts of the buckets give the group's half-sample, and the
+sums of its buckets the mean and covariance.  Rows combine on the map side, so a source with a third
+of all rows is no larger a task than others, and buckets are the same however rows are dealt.
+Steps go on for each group until the determinant falls no more (by ``SETTLED``, relatively), from two starts (the
 coordinates' medians with the least deviations, and the mean and covariance of all rows), and the lower one is taken.
 
 Estimates are regularised in one way at every size: a group's location, scatter and scale are
@@ -45,6 +45,8 @@ SUBSET = 0.5
 CUTOFF = 30.86
 #: The median of chi-square with 5 degrees of freedom, to which a half-sample's distances are scaled.
 MEDIAN = 4.351
+#: Less fall of the determinant's logarithm than this ends a group's steps.
+SETTLED = 1e-4
 #: Rows that a wider group's estimate counts for in a narrower one's.
 PRIOR_ROWS = 100
 #: Statistic vector: name and the least standard deviation that a group may have in it.
@@ -164,20 +166,35 @@ def _join(rows: DataFrame, models: DataFrame, small: bool, by: tuple[str, ...] =
     return rows.join(F.broadcast(models) if small else models, list(by))
 
 
-def _moments(rows: DataFrame, d: int, within: Column | None = None, by: tuple[str, ...] = ("g",)) -> DataFrame:
-    rows = rows if within is None else rows.where(within)
+def _moments(rows: DataFrame, d: int) -> DataFrame:
     aggs = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(d)] + [F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    return rows.groupBy(*by).agg(*aggs)
+    return rows.groupBy("g").agg(*aggs)
 
 
-def _limits(rows: DataFrame, share: float, by: tuple[str, ...] = ("g",)) -> DataFrame:
-    """For each group the least histogram bucket of log distance with ``share`` of the rows at or below it."""
+def _half_samples(rows: DataFrame, d: int, by: tuple[str, ...]) -> DataFrame:
+    """Moments of each group's rows in the least buckets that hold SUBSET of them, of rows (by, b, x_0 ..)."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    sums = [F.sum(f"x_{i}").alias(f"s_{i}") for i in range(d)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"p_{i}_{j}") for i, j in pairs]
+    buckets = rows.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"), *sums)
     w = Window.partitionBy(*by)
+    upto = F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    within = buckets.withColumns({"upto": upto, "all": F.sum("n").over(w)}).where(F.col("upto") - F.col("n") < SUBSET * F.col("all"))
+    names = [f"s_{i}" for i in range(d)] + [f"p_{i}_{j}" for i, j in pairs]
+    total = within.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
+    return total.select(*by, *[mean[i].alias(f"m_{i}") for i in range(d)], *[(F.col(f"p_{i}_{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+
+
+def _limits(rows: DataFrame, share: float) -> DataFrame:
+    """For each group the least histogram bucket of log distance with ``share`` of the rows at or below it."""
+    from pyspark.sql import Window
+
+    counts = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("g")
     running = counts.withColumn("upto", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return running.where(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("b").alias("limit"))
+    return running.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(F.min("b").alias("limit"))
 
 
 def _bucket(distance2: Column) -> Column:
@@ -200,11 +217,10 @@ def concentrate(rows: DataFrame, d: int) -> DataFrame:
     small = left <= MOST_GROUPS
     while left:
         near = _join(rows, now.select(*by, "m"), small).withColumn("b", _bucket(distance(x, F.col("m"))))
-        within = _join(near, _limits(near, SUBSET, by), small, by)
-        fresh = _model(_moments(within, d, F.col("b") <= F.col("limit"), by), d)
+        fresh = _model(_half_samples(near, d, by), d)
         # the starts are no half-samples: their determinants are no bound, and every group takes a step
         old = now.select(*by, "before", *[F.col(n).alias(f"old_{n}") for n in names])
-        both = stored(_join(fresh, old, small, by).withColumn("falls", F.col("before").isNull() | (F.col("volume") < F.col("before") - 1e-9)))
+        both = stored(_join(fresh, old, small, by).withColumn("falls", F.col("before").isNull() | (F.col("volume") < F.col("before") - SETTLED)))
         done.append(both.where(~F.col("falls")).select(*by, F.col("before").alias("volume"), *[F.col(f"old_{n}").alias(n) for n in names]))
         now = both.where("falls").select(*by, *names, "m", "volume", F.col("volume").alias("before"))
         left = now.count()
