@@ -52,8 +52,8 @@ BLOCK, PIECE, RATE, DAMPING = 8, 256, 3.0, 300
 GROUP_WORDS = 120_000
 #: Counts of at most so many frequent words are sent to executors (12 bytes each).
 KNOWN = 1 << 19
-#: Tasks that count bits; their tables are added block by block.
-TRAINERS = 12
+#: Distinct words of one task that counts bits, of which there are as many as the words ask for; their tables are added block by block.
+TRAINER_WORDS = 500_000
 COUNTER_BLOCK = 1 << 17
 NEWTON_STEPS = 3
 #: Log-odds are kept in sixteenths.
@@ -332,7 +332,10 @@ def _tables(words: DataFrame, code: Code, times_col: str) -> list[np.ndarray]:
                 total += np.frombuffer(zlib.decompress(c.as_py()), np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([log_odds(total).tobytes()], pa.binary())], names=["at", "odds"])
 
-    parts = words.select("word", "class", times_col).coalesce(TRAINERS).mapInArrow(count, "at long, counts binary")
+    rows = words.select("word", "class", times_col)
+    trainers = max(1, -(-rows.count() // TRAINER_WORDS))
+    # tasks of many rows each, as every one of them gives a table
+    parts = rows.coalesce(trainers).mapInArrow(count, "at long, counts binary")
     out = [np.full(size // 2, -128, np.int8) for _ in range(PREDICTORS)]
     # fixed size: PREDICTORS x 2**TABLE_BITS bytes in all
     for r in parts.groupBy("at").applyInArrow(add, "at long, odds binary").toLocalIterator():
