@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import _text, byte_bpe, decontaminate, jaccard_join, quality_cnn, quality_rules
 from textloom.llm._text import stored
 from textloom.llm.queries import BPE_FILE, table
 
-#: Rows in one Arrow batch: whole texts, so fewer than usual.
-BATCH_ROWS = 1_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _scratch: list[str] = []
 
@@ -26,7 +24,6 @@ def scratch(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         while _scratch:
             _text.drop(spark, _scratch.pop())
         before = len(_text.written)
@@ -57,8 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @scratch
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; those that are mostly such passages go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without passages of the benchmark, and their new lengths; those that are mostly such passages go."""
+    out = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
 
 
 @scratch
@@ -82,9 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; a stage's table is deleted when the next one's is written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if path:
+                _text.drop(spark, path)
+            path = _text.written[-1]
     return docs
