@@ -160,17 +160,21 @@ _COMPONENT = "(('0x' || substr(md5(t::VARCHAR || ':{k}'), 1, 6))::BIGINT::DOUBLE
 _POOLED = ", ".join(f"list_sum(list_transform(ids, lambda t: {_COMPONENT.format(k=k)})) / len(ids) AS v{k}" for k in range(_DIMS))
 
 
-@query(f"""
-    WITH i AS (SELECT doc_id, {_HASHED} AS ids FROM documents), p AS (SELECT doc_id, {_POOLED} FROM i),
-         n AS (SELECT *, sqrt({' + '.join(f'v{k} * v{k}' for k in range(_DIMS))}) AS size FROM p)
-    SELECT doc_id, {', '.join(f'round(v{k} / size, {PLACES}) AS v{k}' for k in range(_DIMS))} FROM n
-""")
+def _scattered_sql(ids: str) -> str:
+    return f"""
+        WITH i AS (SELECT doc_id, {ids} AS ids FROM documents), p AS (SELECT doc_id, {_POOLED} FROM i),
+             n AS (SELECT *, sqrt({' + '.join(f'v{k} * v{k}' for k in range(_DIMS))}) AS size FROM p)
+        SELECT doc_id, {', '.join(f'round(v{k} / size, {PLACES}) AS v{k}' for k in range(_DIMS))} FROM n
+    """
+
+
+@query(_scattered_sql(_HASHED))
 def scatter_vectors(spark, d):
     """``scatter_vectors_whole`` of texts clipped at ``_LONGEST`` tokens."""
     return _scattered(spark, d, _LONGEST)
 
 
-@query()
+@query(_scattered_sql(f"list_concat([1], list_concat({_IDS.format(t='text')}, [2]))"))
 def scatter_vectors_whole(spark, d):
     """Each distinct text is encoded once, from all its tokens, and its vector goes to all documents with it; half of them come from the cache."""
     return _scattered(spark, d, (1 << 31) - 1)
@@ -426,7 +430,11 @@ def pad_mask(spark, d):
     return filled.select("doc_id", F.array_join("p", " ").alias("ids"), F.array_join("m", " ").alias("mask"), text.leading_ones(F.col("m")).alias("ones"))
 
 
-@query()
+@query(_packed_sql(_BUDGETS["pack_padded"]) + f""", i AS (SELECT doc_id, {_IDS.format(t='text')} AS ids FROM documents), w AS (SELECT source, arrival, batch, max(len) AS width FROM p GROUP BY 1, 2, 3)
+    SELECT p.source, p.arrival, p.doc_id, p.batch::INT AS batch, width::INT AS width, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS ids,
+           array_to_string(list_transform(range(width), lambda j: CASE WHEN j < len(ids) THEN 1 ELSE 0 END), ' ') AS mask, len(ids)::INT AS ones
+    FROM p JOIN i ON p.doc_id = i.doc_id JOIN w ON p.source = w.source AND p.arrival = w.arrival AND p.batch = w.batch
+""")
 def pad_mask_whole(spark, d):
     """All tokens of each document, padded to the longest of its batch."""
     ids = _read(spark, d, "documents").select("source", _arrival(), "doc_id", text.token_ids(F.col("text")).alias("ids"))
