@@ -110,3 +110,62 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: groups.find(x) for x in nodes}
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_shingle_sets_are_those_of_the_words():
+    """Against sets of word tuples: as many shingles, and as many in common, for every pair of texts."""
+    texts = ["", "one", "one two", "One TWO three", "a b c d e f", "a b  c\td x f", "a a a a a a", "b a a a a", "é É x", "a b c d e f a b c"]
+    for width in (3, 5):
+        hashed = sets_of(texts, width)
+        plain = []
+        for t in texts:
+            w = "".join(c.lower() if c.isascii() else c for c in t).split()
+            plain.append({tuple(w[i : i + min(width, len(w))]) for i in range(max(len(w) - width + 1, 1))} if w else set())
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                assert len(hashed[a] & hashed[b]) == len(plain[a] & plain[b])
+
+
+def test_all_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_DOCS", 5)
+    rows = [(i, t) for i, t in corpus(11, 90) if i is not None and i < 90 and t][:90]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    sets = dict(zip([i for i, _ in rows], sets_of([t for _, t in rows], 3), strict=True))
+    pairs, members = j.all_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    assert rep == {i: least[frozenset(s)] for i, s in sets.items() if s}
+    reps = sorted(set(rep.values()))
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    assert {(r["src"], r["dst"]) for r in pairs.collect()} == want and want
+
+
+def test_a_large_group_of_near_copies_costs_its_number(spark, monkeypatch):
+    """One group of 5,000 near copies: what is shuffled for it is in proportion, as the group connects through its centre."""
+    monkeypatch.setattr(j, "BLOCK_DOCS", 500)
+    sent, joined = [], j._joined
+
+    def counting(docs, rows, *rest):
+        sent.append(rows.count())
+        return joined(docs, rows, *rest)
+
+    monkeypatch.setattr(j, "_joined", counting)
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+
+    def near(k):
+        w = list(base)
+        w[r.randrange(200)] = f"x{k}"
+        return " ".join(w)
+
+    rows = [(k, near(k)) for k in range(5_000)] + [(9_000 + k, " ".join(f"y{r.randrange(10**6)}" for _ in range(50))) for k in range(50)]
+    totals = []
+    for n in (2_500, 5_000):
+        sent.clear()
+        docs = spark.createDataFrame([x for x in rows if x[0] < n or x[0] >= 9_000], "doc_id long, text string")
+        out = {x["doc_id"]: x["component_id"] for x in j.classes(docs, width=5, percent=80).collect()}
+        assert out == {i: 0 if i < n else i for i in out} and len(out) == n + 50
+        totals.append(sum(sent))
+    assert totals[1] < 1.2 * 5_000 and totals[1] < 2.1 * totals[0]
