@@ -15,8 +15,8 @@ groups aren't chained.
 Joining.  Groups are joined by signature trees: leaves hold documents with token
 bitmaps, nodes the OR of their children's bitmaps and the range of their set sizes, and a
 traversal of two trees at once drops pairs of nodes that can't reach the overlap needed.
-It runs over the bitmaps alone first, and only documents that may still link have
-their texts shuffled; then over the sets, and the pairs left are compared exactly.  Documents
+It runs over the bitmaps alone first (of documents with a size near another's in the group), and only
+documents that may still link have their texts shuffled; then over the sets, and the pairs left are compared exactly.  Documents
 already connected aren't compared again.
 
 Large groups.  A group of more than a block is cut into blocks by size.  Each block is joined
@@ -189,6 +189,13 @@ class Groups:
 def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
     """Which members have another one that the bitmaps let them link with."""
     out = np.zeros(len(sizes), bool)
+    if len(sizes) == 2:
+        # most groups are pairs, which need no tree
+        (x, y), words = maps, min(map(len, maps))
+        x, y = (np.bitwise_or.reduce(m.reshape(-1, words), 0) for m in (x, y))
+        extra = min(int(n) - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, (x, y), strict=True))
+        out[:] = int(np.bitwise_count(x & y).sum()) + extra >= needed(int(sizes[0]), int(sizes[1]), percent)
+        return out
 
     def visit(u: np.ndarray, v: np.ndarray, pairs: np.ndarray) -> None:
         out[u] |= pairs.any(1)
@@ -299,8 +306,8 @@ def _members(reps: DataFrame) -> DataFrame:
     """
     keyed = reps.select("id", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
-    others = keyed.join(centres, "key").where("id > centre").select("centre", "id").distinct()
-    return stored(others.union(others.select("centre", "centre").distinct()))
+    others = stored(keyed.join(centres, "key").where("id > centre").select("centre", "id").distinct())
+    return others.union(others.select("centre", "centre").distinct())
 
 
 def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -357,12 +364,15 @@ def _blocks(large: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _tree_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
-    members = _members(reps).join(reps.select("id", "n", "map"), "id")
+    members = stored(_members(reps).join(reps.select("id", "n"), "id"))
     totals = members.groupBy("centre").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     n_blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     totals = stored(totals.withColumn("blocks", n_blocks))
     of_large = totals.where("blocks > 1").select("centre")
-    small = members.join(of_large, "centre", "left_anti").select("centre", "id", "n", "map")
+    # in order of size, a document's neighbours are those nearest to it: without one that is near enough it links with none
+    w = Window.partitionBy("centre").orderBy("n")
+    sizes = members.join(of_large, "centre", "left_anti").select("centre", "id", "n", F.lag("n").over(w).alias("less"), F.lead("n").over(w).alias("more"))
+    small = sizes.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("centre", "id", "n").join(reps.select("id", "n", "map"), ["id", "n"])
     alive = stored(small.groupBy("centre").applyInArrow(_alive(percent), "centre long, id long, n long"))
     one = F.lit(0).alias("block"), F.lit(0).alias("other"), F.lit(1).alias("side")
     rows = alive.select("id", "centre", *one).distinct()
@@ -370,17 +380,17 @@ def _tree_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, ever
     if totals.where("blocks > 1").isEmpty():
         return _joined(docs, rows, width, percent, every)
     placed = _blocks(large, totals.where("blocks > 1"))
-    sizes = stored(placed.groupBy("centre", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    ranges = stored(placed.groupBy("centre", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     if every:
-        return _joined(docs, rows, width, percent, every).union(_across(docs, placed, placed, sizes, width, percent, every))
+        return _joined(docs, rows, width, percent, every).union(_across(docs, placed, placed, ranges, width, percent, every))
     # the centre goes to every block, and is the first to connect what is near it
-    in_block = placed.select("id", "centre", "block", one[1], one[2]).union(sizes.select(F.col("centre").alias("id"), "centre", "block", one[1], one[2])).distinct()
+    in_block = placed.select("id", "centre", "block", one[1], one[2]).union(ranges.select(F.col("centre").alias("id"), "centre", "block", one[1], one[2])).distinct()
     first = _joined(docs, rows.union(in_block), width, percent, every)
     whole = components(first)
     labelled = stored(placed.join(whole, "id", "left").select("centre", "id", "block", F.coalesce("component", "id").alias("component")))
     main = labelled.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     apart = labelled.join(main, "centre").where("component != main").select("centre", "id", "block")
-    return first.union(_across(docs, apart, placed, sizes, width, percent, every))
+    return first.union(_across(docs, apart, placed, ranges, width, percent, every))
 
 
 def _across(docs: DataFrame, some: DataFrame, placed: DataFrame, sizes: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
