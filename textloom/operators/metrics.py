@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
-_POWERS = lambda k: tuple(float(2**i) for i in range(k + 1))
-_MIB = float(1 << 20)
 #: Upper bounds of histogram buckets, by the ends of series' names (a full name counts first).
 LADDERS = {
     "_duration_seconds": _SECONDS,
-    "batch_size": _POWERS(7),
+    "batch_size": (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0),
     "embed_batch_wait_ms": (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 5000.0),
-    "padding_waste_ratio": tuple(k / 10 for k in range(11)),
+    "padding_waste_ratio": (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0),
     "embed_subbatch_groups": (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 32.0),
-    "embed_batch_tokens": tuple(float(128 << k) for k in range(8)),
-    "embed_texts_per_request": _POWERS(10),
+    "embed_batch_tokens": (128.0, 256.0, 512.0, 1024.0, 2048.0, 4096.0, 8192.0, 16384.0),
+    "embed_texts_per_request": (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0, 1024.0),
     "embed_rerank_pairs_per_request": (1.0, 5.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0),
-    "embed_batch_token_budget": (1e3, 4e3, 16e3, 64e3, 128e3, 256e3, 1e6, 4e6),
-    "embed_inference_attention_scratch_bytes": tuple(_MIB * k for k in (1, 16, 64, 256, 1024, 4096)),
-    "embed_inference_peak_bytes": tuple(_MIB * k for k in (16, 64, 256, 512, 1024, 2048, 4096, 8192)),
-    "embed_batch_max_effective_seq": _POWERS(9),
-    "embed_input_array_size": _POWERS(9),
-    "embed_rerank_input_docs_size": _POWERS(9),
+    "embed_batch_token_budget": (1000.0, 4000.0, 16000.0, 64000.0, 128000.0, 256000.0, 1000000.0, 4000000.0),
+    "embed_inference_attention_scratch_bytes": (1048576.0, 16777216.0, 67108864.0, 268435456.0, 1073741824.0, 4294967296.0),
+    "embed_inference_peak_bytes": (16777216.0, 67108864.0, 268435456.0, 536870912.0, 1073741824.0, 2147483648.0, 4294967296.0, 8589934592.0),
+    "embed_batch_max_effective_seq": (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0),
+    "embed_input_array_size": (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0),
+    "embed_rerank_input_docs_size": (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0),
 }
 
 
