@@ -110,3 +110,51 @@ def test_edges_weaken_with_distance():
     found = h.blocks("<div><p>a</p><p>b</p></div><div><div><div><p>c</p></div></div></div>")
     w = {(i, j): x for i, j, x in h.edges(found)}
     assert w[0, 1] > w[1, 2] > w[0, 2] and h.hops(found[0].element, found[1].element) == 2
+
+
+def plain_article(html):
+    """What an ordinary parser finds inside the article element, block by block."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.raw, self.blocks, self.now = 0, False, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.now).split())
+            self.blocks += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article", "footer"):
+                self.flush()
+            self.inside += tag == "article"
+            self.raw |= tag in ("script", "style")
+            if tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "article"):
+                self.flush()
+            self.inside -= tag == "article"
+            self.raw &= tag not in ("script", "style")
+
+        def handle_data(self, data):
+            if self.inside and not self.raw:
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.flush()
+    return "\n".join(reader.blocks)
+
+
+def test_query_equals_a_plain_parser(spark, small):
+    from textloom.llm.queries import op8_html_extract
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = op8_html_extract(spark, small).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["text"] == plain_article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
