@@ -175,3 +175,10 @@ def test_cache_limits_without_ordering_all(spark, monkeypatch):
         got = {x["sha"] for x in dense.updated_cache(cache, cache.limit(0), n).collect()}
         assert got == {s for s, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:n]}
     assert dense.updated_cache(cache.limit(0), cache.limit(0), 5).count() == 0
+
+
+def test_bench_table_is_one_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "name string, n int").repartition(2)
+    readers.write_bench_table(rows, ["name", "n"], f"{tmp_path}/t")
+    lines = [x for f in tmp_path.glob("t/part-*") for x in f.read_text().splitlines()]
+    assert lines[:2] == ["| name | n |", "|---|---|"] and sorted(lines[2:]) == ["| a | 1 |", "| b |  |"]

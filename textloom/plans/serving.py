@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import classify, config, numeric, text
-from textloom.operators import batching, dense, encoders, requests, sparse
+from textloom.operators import batching, dense, encoders, metrics, requests, sparse
 from textloom.plans.catalog import _BATCHES, _BUDGETS, _IDS, _STREAM, _WORDS, PLACES, _packed, _packed_sql, _read, _round, _sql_values, _values, query
+from textloom.sources import readers
 
 #: Documents of one request.
 _ASK = 32
@@ -310,6 +313,28 @@ def list_settings(spark, d):
     )
 
 
+# ------------------------------------------------------------------ telemetry
+
+_SERIES = [(name, f"{b:g}", b, k + 1.0) for k, (name, bounds) in enumerate(metrics.LADDERS.items()) for b in bounds] + [(name, "+Inf", None, k + 1.0) for k, name in enumerate(metrics.LADDERS)]
+
+
+@query(f"""
+    SELECT series, le, count(*) FILTER (value IS NOT NULL AND (bound IS NULL OR value * scale * scale <= bound)) AS count FROM events, {_sql_values(_SERIES, 'series, le, bound, scale')} GROUP BY 1, 2
+""")
+def metric_ladders(spark, d):
+    """Every series' buckets, over the events' values on scales of their own."""
+    rows = _read(spark, d, "events", "value")
+    parts = [metrics.histogram(rows.select(F.lit(name).alias("series"), (F.col("value") * (k + 1.0) * (k + 1.0)).alias("v")), ["series"], "v", bounds) for k, (name, bounds) in enumerate(metrics.LADDERS.items())]
+    return reduce(DataFrame.union, parts).select("series", "le", "count")
+
+
+@query("SELECT '| ' || event_type || ' | ' || count(*) || ' | ' || max(event_id) || ' |' AS line FROM events GROUP BY event_type")
+def bench_table(spark, d):
+    """Events by type as the lines of a report."""
+    rows = _read(spark, d, "events", "event_id", "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    return readers.bench_lines(rows, ["event_type", "n", "last"])
+
+
 # ------------------------------------------------------------------ the same parsers and gates over whole tables
 
 

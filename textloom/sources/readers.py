@@ -44,5 +44,20 @@ def write_exposition(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").text(path)
 
 
+def bench_lines(results: DataFrame, columns: list[str]) -> DataFrame:
+    """``results`` as lines of a markdown table, without its head."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return results.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def write_bench_table(results: DataFrame, columns: list[str], path: str) -> None:
+    """A markdown table in one file: a bench has a line for each scenario."""
+    head = [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
+    lines = bench_lines(results, columns).withColumn("part", F.lit(1))
+    top = results.sparkSession.createDataFrame([(line, 0) for line in head], "line string, part int").withColumn("at", F.monotonically_increasing_id())
+    whole = top.unionByName(lines.withColumn("at", F.xxhash64("line")))
+    whole.coalesce(1).sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)
+
+
 def write_bench(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
