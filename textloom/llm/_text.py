@@ -105,7 +105,8 @@ def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         import atexit
 
         atexit.register(drop, spark, top)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    # columns are read by name, so that no job has to look into the files for their types
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
