@@ -50,6 +50,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
 CELL_BITS, CELL_ROW = 22, 1 << 16
 #: Buckets of ids of which a set is sent to every executor, to leave out texts before they're shuffled.
 BUCKETS = 1 << 20
+#: Ids that are sent to every executor where one document of each component is kept.
+SENT_IDS = 1 << 20
 LEAF = 8
 #: Least and most bits of a bitmap; between them it has four to eight for each shingle.
 LEAST_BITS, MOST_BITS = 256, 1 << 17
@@ -456,10 +458,13 @@ def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is its component's least, once each, and all rows without an id.
 
-    Only ids decide; a row's text moves only to meet them, and is sorted out only where its id has several rows.
+    Only ids decide.  The ids that go, and those with several rows, are the smaller side: up to SENT_IDS of them are
+    sent to every executor and texts stay where they are; beyond, texts are shuffled once to meet them.
     """
-    found = classes(docs, id_col, text_col, **options)
-    first = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")))
-    once = docs.join(first.where("rows = 1").select(id_col), id_col, "left_semi")
-    again = docs.join(first.where("rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.union(again).union(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    found = stored(classes(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    first = F.col(id_col) == F.col("least")
+    apart, several = (stored(found.where(c).select(id_col)) for c in (~first | (F.col("rows") > 1), first & (F.col("rows") > 1)))
+    apart, several = (F.broadcast(x) if x.count() <= SENT_IDS else x for x in (apart, several))
+    once = docs.join(apart, id_col, "left_anti")
+    again = docs.join(several, id_col, "left_semi").dropDuplicates([id_col])
+    return once.union(again).select(docs.columns)
