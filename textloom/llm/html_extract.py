@@ -355,8 +355,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> tu
     """Weights from SAMPLE pages, chosen by a hash of their ids; equal ids are told apart by their pages' hashes."""
     short = pages.where(F.col(html_col).isNotNull() & (F.char_length(html_col) <= LONGEST))
     order = F.xxhash64(F.col(id_col).cast("string")).alias("a"), F.xxhash64(html_col).alias("b")
-    rows = short.select(*order, F.col(html_col).alias("html")).orderBy("a", "b").limit(SAMPLE).toArrow()["html"].to_pylist()
-    return train([e for html in rows for e in examples(html)])
+    # hashes alone are ordered; the pages of the few that are chosen, each once, come to the driver
+    chosen = short.select(*order).distinct().orderBy("a", "b").limit(SAMPLE)
+    rows = short.select(*order, F.col(html_col).alias("html")).join(F.broadcast(chosen), ["a", "b"]).dropDuplicates(["a", "b"]).toArrow().to_pylist()
+    return train([e for r in sorted(rows, key=lambda r: (r["a"], r["b"])) for e in examples(r["html"])])
 
 
 def text_column(html: Column, weights: tuple[float, ...] = DEFAULT) -> Column:
