@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Vocabulary used by the byte-level BPE query; every executor has the package that holds it.
 BPE_FILE = "byte_bpe_50k.tiktoken"
+#: Vocabularies whose tokens are aligned.
+BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Shards that the corpus is dealt to.
 SHARDS = 64
 
@@ -85,9 +87,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.digests(c.format_turns(c.canonical(records, "record")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm import token_alignment
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE), public_tokenizers.path(PIECE_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format)
+    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format, op11_token_alignment)
 }
 
 def _oracle_sql() -> dict[str, str]:
