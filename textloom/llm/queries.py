@@ -95,9 +95,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE), public_tokenizers.path(PIECE_FILE))
 
 
+def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import simhash_join
+
+    return simhash_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format, op11_token_alignment)
+    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format, op11_token_alignment, op12_simhash_join)
 }
 
 def _oracle_sql() -> dict[str, str]:
