@@ -101,9 +101,15 @@ def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import conversation_repair as c
+
+    return c.repair(c.damage(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format, op11_token_alignment, op12_simhash_join)
+    for f in (op1_context_mixing, op2_permutation_shards, op3_toxicity, op4_byte_bpe, op5_decontaminate, op6_quality_cnn, op7_quality_rules, op8_html_extract, op9_jaccard_join, op10_chat_format, op11_token_alignment, op12_simhash_join, op13_conversation_repair)
 }
 
 def _oracle_sql() -> dict[str, str]:
