@@ -340,12 +340,12 @@ _BUDGETS = {
 }
 
 
-def _packed_sql(b: batching.Budget) -> str:
+def _packed_sql(b: batching.Budget, lens: str = _LENS) -> str:
     load = "greatest(r.mx, d.len) * (r.items + 1)" if b.padded else "r.total + d.len"
     now = "r.mx * r.items" if b.padded else "r.total"
     ratio = f" OR (r.mx > 0 AND d.len > r.mx * {b.length_ratio})" if b.padded and b.length_ratio > 0 else ""
     return f"""
-        WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source, arrival ORDER BY doc_id) AS rn FROM ({_LENS})),
+        WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY source, arrival ORDER BY doc_id) AS rn FROM ({lens})),
         r(source, arrival, doc_id, rn, len, batch, head, carried, items, mx, total) AS (
             SELECT source, arrival, doc_id, rn, len, 1, true, false, 1::BIGINT, len, len FROM d WHERE rn = 1
             UNION ALL
@@ -837,4 +837,4 @@ def response_projection(spark, d):
     return out.select("vec_id", F.col("r.object").alias("object"), F.col("r.index").alias("index"), F.when(F.col("r.embedding").isNotNull(), F.size("r.embedding")).alias("dims"), F.col("r.embedding_b64").isNotNull().alias("has_b64"))
 
 
-from textloom.plans import serving  # noqa: E402, F401 - registers its queries
+from textloom.plans import scale, serving  # noqa: E402, F401 - they register their queries
