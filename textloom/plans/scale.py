@@ -1,11 +1,17 @@
-"""Queries over whole keys, however large: batches and sub-batches of a whole source."""
+"""Queries over whole keys, however large: batches and sub-batches of a whole source, sketches and caches kept by batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
 
-from textloom.operators import packing
-from textloom.plans.catalog import _ARRIVALS, _BUDGETS, _LENS, _lengths, _packed_sql, query
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from textloom.functions import text
+from textloom.operators import frequency, packing
+from textloom.operators.ordering import shared_dir, stored
+from textloom.plans.catalog import _ARRIVALS, _BUDGETS, _LENS, _lengths, _packed_sql, _read, query
+from textloom.streaming.vector_log import VectorLog
 
 #: Lengths of a whole source's documents, which arrive in one window.
 _WHOLE = _LENS.replace(f"doc_id // {_ARRIVALS}", "0")
@@ -40,3 +46,74 @@ for _name in _BUDGETS:
 def subbatch_plan_whole(spark, d):
     """All documents of a source as one request, split into groups of like length."""
     return packing.length_groups(_lengths(spark, d).drop("arrival"), ["source"], ratio=2.0, group="group_no").select("source", "doc_id", "group_no")
+
+
+# ------------------------------------------------------------------ caches
+
+_ITEM, _WIDTH = "user_id::VARCHAR || ':' || event_type", 1_024
+_DAY = "datediff('day', DATE '2020-01-01', ts::DATE)"
+_CELL = "(('0x' || substr(md5(k::VARCHAR || ':' || item), 1, 12))::BIGINT % " + str(_WIDTH) + ")"
+
+
+def _accesses(spark: SparkSession, d: str) -> DataFrame:
+    day = F.datediff(F.col("ts"), F.lit("2020-01-01").cast("date"))
+    return _read(spark, d, "events", "user_id", "event_type", "ts").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("item"), day.cast("long").alias("day"))
+
+
+@query(f"""
+    WITH a AS (SELECT {_ITEM} AS item, {_DAY} AS day FROM events), n AS (SELECT item, max(day) OVER () - day AS age FROM a),
+         e AS (SELECT item, sum(pow(2.0, -age)) AS exact FROM n GROUP BY item),
+         s AS (SELECT k, {_CELL} AS cell, sum(pow(2.0, -age)) AS count FROM n, range(4) AS r(k) GROUP BY 1, 2)
+    SELECT e.item, round(min(exact), 6) AS exact, round(min(count), 6) AS estimate
+    FROM e, range(4) AS r(k) JOIN s USING (k) WHERE s.cell = {_CELL} GROUP BY e.item
+""")
+def frequency_sketch(spark, d):
+    """How often each user did what, halved every day: exact, and as a sketch of 4 x 1,024 cells merged from the days' own sketches tells it."""
+    rows = _accesses(spark, d)
+    last = rows.agg(F.max("day").alias("last"))
+    days = rows.crossJoin(F.broadcast(last)).withColumn("age", F.col("last") - F.col("day"))
+    exact = days.groupBy("item", "age").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(F.sum(F.col("n") / F.pow(F.lit(2.0), F.col("age"))).alias("exact"))
+    own = frequency.sketch(days, "item", ["age"], width=_WIDTH)
+    counts = own.groupBy("row", "cell").agg(F.sum(F.col("count") / F.pow(F.lit(2.0), F.col("age"))).alias("count"))
+    out = frequency.estimates(exact, counts, "item", width=_WIDTH)
+    return out.select("item", F.round("exact", 6).alias("exact"), F.round("estimate", 6).alias("estimate"))
+
+
+#: Entries of the cache of ``cache_admission``.
+_ENTRIES = 200
+
+
+@query()
+def cache_admission(spark, d):
+    """(week, item, outcome): a cache of 200 entries that admits what is asked for more often than what would go, by a sketch halved every week."""
+    rows = _accesses(spark, d).withColumn("last_used", F.col("day")).withColumn("week", F.floor(F.col("day") / 7))
+    first, last = rows.agg(F.min("week"), F.max("week")).first()
+    cache, counts, told = rows.select(F.col("item"), "last_used").limit(0), None, []
+    for week in range(first, last + 1) if first is not None else []:
+        asked = rows.where(F.col("week") == week)
+        now = frequency.sketch(asked, "item")
+        counts = stored(now if counts is None else frequency.merged(frequency.aged(counts), now))
+        cache, outcomes = frequency.admitted(cache, asked, counts, _ENTRIES, "item")
+        told.append(outcomes.select(F.lit(week).cast("long").alias("week"), "item", "outcome"))
+    return reduce(DataFrame.union, told) if told else rows.limit(0).select("week", "item", F.lit("").alias("outcome"))
+
+
+#: Keys that the cache of ``vector_log`` holds at the end.
+_KEPT = 400
+
+
+@query(f"""
+    WITH t AS (SELECT sha256(text) AS sha, doc_id, doc_id % 3 AS batch FROM documents),
+         l AS (SELECT sha, max_by(doc_id, batch * 10000000000 + doc_id) AS last_used FROM t GROUP BY sha),
+         k AS (SELECT * FROM l WHERE sha NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 7))
+    SELECT sha, last_used FROM k ORDER BY last_used DESC, sha LIMIT {_KEPT}
+""")
+def vector_log(spark, d):
+    """A cache of texts' hashes after three batches of documents, a batch of deletions and a trim: what each batch touches is written anew."""
+    log = VectorLog(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "sha string, last_used long", buckets=16, most=2)
+    docs = _read(spark, d, "documents", "doc_id", "text").select("doc_id", text.text_hash(F.col("text")).alias("sha"), F.col("doc_id").alias("last_used"))
+    for k in range(3):
+        log.update(docs.where(F.col("doc_id") % 3 == k).select("sha", "last_used"), k)
+    log.update(docs.where(F.col("doc_id") % 10 == 7).select("sha", "last_used", F.lit(True).alias("deleted")), 3)
+    log.trim(_KEPT, 4)
+    return log.snapshot()
