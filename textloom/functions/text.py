@@ -80,3 +80,32 @@ def leading_ones(mask: Column) -> Column:
     """Ones before the first zero."""
     zero = F.array_position(mask, 0)
     return F.when(zero == 0, F.size(mask)).otherwise(zero - 1).cast("int")
+
+
+def pair_kept(first: Column, second: Column, most: Column) -> Column:
+    """Struct of how many ids of each side of a pair are kept where both have ``most`` places: the longer one is cut first.
+
+    The end that repeated cutting of the longer side comes to: a side of up to half the places is whole, else both
+    get half, and the odd place goes to the longer side (to the second of equal ones).
+    """
+    places = F.greatest(most, F.lit(0))
+    short = F.least(first, second)
+    less = F.when(short * 2 <= places, short).otherwise(F.floor(places / 2).cast("int"))
+    more = places - less
+    fits = first + second <= places
+    return F.struct(
+        F.when(fits, first).when(first > second, more).otherwise(less).cast("int").alias("first"),
+        F.when(fits, second).when(first > second, less).otherwise(more).cast("int").alias("second"),
+    )
+
+
+def pair_ids(query: Column, document: Column, longest: int) -> Column:
+    """Struct of ``ids`` (start, query, end, document, end; at most ``longest``), ``segments`` (1 from the document on) and both kept lengths."""
+
+    def cut(kept: Column) -> Column:
+        a, b = kept["first"], kept["second"]
+        ids = F.concat(F.array(F.lit(START)), F.slice(query, F.lit(1), a), F.array(F.lit(END)), F.slice(document, F.lit(1), b), F.array(F.lit(END)))
+        segments = F.concat(F.array_repeat(F.lit(0), a + 2), F.array_repeat(F.lit(1), b + 1))
+        return F.struct(ids.alias("ids"), segments.alias("segments"), a.alias("query"), b.alias("document"))
+
+    return let(pair_kept(F.size(query), F.size(document), F.lit(longest - 3)), cut)

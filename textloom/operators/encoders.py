@@ -15,7 +15,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textloom.functions.numeric import l2_normalised
 from textloom.functions.text import let, token_ids, with_specials
@@ -96,11 +97,30 @@ class Model:
         return self.run({k: v for k, v in feed.items() if k in self.inputs}), mask
 
 
+def ship(spark: SparkSession, *paths: str) -> None:
+    """Send files (of any file system, under different names) to every executor, once; ``located`` finds them there, also in tasks that start later."""
+    for path in paths:
+        spark.sparkContext.addFile(path)
+
+
+def located(path: str) -> str:
+    """A file at its place, or as it was shipped; one that is neither is named."""
+    if os.path.exists(path):
+        return path
+    shipped = SparkFiles.get(os.path.basename(path))
+    if not os.path.exists(shipped):
+        raise FileNotFoundError(path)
+    return shipped
+
+
+def mapped(path: str) -> np.ndarray:
+    """An array file, mapped into memory: the workers of one executor share its pages."""
+    return np.load(located(path), mmap_mode="r")
+
+
 def open_onnx(graph: str, tokenizer: str, threads: int = 1) -> Model:
-    """Files that every executor has at that place; one that is missing is named."""
-    for path in (graph, tokenizer):
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
+    """Files that every executor has at that place, or that were shipped; one that is missing is named."""
+    graph, tokenizer = located(graph), located(tokenizer)
     import onnxruntime
     from tokenizers import Tokenizer
 
@@ -125,11 +145,13 @@ _opened: dict[tuple, Model] = {}
 class OnnxEncoder:
     """Dense vectors, pair scores and sparse weights of ONNX graphs, in Arrow batches; a worker opens a graph once.
 
-    graph, tokenizer: files that every executor has at that place.  static: graphs by the batch size that they are made for; a
+    graph, tokenizer: files that every executor has at that place, or that were shipped.  ratio: where vectors are
+    computed, a batch's longest is at most so many times each of its texts, as sub-batches are planned; at most 1 puts all lengths together.  static: graphs by the batch size that they are made for; a
     batch of exactly that many goes there, padded to ``longest``.  opener: gives a ``Model`` of (graph, tokenizer).
     """
 
-    def __init__(self, graph: str, tokenizer: str, longest: int = 512, batch: int = 32, pad: int = 0, static: dict[int, str] | None = None, opener: Callable[[str, str], Model] = open_onnx):
+    def __init__(self, graph: str, tokenizer: str, longest: int = 512, batch: int = 32, pad: int = 0, static: dict[int, str] | None = None, opener: Callable[[str, str], Model] = open_onnx, ratio: float = 2.0):
+        self.ratio = ratio
         self.graph, self.tokenizer, self.longest, self.batch, self.pad = graph, tokenizer, longest, batch, pad
         self.static, self.opener = dict(static or {}), opener
 
@@ -139,22 +161,33 @@ class OnnxEncoder:
             _opened[key] = self.opener(graph, self.tokenizer)
         return _opened[key]
 
-    def batches(self, texts: list) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    def batches(self, texts: list, ratio: float = 1.0) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """(rows, output, mask) of batches of like length, longest first."""
         ids = self.model(self.graph).encode(texts, self.longest)
         if len(ids) != len(texts):
             raise ValueError(f"{len(ids)} encodings for {len(texts)} texts")
         order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
-        for at in range(0, len(order), self.batch):
-            rows = order[at : at + self.batch]
+        for rows in self._groups(order, [max(1, len(x)) for x in ids], ratio):
             fixed = self.static.get(len(rows))
             width = self.longest if fixed else max(1, max(len(ids[i]) for i in rows))
             out, mask = self.model(fixed or self.graph).outputs([ids[i] for i in rows], width, self.pad)
             yield rows, out, mask
 
+    def _groups(self, order: list[int], lengths: list[int], ratio: float) -> Iterator[list[int]]:
+        """Runs of an order by length that are no longer than a batch, and no wider than the ratio allows."""
+        rows: list[int] = []
+        for i in order:
+            wide = ratio > 1 and rows and np.float32(lengths[rows[0]]) / np.float32(lengths[i]) > np.float32(ratio)
+            if rows and (wide or len(rows) == self.batch):
+                yield rows
+                rows = []
+            rows.append(i)
+        if rows:
+            yield rows
+
     def vectors(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        for rows, hidden, mask in self.batches(texts):
+        for rows, hidden, mask in self.batches(texts, self.ratio):
             if hidden.ndim != 3 or hidden.shape[:2] != mask.shape:
                 raise ValueError(f"expected [batch, width, dims], got {hidden.shape}")
             for i, v in zip(rows, pool(hidden, mask), strict=True):

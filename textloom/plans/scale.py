@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text
-from textloom.operators import frequency, packing
+from textloom.operators import balance, frequency, packing, sparse
 from textloom.operators.ordering import shared_dir, stored
-from textloom.plans.catalog import _ARRIVALS, _BUDGETS, _LENS, _lengths, _packed_sql, _read, query
+from textloom.plans.catalog import _ARRIVALS, _BUDGETS, _IDS, _LENS, PLACES, _lengths, _packed_sql, _read, query
+from textloom.sources import vocabulary
 from textloom.streaming.vector_log import VectorLog
 
 #: Lengths of a whole source's documents, which arrive in one window.
@@ -117,3 +118,55 @@ def vector_log(spark, d):
     log.update(docs.where(F.col("doc_id") % 10 == 7).select("sha", "last_used", F.lit(True).alias("deleted")), 3)
     log.trim(_KEPT, 4)
     return log.snapshot()
+
+
+# ------------------------------------------------------------------ tokens
+
+#: Places of a pair.
+_PAIR = 64
+_CUT = f"CASE WHEN a + b <= {_PAIR - 3} THEN %s WHEN a > b THEN %s ELSE %s END"
+_LESS = f"CASE WHEN least(a, b) * 2 <= {_PAIR - 3} THEN least(a, b) ELSE {(_PAIR - 3) // 2} END"
+
+
+@query(f"""
+    WITH p AS (SELECT f.conv_id, l.turn, {_IDS.format(t='f.text')} AS q, {_IDS.format(t='l.text')} AS d FROM conversations f JOIN conversations l USING (conv_id) WHERE f.turn = 0 AND l.turn > 0),
+         n AS (SELECT *, len(q)::INT AS a, len(d)::INT AS b FROM p),
+         k AS (SELECT *, {_CUT % ('a', f'{_PAIR - 3} - ({_LESS})', _LESS)} AS x, {_CUT % ('b', _LESS, f'{_PAIR - 3} - ({_LESS})')} AS y FROM n)
+    SELECT conv_id, turn, x::INT AS query, y::INT AS document, (x + y + 3)::INT AS n,
+           md5(array_to_string(list_concat([1], list_concat(q[1:x], list_concat([2], list_concat(d[1:y], [2])))), ' ')) AS digest, (y + 1)::INT AS second FROM k
+""")
+def pair_tokens(spark, d):
+    """A conversation's first turn with each later one as the ids of a pair in 64 places, the longer one cut first."""
+    rows = _read(spark, d, "conversations", "conv_id", "turn", "text")
+    first = rows.where("turn = 0").select("conv_id", text.token_ids(F.col("text")).alias("q"))
+    pairs = rows.where("turn > 0").join(first, "conv_id").select("conv_id", "turn", text.pair_ids(F.col("q"), text.token_ids(F.col("text")), _PAIR).alias("p"))
+    ones = F.aggregate("p.segments", F.lit(0), lambda s, x: s + x)
+    return pairs.select("conv_id", "turn", "p.query", "p.document", F.size("p.ids").alias("n"), F.md5(F.array_join("p.ids", " ")).alias("digest"), ones.alias("second"))
+
+
+@query()
+def sparse_vocabulary(spark, d):
+    """(term, documents, token, surface): in how many documents a term is among the eight heaviest, named by a tokenizer file's entries."""
+    import public_tokenizers
+
+    rows = _read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(text.token_ids(F.col("text"))).alias("term"))
+    top = sparse.top_terms(rows.groupBy("doc_id", "term").agg(F.log(F.lit(1.0) + F.count(F.lit(1))).alias("weight")), "doc_id", 8, 0.7)
+    used = top.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    return vocabulary.named(used, vocabulary.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))).select("term", "documents", "token", "surface")
+
+
+#: Tasks that ``token_balance`` deals to.
+_PARTS = 16
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, greatest(len, 1) AS n FROM ({_LENS})), c AS (SELECT n, count(*) * n AS own FROM l GROUP BY n),
+         b AS (SELECT n, own, (sum(own) OVER (ORDER BY n))::BIGINT - own AS before, (sum(own) OVER ())::BIGINT AS total FROM c),
+         p AS (SELECT l.n, least(((before + own * (('0x' || substr(md5(doc_id::VARCHAR), 1, 5))::BIGINT) // 1048576) * {_PARTS}) // total, {_PARTS - 1})::INT AS part FROM l JOIN b ON l.n = b.n)
+    SELECT part, count(*) AS items, sum(n)::BIGINT AS tokens, min(n) AS narrowest, max(n) AS widest, round(1 - sum(n) / (count(*) * max(n))::DOUBLE, {PLACES}) AS waste FROM p GROUP BY part
+""")
+def token_balance(spark, d):
+    """Documents in 16 parts of about equal tokens in order of length: what each part has, and its padding if it were one batch."""
+    rows = balance.token_parts(_lengths(spark, d).withColumn("n", F.greatest("len", F.lit(1))), "len", F.col("doc_id"), _PARTS)
+    whole = rows.groupBy("part").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("tokens"), F.min("n").alias("narrowest"), F.max("n").alias("widest"))
+    return whole.withColumn("waste", F.round(1 - F.col("tokens") / (F.col("items") * F.col("widest")), PLACES))
