@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions.text import text_hash
+from textloom.operators.ordering import stored
 
 #: Ranges that are counted at once, and rows that are ordered at the end, where the limit of a cache is found.
 PARTS, BAND = 1_000, 100_000
@@ -73,7 +74,7 @@ def updated_cache(cache: DataFrame, used: DataFrame, capacity: int) -> DataFrame
     where the limit falls, ``PARTS`` ranges at a time; only what is left there (at most ``BAND`` rows) is ordered.
     """
     rows = cache.unionByName(used)
-    latest = rows.groupBy("sha").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "sha"]), "last_used").alias("r")).select("sha", "r.*")
+    latest = stored(rows.groupBy("sha").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "sha"]), "last_used").alias("r")).select("sha", "r.*"))
     # smaller is kept first: time from the last on, then the hash's first 60 bits
     moment = -F.col("last_used").cast("long")
     place = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")

@@ -48,6 +48,23 @@ def histogram(events: DataFrame, labels: list[str], value: str, bounds: tuple[fl
     return total.select(*labels, "n", "sum", F.explode(F.array(*rows)).alias("r")).select(*labels, "r.le", "r.count", "n", "sum")
 
 
+def histograms(events: DataFrame, series: str, value: str, ladders: dict[str, tuple[float, ...]]) -> DataFrame:
+    """(series, le, count, n, sum): each series' cumulative counts at its own bounds and +Inf, of all series in one pass and one aggregation.
+
+    Rows of a series without a ladder are left out.
+    """
+    bounds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, map(float, x))) for kv in ladders.items() for x in kv])
+    mine = F.element_at(bounds, F.col(series))
+    # a value falls in one bucket, the first whose bound it doesn't pass; cumulative counts are of buckets, not of rows
+    bucket = F.when(F.col(value).isNotNull(), F.aggregate(mine, F.lit(0), lambda n, b: n + (F.col(value) > b).cast("int")))
+    counts = events.withColumn("__bounds", mine).where("__bounds is not null").groupBy(series, bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"))
+    whole = counts.groupBy(series).agg(F.map_from_entries(F.collect_list(F.when(F.col("__bucket").isNotNull(), F.struct("__bucket", "c")))).alias("by"), F.coalesce(F.sum(F.when(F.col("__bucket").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), F.sum("s").alias("sum"))
+    rungs = [(name, k, f"{b:g}") for name, steps in ladders.items() for k, b in enumerate(steps)] + [(name, len(steps), "+Inf") for name, steps in ladders.items()]
+    rung = events.sparkSession.createDataFrame(rungs, f"`{series}` string, k int, le string")
+    up_to = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.element_at("by", i), F.lit(0).cast("long")))
+    return whole.join(F.broadcast(rung), series).select(series, "le", up_to.alias("count"), "n", "sum")
+
+
 def running_total(events: DataFrame, keys: list[str], order: list[str], delta: str, slice_of: Column) -> DataFrame:
     """``events`` with ``running``: the sum of ``delta`` up to the row in its key's order.
 

@@ -71,19 +71,41 @@ def status(outcome: Column) -> Column:
     return F.struct(*[classify.status_of(group, k).alias(n) for k, n in ((1, "status"), (2, "type"), (3, "retry_after"))])
 
 
-def resolved(requests: DataFrame, models: DataFrame, kind: str, model_col: str = "model") -> DataFrame:
-    """Requests with ``resolved_model`` and ``model_outcome``.
+def resolved_kinds(requests: DataFrame, models: DataFrame, model_col: str = "model", kind_col: str = "kind") -> DataFrame:
+    """Requests of any kinds with ``resolved_model`` and ``model_outcome``.
 
-    A named model must exist; without a name there must be exactly one of the kind.
-    ``models`` (name, kind) is the configuration: a handful of rows, counted to know.
+    A named model must exist among its kind's; without a name there must be exactly one of the kind.
+    ``models`` (name, kind) is the configuration: one scan of the requests meets it by (kind, name) and its counts by kind, and it is
+    sent to all executors if it has no more than 100,000 rows.
     """
-    own = models.where(F.col("kind") == kind).select(F.col("name").alias("__name"))
-    total = own.agg(F.count(F.lit(1)).alias("__n"), F.min("__name").alias("__only"))
-    small = own.limit(100_001).count() <= 100_000
-    out = requests.crossJoin(F.broadcast(total)).join(F.broadcast(own) if small else own, F.col(model_col) == F.col("__name"), "left")
-    named = F.col(model_col).isNotNull()
-    outcome = F.when(named & F.col("__name").isNotNull(), "ok").when(named, "unknown_model").when(F.col("__n") == 1, "ok").when(F.col("__n") == 0, "no_model").otherwise("model_required")
-    return out.withColumns({"model_outcome": outcome, "resolved_model": F.when(outcome == "ok", F.when(named, F.col("__name")).otherwise(F.col("__only")))}).drop("__n", "__only", "__name")
+    own = models.select(F.col("kind").alias("__kind"), F.col("name").alias("__name")).distinct()
+    total = models.groupBy(F.col("kind").alias("__of")).agg(F.count(F.lit(1)).alias("__n"), F.min("name").alias("__only"))
+    if own.limit(100_001).count() <= 100_000:
+        own, total = F.broadcast(own), F.broadcast(total)
+    kind, named = F.col(kind_col), F.col(model_col).isNotNull()
+    out = requests.join(own, (F.col(model_col) == F.col("__name")) & (kind == F.col("__kind")), "left").join(total, kind == F.col("__of"), "left")
+    n = F.coalesce("__n", F.lit(0))
+    outcome = F.when(named & F.col("__name").isNotNull(), "ok").when(named, "unknown_model").when(n == 1, "ok").when(n == 0, "no_model").otherwise("model_required")
+    return out.withColumns({"model_outcome": outcome, "resolved_model": F.when(outcome == "ok", F.when(named, F.col("__name")).otherwise(F.col("__only")))}).drop("__kind", "__of", "__n", "__only", "__name")
+
+
+def resolved(requests: DataFrame, models: DataFrame, kind: str, model_col: str = "model") -> DataFrame:
+    """``resolved_kinds`` of requests that are all of one kind."""
+    return resolved_kinds(requests.withColumn("__asked", F.lit(kind)), models, model_col, "__asked").drop("__asked")
+
+
+def counted(asked: DataFrame, answered: DataFrame, key: str, n: str, m: str) -> DataFrame:
+    """``asked`` (key, n) with ``m`` of ``answered`` and ``error``: null where both counts are equal, else what is wrong.  No answer counts as 0."""
+    got = F.coalesce(m, F.lit(0))
+    wrong = F.format_string("%s: expected %d results, got %d", F.col(key).cast("string"), F.col(n).cast("long"), got.cast("long"))
+    return asked.join(answered, key, "left").withColumn("error", F.when(F.col(n) != got, wrong))
+
+
+def checked(asked: DataFrame, answered: DataFrame, key: str, n: str, m: str) -> DataFrame:
+    """``counted`` without ``error``: a request whose results are fewer or more fails the job, with its key and both counts."""
+    out = counted(asked, answered, key, n, m)
+    # the check guards a column that stays, so it isn't pruned
+    return out.withColumn(n, F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(asked.schema[n].dataType)).otherwise(F.col(n))).drop("error")
 
 
 def kind_checked(asked: DataFrame, models: DataFrame, model_col: str = "model", kind_col: str = "kind") -> DataFrame:

@@ -241,21 +241,27 @@ _TOP_TERMS = f"""
 
 
 def _top_terms(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, p): the eight heaviest terms of each text, counted and chosen inside its row."""
-    docs = _read(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", encoders.HashEncoder().sparse(F.col("text"), 8, 0.7).alias("p"))
+    """(doc_id, rank, term, weight): the eight heaviest terms of each text; a text's words are counted where they are read, and its distinct terms are shuffled."""
+    terms = _read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(text.token_ids(F.col("text"))).alias("term"))
+    weights = terms.groupBy("doc_id", "term").agg(F.log(F.lit(1.0) + F.count(F.lit(1))).alias("weight"))
+    return sparse.top_terms(weights, "doc_id", 8, 0.7)
+
+
+def _top_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, p): those as one array a text, in order."""
+    rows = _top_terms(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("p"))
+    return rows.select("doc_id", F.transform("p", lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))).alias("p"))
 
 
 @query(_TOP_TERMS + f"SELECT doc_id, rank, term, round(weight, {PLACES}) AS weight FROM r WHERE rank <= 8")
 def sparse_topk(spark, d):
-    rows = _top_terms(spark, d).select("doc_id", F.posexplode("p").alias("at", "t"))
-    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "t.term", _round("t.weight").alias("weight"))
+    return _top_terms(spark, d).select("doc_id", "rank", "term", _round("weight").alias("weight"))
 
 
 @query(_TOP_TERMS + f"""SELECT doc_id, string_agg(term::VARCHAR, ' ' ORDER BY rank) AS indices, round(sum(weight), {PLACES}) AS weight_sum, count(*)::INT AS n
     FROM r WHERE rank <= 8 GROUP BY doc_id""")
 def sparse_unzip(spark, d):
-    out = sparse.unzipped(_top_terms(spark, d).where(F.size("p") > 0), "doc_id", "p")
+    out = sparse.unzipped(_top_pairs(spark, d), "doc_id", "p")
     return out.select("doc_id", F.array_join("indices", " ").alias("indices"), _round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).alias("weight_sum"), F.size("values").alias("n"))
 
 
@@ -263,7 +269,7 @@ def sparse_unzip(spark, d):
     SELECT doc_id, string_agg(term::VARCHAR, ' ' ORDER BY k) AS indices FROM p WHERE k <= 3 GROUP BY doc_id""")
 def sparse_retruncate(spark, d):
     """The first three of the returned pairs that are over a higher threshold."""
-    kept = _top_terms(spark, d).withColumn("p", sparse.truncated(F.col("p"), F.lit(3), F.lit(1.2))).where(F.size("p") > 0)
+    kept = _top_pairs(spark, d).withColumn("p", sparse.truncated(F.col("p"), F.lit(3), F.lit(1.2))).where(F.size("p") > 0)
     return kept.select("doc_id", F.array_join(F.transform("p", lambda x: x["term"]), " ").alias("indices"))
 
 
@@ -815,7 +821,7 @@ def response_correlation(spark, d):
     asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("asked"))
     answered = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("answered"))
     n = F.coalesce("answered", F.lit(0))
-    return asked.join(answered, "conv_id", "left").select("conv_id", "asked", n.alias("answered"), (F.col("asked") == n).alias("complete"))
+    return requests.counted(asked, answered, "conv_id", "asked", "answered").select("conv_id", "asked", n.alias("answered"), F.col("error").isNull().alias("complete"))
 
 
 _DISPATCH = [(1, "timeout"), (2, "no_worker"), (3, "ipc"), (4, "other")]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text
-from textloom.operators import balance, frequency, packing, sparse
+from textloom.operators import balance, frequency, graph, packing, sparse
 from textloom.operators.ordering import shared_dir, stored
 from textloom.plans.catalog import _ARRIVALS, _BUDGETS, _IDS, _LENS, PLACES, _lengths, _packed_sql, _read, query
 from textloom.sources import vocabulary
@@ -170,3 +170,17 @@ def token_balance(spark, d):
     rows = balance.token_parts(_lengths(spark, d).withColumn("n", F.greatest("len", F.lit(1))), "len", F.col("doc_id"), _PARTS)
     whole = rows.groupBy("part").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("tokens"), F.min("n").alias("narrowest"), F.max("n").alias("widest"))
     return whole.withColumn("waste", F.round(1 - F.col("tokens") / (F.col("items") * F.col("widest")), PLACES))
+
+
+# ------------------------------------------------------------------ links
+
+
+@query()
+def page_walk(spark, d):
+    """(page_id, depth): in how many steps a page is reached from the first one, where two pages with a link of one target are a step apart."""
+    rows = _read(spark, d, "pages", "page_id", "html")
+    links = rows.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("page"), F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'))).alias("target"))
+    there = links.select(F.col("page").alias("src"), F.concat(F.lit("link:"), "target").alias("dst"))
+    first = rows.agg(F.min("page_id").alias("id")).select(F.concat(F.lit("page:"), F.col("id").cast("string")).alias("node"))
+    found = graph.reached(there.union(there.select("dst", "src")), first).where(F.col("node").startswith("page:"))
+    return found.select(F.substring("node", 6, 20).cast("long").alias("page_id"), (F.col("depth") / 2).cast("int").alias("depth"))

@@ -324,8 +324,8 @@ _SERIES = [(name, f"{b:g}", b, k + 1.0) for k, (name, bounds) in enumerate(metri
 def metric_ladders(spark, d):
     """Every series' buckets, over the events' values on scales of their own."""
     rows = _read(spark, d, "events", "value")
-    parts = [metrics.histogram(rows.select(F.lit(name).alias("series"), (F.col("value") * (k + 1.0) * (k + 1.0)).alias("v")), ["series"], "v", bounds) for k, (name, bounds) in enumerate(metrics.LADDERS.items())]
-    return reduce(DataFrame.union, parts).select("series", "le", "count")
+    scaled = [F.struct(F.lit(name).alias("series"), (F.col("value") * (k + 1.0) * (k + 1.0)).alias("v")) for k, name in enumerate(metrics.LADDERS)]
+    return metrics.histograms(rows.select(F.explode(F.array(*scaled)).alias("s")).select("s.*"), "series", "v", metrics.LADDERS).select("series", "le", "count")
 
 
 @query("SELECT '| ' || event_type || ' | ' || count(*) || ' | ' || max(event_id) || ' |' AS line FROM events GROUP BY event_type")
@@ -365,8 +365,7 @@ def request_models(spark, d):
     models = _values(spark, [("e5", "embed"), ("jina", "embed"), ("ranker", "rerank")], "name string, kind string")
     named = F.get(F.array(F.lit(None).cast("string"), F.lit("e5"), F.lit("jina"), F.lit("ranker"), F.lit("nope")), (F.col("turn") % 5).cast("int"))
     asked = _read(spark, d, "conversations").select("conv_id", "turn", classify.kind_name((F.col("conv_id") % 3).cast("int")).alias("kind"), named.alias("model"))
-    parts = [requests.resolved(asked.where(F.col("kind") == k), models, k) for k in ("embed", "rerank", "splade")]
-    return parts[0].union(parts[1]).union(parts[2]).select("conv_id", "turn", "kind", "model_outcome", "resolved_model")
+    return requests.resolved_kinds(asked, models).select("conv_id", "turn", "kind", "model_outcome", "resolved_model")
 
 
 @query(r"""
