@@ -158,3 +158,30 @@ def test_machine_equals_all_pairs():
     for active in ([], [4], [0, 3, 8], list(range(9))):
         z = 0.3 + sum(machine.weights[i] for i in active) + sum(machine.factors[i] @ machine.factors[j] for i in active for j in active if i < j)
         assert abs(machine.score(active) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_bad_documents_are_rejected_on_a_small_table():
+    """A thousand documents, some forty of them bad and labelled: enough to reject the held-out bad ones and keep the good ones."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    known = docs.merge(pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas(), on="doc_id").sort_values("doc_id")
+    held = known["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    fit = known[~held & (known["text"].fillna("").str.len() <= cnn.LONGEST)]
+    w = cnn.learned([(t or "", int(q)) for t, q in zip(fit["text"], fit["quality"], strict=True)])
+    score, y = cnn.predict(w, [(t or "").encode() for t in known[held]["text"]]), known[held]["quality"].to_numpy()
+    assert (score[y == 0] < 0.3).mean() >= 0.8 and (score[y == 1] >= 0.3).mean() >= 0.95
+
+
+def test_calibration():
+    rng = np.random.default_rng(1)
+    r = random.Random(3)
+    rows = [("".join(r.choices("abcd ", k=80)) + ("%%%%" * 3 if y == 0 else ""), int(y)) for y in rng.random(300) < 0.85]
+    w = cnn.train(rows[:200], steps=120)
+    again = cnn.calibrated(w, rows[200:])
+    p, q = (cnn.predict(v, [t.encode() for t, _ in rows]) for v in (w, again))
+    # the order stays, and both classes weigh the same
+    assert auc(np.array([y for _, y in rows]), q) == auc(np.array([y for _, y in rows]), p)
+    assert cnn.calibrated(w, [(t, 1) for t, _ in rows[:9]]) is w and cnn.calibrated(w, []) is w
+    turned = {**w, "out_bias": w["out_bias"] + 40}
+    assert (cnn.predict(cnn.calibrated(turned, rows[200:]), [t.encode() for t, y in rows if y == 0]) < 0.5).mean() > 0.9

@@ -15,7 +15,7 @@ is processed ``BLOCK`` bytes at a time, so memory doesn't grow with its length.
 
 Defined results: null and empty texts are one chunk of padding; long texts are scored
 whole; equal texts get equal scores; an empty table gives an empty table; without labelled
-rows of both classes the score is the share of label 1, or 0.5 with no rows; only the
+rows of both classes (among those trained on) the score is the share of label 1, or 0.5 with no rows; only the
 id and the text are read, so other columns can't clash.
 """
 
@@ -31,6 +31,8 @@ from textloom.llm._text import free_name, held_out, utf8
 from textloom.llm._training import FOLDS, labelled_sample
 
 SAMPLE, LONGEST = 3_000, 20_000
+#: Steps of training.
+TRAINED = 500
 WIDTH, STRIDE, CHUNK = 8, 2, 128
 EMBED, FILTERS, HIDDEN = 8, 16, 16
 BLOCK = 1 << 18
@@ -192,8 +194,8 @@ def _gradients(w: Weights, b: np.ndarray, chunks: np.ndarray, y: np.ndarray) ->
     return g
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 48, rate: float = 0.006, seed: int = 11) -> Weights:
-    """Adam on the logistic loss over mini-batches of whole texts."""
+def train(rows: list[tuple[str, int]], steps: int = TRAINED, batch: int = 48, rate: float = 0.006, seed: int = 11) -> Weights:
+    """Adam on the logistic loss over mini-batches of whole texts, in as many steps whatever the number of rows."""
     w = start(seed)
     y = np.array([label for _, label in rows], np.float32)
     if not len(y) or y.min() == y.max():
@@ -204,22 +206,56 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 48, rate: f
     raws = [utf8(t) for t, _ in rows]
     w["out_bias"][:] = np.log(y.mean() / (1 - y.mean()))
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    rng, t = np.random.default_rng(seed), 0
-    total = epochs * -(-len(raws) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(raws))
-        for at in range(0, len(order), batch):
-            take = order[at : at + batch]
-            b, chunks = padded([raws[i] for i in take])
-            t += 1
-            step = rate * (1 - t / (total + 1))
-            for k, g in _gradients(w, b, chunks, y[take]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                w[k] = (w[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
+    for t in range(1, steps + 1):
+        # each pass over the rows has an order of its own; a step may end one pass and begin the next
+        while len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(raws))])
+        take, order = order[:batch], order[batch:]
+        b, chunks = padded([raws[i] for i in take])
+        step = rate * (1 - t / (steps + 1))
+        for k, g in _gradients(w, b, chunks, y[take]).items():
+            m[k] = 0.9 * m[k] + 0.1 * g
+            s[k] = 0.999 * s[k] + 0.001 * g * g
+            w[k] = (w[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
+def calibrated(w: Weights, rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25) -> Weights:
+    """The network with its last layer scaled and shifted to the rows it wasn't trained on, both classes of equal weight.
+
+    A logistic fit of the labels to the network's log-odds, drawn to leaving them as they are; so a score of a half is where a text is as likely of
+    one class as of the other, whatever the classes' shares and however sure of itself the network has become.
+    """
+    y = np.array([label for _, label in rows], float)
+    if not len(y) or y.min() == y.max():
+        return w
+    p = np.clip(predict(w, [utf8(t) for t, _ in rows]), 1e-12, 1 - 1e-12)
+    x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1)
+    times = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    v = still = np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((times * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * ((v - still) ** 2).sum())
+
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        hessian = (x * (times * q * (1 - q))[:, None]).T @ x + ridge * np.eye(2)
+        move = np.linalg.solve(hessian, x.T @ (times * (y - q)) - ridge * (v - still))
+        # a step that goes too far is halved
+        while loss(v + move) > loss(v) and np.abs(move).max() > 1e-9:
+            move = move / 2
+        v = v + move
+    scale = max(float(v[0]), 1e-3)
+    return w | {"out": (w["out"] * scale).astype(np.float32), "out_bias": (w["out_bias"] * scale + v[1]).astype(np.float32)}
+
+
+def learned(rows: list[tuple[str, int]]) -> Weights:
+    """Trained on four fifths of the rows, calibrated on the fifth that was left out."""
+    return calibrated(train([r for k, r in enumerate(rows) if k % 5]), rows[::5])
+
+
 def score_column(text: Column, weights: Weights) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -231,7 +267,7 @@ def score_column(text: Column, weights: Weights) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", **options) -> Weights:
-    return train(labelled_sample(docs, labels, label, SAMPLE, LONGEST, **options))
+    return learned(labelled_sample(docs, labels, label, SAMPLE, LONGEST, **options))
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
