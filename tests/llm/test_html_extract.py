@@ -158,3 +158,46 @@ def test_query_equals_a_plain_parser(spark, small):
     assert len(got) == len(pages)
     for r in got:
         assert r["text"] == plain_article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+LONG = "This is a paragraph of some length, as articles have them. It goes on for a while, and then it ends."
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><h2 class="related">Related work</h2><p class="reply">He made a reply.</p></article>', "Related work\nHe made a reply."),
+    ('<article><div class="survey-results"><p>Half of them agreed.</p></div></article>', "Half of them agreed."),
+    (f'<article><p>{LONG}</p><div class="survey-results"><p>{LONG}</p></div></article>', f"{LONG}\n{LONG}"),
+    (f'<article><p>{LONG}</p></article><article class="comment"><p>I agree with all of it. {LONG}</p></article>', LONG),
+    (f'<article class="post"><p>{LONG}</p><article class="comment"><p>I agree. {LONG}</p></article></article>', LONG),
+    (f'<article class="post has-ads"><p>{LONG}</p></article>', LONG), (f'<main class="main related"><p>{LONG}</p></main>', LONG),
+    (f'<article><p>{LONG}</p><div class="ad-slot"><h3>Offer</h3><p>{LONG}</p></div><p>End.</p></article>', f"{LONG}\nEnd."),
+    (f'<article><p>{LONG}</p><section id="comments-list"><p>{LONG}</p><p>{LONG}</p><p>Short.</p></section></article>', LONG),
+    (f'<article><p>{LONG}</p><div class="newsletter signup"><p>{LONG}</p></div></article>', LONG),
+    (f'<article><p class="social">{LONG}</p><p id="survey">Yes.</p></article>', f"{LONG}\nYes."),
+])
+def test_names(html, text):
+    for weights in (h.DEFAULT, h.train([e for _ in range(30) for e in h.examples(f"<nav><ul><li><a>x</a><li><a>More of it</a></ul></nav><article><h1>T</h1><p>{LONG}</p><p>Yes.</p></article>")])):
+        assert h.main_text(f"<body>{html}<footer>f</footer></body>", weights) == text
+
+
+def test_the_weight_of_names_is_learned():
+    """In pages whose articles have such names, the names come to say less."""
+    page = f'<nav><a>x</a></nav><article>{"".join(f"<div class=related><p>{LONG}</p></div>" for _ in range(6))}</article>'
+    usual = f'<nav class=menu><ul class=menu><li><a>x</a></ul></nav><article><p>{LONG}</p></article>'
+    odd, plain = (h.train([e for _ in range(20) for e in h.examples(p)]) for p in (page, usual))
+    assert odd[-1] > plain[-1] and plain[-1] < -3
+
+
+def test_articles_without_markup_among_notices(spark, small):
+    """The table's articles without an article element, a line of each in a container with a doubtful name: the cut is right on all, the threshold isn't."""
+    differ = 0
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        want = [x for x in plain_article(r["html"]).split("\n") if x]
+        if len(want) < 6:
+            continue
+        inner = "".join(f'<div{" class=\'survey results of note\'" * (i == 3)}>{t.replace("&", "&amp;").replace("<", "&lt;")}</div>' for i, t in enumerate([*want[:3], "So it is", *want[3:]]))
+        found = h.blocks(f'<body><nav><a>Menu</a></nav><div class="ad">Buy it now. It is cheap.</div><div><div>{inner}</div></div><footer>f</footer></body>')
+        got = h.labels(found)
+        assert [b.text for b, k in zip(found, got, strict=True) if k] == [*want[:3], "So it is", *want[3:]]
+        differ += got != [b.benefit() > 0 for b in found]
+    assert differ > 10

@@ -3,8 +3,8 @@
 A page becomes blocks of text in page order.  A logistic classifier of a block's length,
 links and sentences gives the log-odds that it is content.  It is fitted here: on a
 bounded sample of pages (``SAMPLE`` pages of at most ``LONGEST`` characters), blocks that the markup
-itself puts inside or outside of an article are its examples.  Log-odds and what the markup
-says of the block at hand make the costs of calling it content or boilerplate, the capacities to
+itself puts inside or outside of an article are its examples.  Names of classes and ids are one of its features, weighed against a
+fixed weight.  Log-odds and what the markup says of the block at hand make the costs of calling it content or boilerplate, the capacities to
 the two terminals.  Each block that may be content has smoothness edges to the ``REACH`` blocks after it, weaker with
 their distance in page order and in the tree of elements.  The minimum cut (by maximum flow) is the
 labelling of least total cost: a short line among an article's paragraphs goes with them.
@@ -54,6 +54,8 @@ BAD_NAME = frozenset(
     "subscribe subscription survey tags teaser toolbar topbar widget".split()
 )
 GOOD_NAME = frozenset("article articlebody body content entry main maincontent post story text".split())
+#: Parts of names that say how something is laid out, and nothing of what it holds.
+LAYOUT = frozenset("area bar block bottom box button buttons col column container group icon inner item items left link links list outer panel right row section site slot small title top unit wrap wrapper".split())
 
 #: Quotes count only as an attribute's value, after "=".
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?>[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+)*+)>", re.S)
@@ -65,38 +67,50 @@ _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f](?=\W|\Z)")
 
 #: Pages that the classifier is fitted on, and their most characters.
 SAMPLE, LONGEST = 2_000, 100_000
-#: Weights of the classifier's features where there are no examples (see ``Block.features``).
-DEFAULT = (-0.7, 1.2, -5.0, 0.4)
-#: The classifier's log-odds count up to this, either way.
+#: Weights of the classifier's features where there are no examples (see ``Block.features``), and for the last one, names that tell of
+#: boilerplate, what examples are weighed against.
+DEFAULT = (-0.7, 1.2, -5.0, 0.4, -9.0)
+#: The log-odds of a block's length, links and sentences count up to this, either way.
 MOST_ODDS = 3.0
-#: What the markup says: of blocks in an article, prose elements, headings in an article, names that tell of content or of boilerplate, and elements that never hold content.
-IN_ARTICLE, PROSE, TITLE, GOOD, BAD, NEVER_COST = 2.5, 0.5, 1.0, 1.5, 12.0, 1e6
+#: What the markup says: of blocks in an article, prose elements, headings in an article, names that tell of content, a paragraph's or heading's own name, and elements that never hold content.
+IN_ARTICLE, PROSE, TITLE, GOOD, OWN, NEVER_COST = 3.5, 0.5, 1.0, 1.5, 0.5, 1e6
 #: Smoothness: the weight of an edge between neighbours under one parent, and how many following blocks have edges.
 SMOOTH, REACH = 1.0, 4
 
 
 class _Element:
-    __slots__ = ("name", "parent", "depth", "score", "never", "bad", "article", "linked", "header", "silent", "foreign")
+    __slots__ = ("name", "parent", "depth", "score", "never", "bad", "own_bad", "article", "linked", "header", "silent", "foreign")
 
     def __init__(self, name: str, parent: "_Element | None", attributes: str = ""):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.score = parent.score if parent else 0.0
-        self.bad = parent.bad if parent else False
+        #: how much the names of the containers, and of a prose element itself, tell of boilerplate, from 0 to 1
+        self.bad = parent.bad if parent else 0.0
+        self.own_bad = parent.own_bad if parent else 0.0
         self.never = parent.never if parent else False
         self.article = parent.article if parent else False
         self.linked = name == "a" or bool(parent and parent.linked)
         self.header = name == "header" or bool(parent and parent.header)
         self.foreign = name in FOREIGN or bool(parent and parent.foreign)
         self.silent = name in ASIDE or name in RAW or bool(parent and parent.silent)
-        if name in ARTICLE and not self.article:
-            self.article = True
-            self.score += IN_ARTICLE
         self.never |= name in NEVER
-        if attributes and not attributes.isspace():
-            self._attributes(attributes)
+        names = self._attributes(attributes) if attributes and not attributes.isspace() else 0.0
+        if name in ARTICLE:
+            # a reader's comment may be an article element of that name
+            if names == 1:
+                self.bad = 1.0
+            elif not self.article:
+                self.article = True
+                self.score += IN_ARTICLE
+        elif name in PROSE_NAMES:
+            self.own_bad = max(self.own_bad, names)
+        else:
+            self.bad = max(self.bad, names)
 
-    def _attributes(self, attributes: str) -> None:
+    def _attributes(self, attributes: str) -> float:
+        """Reads what an element says of itself; returns how much its names tell of boilerplate: the square of the share of such parts."""
+        parts: set[str] = set()
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
@@ -105,13 +119,16 @@ class _Element:
                 self.never = True
             elif key == "style":
                 self.never |= "display:none" in value.replace(" ", "").lower()
-            elif key in ("class", "id") and self.name not in ("html", "body") and self.name not in ARTICLE:
-                parts = {p.lower() for p in _PART.findall(value)} | set(value.lower().split())
-                if parts & BAD_NAME:
-                    self.bad = True
-                    self.score -= BAD
-                elif parts & GOOD_NAME:
-                    self.score += GOOD
+            elif key in ("class", "id") and self.name not in ("html", "body"):
+                # a whole name counts as such where it is in a list, else its parts
+                for word in value.split():
+                    whole = word.lower()
+                    parts |= {whole} if whole in BAD_NAME or whole in GOOD_NAME else {p.lower() for p in _PART.findall(word)}
+        parts = {p for p in parts if p not in LAYOUT and not p.isdigit()}
+        bad = parts & BAD_NAME
+        if not bad and parts & GOOD_NAME and self.name not in ARTICLE:
+            self.score += GOOD
+        return (len(bad) / len(parts)) ** 2 if parts else 0.0
 
 
 class Block:
@@ -121,9 +138,9 @@ class Block:
         self.text, self.element, self.links, self.heading = text, element, links, heading
 
     def features(self) -> tuple[float, ...]:
-        """One, length, share of links, sentences: nothing that a template decides."""
+        """One, length, share of links, sentences, and what the containers' names tell."""
         n = len(self.text)
-        return 1.0, log1p(n / 40), self.links, min(len(_SENTENCE.findall(self.text)), 4) / 2
+        return 1.0, log1p(n / 40), self.links, min(len(_SENTENCE.findall(self.text)), 4) / 2, self.element.bad
 
     def outside(self) -> bool:
         """Under an element that never holds an article's text."""
@@ -134,9 +151,10 @@ class Block:
         """Cost of calling it boilerplate less that of calling it content."""
         if self.outside():
             return -NEVER_COST
-        e, odds = self.element, sum(w * x for w, x in zip(weights, self.features(), strict=True))
-        said = e.score + PROSE * (e.name in PROSE_NAMES) + TITLE * (self.heading and e.article)
-        return said + min(max(odds, -MOST_ODDS), MOST_ODDS)
+        e, (*text, names) = self.element, self.features()
+        odds = sum(w * x for w, x in zip(weights, text, strict=False))
+        said = e.score + PROSE * (e.name in PROSE_NAMES) + TITLE * (self.heading and e.article) - OWN * e.own_bad
+        return said + min(max(odds, -MOST_ODDS), MOST_ODDS) + weights[len(text)] * names
 
 
 def _closed(html: str, name: str) -> set[int]:
@@ -305,13 +323,15 @@ def hops(a: _Element, b: _Element) -> int:
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges of blocks in page order; pieces of one element and siblings are two steps apart at most.
 
-    Blocks outside of any article are settled, and pull no other.
+    Blocks outside of any article are settled, and pull no other; a container whose name tells of boilerplate is a border that edges
+    hardly cross, and within one container all is near.
     """
     out, settled = [], [b.outside() for b in found]
     for i, a in enumerate(found):
         for gap, b in enumerate(found[i + 1 : i + 1 + REACH], 1):
             if not (settled[i] or settled[i + gap]):
-                out.append((i, i + gap, SMOOTH / (gap * max(1, hops(a.element, b.element) - 1))))
+                border = 1 - max(a.element.bad, b.element.bad) if a.element.bad != b.element.bad else 1.0
+                out.append((i, i + gap, border * SMOOTH / (gap * max(1, hops(a.element, b.element) - 1))))
     return out
 
 
@@ -327,10 +347,10 @@ def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
 
 
 def examples(html: str | None) -> list[tuple[tuple[float, ...], int]]:
-    """Features and label of blocks that the markup puts inside or outside of an article."""
+    """Features and label of blocks that elements, not their names, put inside or outside of an article."""
     out = []
     for b in blocks(html or ""):
-        if b.outside() or b.element.bad:
+        if b.outside():
             out.append((b.features(), 0))
         elif b.element.article:
             out.append((b.features(), 1))
@@ -338,17 +358,21 @@ def examples(html: str | None) -> list[tuple[tuple[float, ...], int]]:
 
 
 def train(rows: list[tuple[tuple[float, ...], int]], steps: int = 12, ridge: float = 1.0) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, with both classes of equal weight; DEFAULT without both."""
+    """Logistic regression by Newton steps, with both classes of equal weight; DEFAULT without both.
+
+    The weight of names is drawn to DEFAULT's, the others to 0; it is never above 0.
+    """
     if len({y for _, y in rows}) < 2:
         return DEFAULT
     x, y = np.array([f for f, _ in rows]), np.array([k for _, k in rows], float)
     times = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = np.zeros(x.shape[1])
+    still = np.array([0.0] * (x.shape[1] - 1) + [DEFAULT[-1]])
+    w = still.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (times * (y - p)) - ridge * w)
-    return tuple(w.tolist())
+        w += np.linalg.solve(hessian, x.T @ (times * (y - p)) - ridge * (w - still))
+    return (*w[:-1].tolist(), min(float(w[-1]), 0.0))
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> tuple[float, ...]:
