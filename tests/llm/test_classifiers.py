@@ -185,3 +185,39 @@ def test_calibration():
     assert cnn.calibrated(w, [(t, 1) for t, _ in rows[:9]]) is w and cnn.calibrated(w, []) is w
     turned = {**w, "out_bias": w["out_bias"] + 40}
     assert (cnn.predict(cnn.calibrated(turned, rows[200:]), [t.encode() for t, y in rows if y == 0]) < 0.5).mean() > 0.9
+
+
+def test_pairs_among_thousands_of_commoner_terms():
+    """Two terms at the same rate in both classes, together in one and apart in the other, among 6,000 terms that vary more."""
+    r = random.Random(2)
+    filler = [f"w{i}" for i in range(6_000)]
+    rows = []
+    for k in range(1_600):
+        words, y = [w for w in filler if r.random() < 0.25], k % 2
+        a = r.random() < 0.15
+        b = a if y else r.random() < 0.15 and not a
+        if not y and a:
+            b = False
+        elif not y:
+            b = r.random() < 0.15 / 0.85
+        words += ["zinsult"] * a + ["qgroup"] * b
+        r.shuffle(words)
+        rows.append((" ".join(words), y))
+    machine = fm.train(rows[:1_200])
+    assert {fm.slots(w)[0] for w in (b"zinsult", b"qgroup")} <= set(machine.features)
+    active = fm._Active(machine)
+    told = [(machine.score(active.of(t)) >= 0.5) == bool(y) for t, y in rows[1_200:] if "zinsult" in t or "qgroup" in t]
+    assert len(told) > 50 and np.mean(told) > 0.9
+
+
+def test_all_pairs_are_tested():
+    rng = np.random.default_rng(6)
+    share = rng.random(70) * 0.6
+    # neither of the two says anything alone
+    share[[3, 40]] = 0.5
+    x = (rng.random((400, 70)) < share).astype(np.uint8)
+    y = (x[:, 3] == x[:, 40]).astype(float)
+    p = np.full(400, y.mean())
+    for block in (16, 70, 512):
+        assert set(fm.telling_pairs(x, y, p, block)[:2].tolist()) == {3, 40}
+    assert len(fm.telling_pairs(x, rng.random(400).round(), np.full(400, 0.5))) == 0

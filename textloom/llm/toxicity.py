@@ -1,9 +1,9 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 Terms are the words of a text and their beginnings of 3 to 6 bytes, hashed.  Slots become
-features if they tell the classes apart alone, or if they do so in a pair with another one: of
-the ``PAIRED`` slots that vary most, all pairs have a score test against what the machine
-leaves unexplained.  The machine learns a weight and a short factor vector for each feature, so
+features if they tell the classes apart alone, or if they do so in a pair with another one: all
+pairs of slots that stand in ``PAIR_LEAST`` rows have a score test against what the machine
+leaves unexplained, over all rows of the rarer class (up to ``PAIR_ROWS``) and as many of the other.  The machine learns a weight and a short factor vector for each feature, so
 that pairs of terms can say what neither says alone.
 
 It learns from a bounded sample of labelled rows (``SAMPLE`` rows of at most ``LONGEST``
@@ -35,8 +35,8 @@ SLOTS = 1 << 20
 FEATURES, LEAST, RANK = 1_024, 4, 4
 #: Least difference of a term's shares in the classes, in standard errors.
 CLEAR = 3.5
-#: Slots whose pairs are tested, the most that this may add, a pair's least score in standard errors, and in how many rows it stands at least.
-PAIRED, PAIR_FEATURES, PAIR_CLEAR, PAIR_LEAST = 4_096, 1_024, 6.0, 20
+#: Rows of each class over which pairs are tested, the most slots that this may add, a pair's least score in standard errors and in rows, and in how many rows it stands at least.
+PAIR_ROWS, PAIR_FEATURES, PAIR_CLEAR, PAIR_WEIGHT, PAIR_LEAST = 2_000, 1_024, 6.0, 3.0, 20
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -88,39 +88,63 @@ def train(rows: list[tuple[str, int]], steps: int = 250, rate: float = 0.05, dec
     best = best[z[best] != 0]
     x = _active_matrix(docs, best)
     state, explained = _adam(x, y, steps, rate, decay, seed)
-    spread = np.where(of[0] + of[1] < PAIR_LEAST, 0, p * (1 - p))
-    varied = np.lexsort((np.arange(SLOTS), -spread))[:PAIRED]
-    paired = telling_pairs(_active_matrix(docs, varied[spread[varied] > 0]), y, explained)
-    more = np.setdiff1d(varied[paired], best)
+    ours = paired_rows(y)
+    some = [docs[i] for i in ours]
+    common = np.flatnonzero(np.bincount(np.concatenate(some), minlength=SLOTS) >= PAIR_LEAST)
+    # the rows' shares of the classes are not the sample's, and the log-odds move with them
+    p = np.clip(explained[ours], 1e-9, 1 - 1e-9)
+    odds = np.log(p / (1 - p)) - np.log(n1 / n0) + np.log((y[ours] == 1).sum() / (y[ours] == 0).sum())
+    paired = telling_pairs(_active_matrix(some, common, np.uint8), y[ours], 1 / (1 + np.exp(-odds)))
+    more = np.setdiff1d(common[paired], best)
     if len(more):
         best = np.concatenate([best, more])
         state, _ = _adam(_active_matrix(docs, best), y, steps, rate, decay, seed)
     return Machine({int(f): k for k, f in enumerate(best)}, float(state[0]), state[1].astype(float), state[2].astype(float))
 
 
-def _active_matrix(docs: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+def paired_rows(y: np.ndarray) -> np.ndarray:
+    """As many rows of each class as the rarer one has, at most PAIR_ROWS, in order."""
+    n = min(int((y == 1).sum()), int((y == 0).sum()), PAIR_ROWS)
+    return np.sort(np.concatenate([np.flatnonzero(y == k)[:n] for k in (0, 1)]))
+
+
+def _active_matrix(docs: list[np.ndarray], chosen: np.ndarray, kind: type = np.float32) -> np.ndarray:
     """Which of the chosen slots each document has."""
     place = np.full(SLOTS, -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(docs), max(len(chosen), 1)), np.float32)
+    x = np.zeros((len(docs), max(len(chosen), 1)), kind)
     for i, d in enumerate(docs):
         at = place[d]
         x[i, at[at >= 0]] = 1
     return x
 
 
-def telling_pairs(x: np.ndarray, y: np.ndarray, explained: np.ndarray, block: int = 512) -> np.ndarray:
-    """Columns of a 0/1 matrix in some pair whose score test is clear, those of the clearest pairs first, at most PAIR_FEATURES."""
+def telling_pairs(x: np.ndarray, y: np.ndarray, explained: np.ndarray, block: int = 1_024) -> np.ndarray:
+    """Columns of a 0/1 matrix in some pair whose score test is clear, those of the clearest pairs first, at most PAIR_FEATURES.
+
+    All pairs are scored, two blocks of columns at a time; variances and rows are counted only for blocks in which some pair leaves enough
+    unexplained.  The commonest columns come first, so that most blocks are of rare ones and have none.
+    """
     left, spread = (y - explained).astype(np.float32), (explained * (1 - explained)).astype(np.float32)
+    order = np.argsort(-x.sum(0, dtype=np.int64), kind="stable")
     strength = np.zeros(x.shape[1])
-    for at in range(0, x.shape[1], block):
-        part = x[:, at : at + block]
-        score, variance, rows = (part * left[:, None]).T @ x, (part * spread[:, None]).T @ x, part.T @ x
-        clear = np.where(rows >= PAIR_LEAST, np.abs(score) / np.sqrt(variance + 1e-6), 0)
-        clear[np.arange(part.shape[1]), np.arange(at, at + part.shape[1])] = 0
-        strength[at : at + block] = clear.max(1)
-    order = np.argsort(-strength, kind="stable")[:PAIR_FEATURES]
-    return order[strength[order] >= PAIR_CLEAR]
+    for a in range(0, len(order), block):
+        ours = order[a : a + block]
+        part = x[:, ours].astype(np.float32)
+        by_left, by_spread = (part * left[:, None]).T, (part * spread[:, None]).T
+        for b in range(a, len(order), block):
+            theirs = order[b : b + block]
+            other = part if a == b else x[:, theirs].astype(np.float32)
+            score = np.abs(by_left @ other)
+            if a == b:
+                np.fill_diagonal(score, 0)
+            if score.max() < PAIR_WEIGHT:
+                continue
+            clear = np.where((score >= PAIR_WEIGHT) & (part.T @ other >= PAIR_LEAST), score / np.sqrt(by_spread @ other + 1e-6), 0)
+            strength[ours] = np.maximum(strength[ours], clear.max(1))
+            strength[theirs] = np.maximum(strength[theirs], clear.max(0))
+    best = np.argsort(-strength, kind="stable")[:PAIR_FEATURES]
+    return best[strength[best] >= PAIR_CLEAR]
 
 
 def _adam(x: np.ndarray, y: np.ndarray, steps: int, rate: float, decay: float, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
