@@ -27,11 +27,11 @@ def arena_extensions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def static_shapes(files: DataFrame, name: str = "name") -> DataFrame:
-    """(batch, file) of graphs with a fixed batch size: an explicit number wins over the name without one, which means 1."""
+    """(batch, file) of graphs with a fixed batch size, in order of size: an explicit number wins over the name without one, which means 1."""
     n = F.regexp_extract(name, r"^model_quantized_static_b([0-9]+)\.onnx$", 1).try_cast("int")
     plain = F.col(name) == "model_quantized_static.onnx"
     found = files.select(F.col(name).alias("file"), F.when(plain, 1).otherwise(n).alias("batch"), plain.alias("plain")).where("batch >= 1")
-    return found.groupBy("batch").agg(F.min_by("file", F.struct("plain", "file")).alias("file"))
+    return found.groupBy("batch").agg(F.min_by("file", F.struct("plain", "file")).alias("file")).orderBy("batch")
 
 
 def routed(batches: DataFrame, shapes: DataFrame, size: str = "items") -> DataFrame:
