@@ -169,3 +169,18 @@ def test_one_huge_conversation(spark):
     audit, states, _ = c.walk(turns, d)
     assert tuple(row)[1:8] == (*numbers, d[0], audit)
     assert row.repaired_sha256 == sha256("\n".join(f"{r}:{t}" for r, t in c.repaired(audit, states, said)).encode()).hexdigest()
+
+
+def test_sql_gives_the_same(spark, odd, small):
+    import duckdb
+    import pandas as pd
+
+    db = duckdb.connect()
+    conv = next(k for k in range(100, 999) if crc32(f"{k}:0".encode()) % 20 == 0)
+    rows = [*odd, (conv, 0, "user", "a.")]
+    for source in (rows, [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]):
+        frame = pd.DataFrame(source, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+        db.execute("CREATE OR REPLACE TABLE conversations AS SELECT * FROM frame")
+        got = {r[0]: r[1:] for r in db.execute(c.oracle_sql()).fetchall()}
+        want = damaged(source)
+        assert got == {k: by_definition(want.get(k, [])) for k in {r[0] for r in source}}

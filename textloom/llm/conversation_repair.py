@@ -434,3 +434,46 @@ def repaired_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
         position = F.shiftleft(F.col("part"), 43) + F.shiftleft(F.col("seg"), 13) + F.col("at")
         out = out.union(lines.join(ids, "key").select("id", position, "line.roles", "line.texts"))
     return out.select(F.col("id").alias(id_col), F.col("position"), F.col("role").alias(role_col), F.col("text").alias(text_col))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the query over ``conversations``: the cheapest and least audits from the last turn back, by recursion over turns."""
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"
+    plus = lambda cost, edit, rest: f"struct_pack(c := {rest}.c + {cost}, a := '{edit}' || {rest}.a)"
+    far = f"struct_pack(c := {FAR}::BIGINT, a := '')"
+
+    def after(q: int) -> str:
+        """What a turn's own edits cost in a state, before inserts."""
+        more = f"CASE n.kind WHEN 1 THEN {TRUNCATED} ELSE 0 END"
+        keeps = [f"CASE WHEN n.kind < 2 AND n.i = '{i}' THEN {plus(f'{KEEP} + {more}', 'K', f'r.v{to}')} ELSE {far} END" for (p, i), to in FOLLOWS.items() if p == q]
+        rerole = f"CASE WHEN n.kind < 2 THEN {plus(f'{REROLE} + {more}', 'R', f'r.v{BECOMES[q]}')} ELSE {far} END"
+        return f"list_min([{', '.join([plus(DELETE, 'D', f'r.v{q}'), rerole, *keeps])}])"
+
+    def inserted(of: str) -> str:
+        u, a = f"list_min([{of}{USER}, {plus(INSERT, 'I', f'{of}{ASSISTANT}')}])", f"list_min([{of}{ASSISTANT}, {plus(INSERT, 'I', f'{of}{USER}')}])"
+        return f"{of}{START} AS w0, {of}{SYSTEM} AS w1, {u} AS v2, {a} AS v3"
+
+    starts = lambda s: f"SELECT conv_id, left_, list_min([w0, {plus(INSERT, 'I', 'v2')}]) AS v0, list_min([w1, {plus(INSERT, 'I', 'v2')}]) AS v1, v2, v3 FROM ({s})"
+    ends = ", ".join(f"struct_pack(c := {0 if q in (START, ASSISTANT) else FAR}::BIGINT, a := '') AS e{q}" for q in range(4))
+    return rf"""
+        WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS fault
+                  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+             d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                          unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+             o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+             k AS (SELECT *, left(role, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 AS again FROM o),
+             t AS MATERIALIZED (SELECT *, CASE WHEN blank OR again THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS kind,
+                          coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY nth) || i NOT IN ('su', 'ua', 'au'), false) AS illegal FROM k),
+             b AS (SELECT DISTINCT c.conv_id, coalesce(n, 0) AS left_ FROM conversations c LEFT JOIN (SELECT DISTINCT conv_id, n FROM o) s ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+             r AS ({starts(f"SELECT conv_id, left_, {inserted('e')} FROM (SELECT *, {ends} FROM b)")}
+                   UNION ALL
+                   {starts(f"SELECT conv_id, left_, {inserted('x')} FROM (SELECT r.conv_id, r.left_ - 1 AS left_, " + ", ".join(f"{after(q)} AS x{q}" for q in range(4)) + " FROM r JOIN t n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.nth = r.left_)")}),
+             w AS (SELECT conv_id, v0.c AS cost, v0.a AS audit FROM r WHERE left_ = 0),
+             e AS (SELECT conv_id, edit, p, sum((edit <> 'I')::INT) OVER s AS nth, sum((edit <> 'D')::INT) OVER s AS kept FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(len(audit))) AS p FROM w WHERE audit <> '') WINDOW s AS (PARTITION BY conv_id ORDER BY p)),
+             l AS (SELECT e.*, t.role, t.text, max((kept = 1 AND edit = 'K' AND t.i = 's')::INT) OVER (PARTITION BY e.conv_id) AS system FROM e LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.nth = e.nth AND edit <> 'I' WHERE edit <> 'D'),
+             g AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (kept - system) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS said FROM l GROUP BY conv_id),
+             s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum((again AND NOT blank)::INT) AS duplicate, sum((kind = 1)::INT) AS truncated, sum(illegal::INT) AS illegal FROM t GROUP BY conv_id)
+        SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               cost::BIGINT AS cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+        FROM w LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id
+    """
