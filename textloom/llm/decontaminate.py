@@ -272,3 +272,20 @@ def digest(items: Column) -> Column:
 
 def items_sha256(ids: list[str]) -> str:
     return sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for the query over ``documents`` and ``benchmark``: windows of words joined as text."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
+             i AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(len(w), {window}) AS n FROM b WHERE len(w) > 0))),
+             l AS (SELECT DISTINCT n FROM i),
+             o AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS said FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, l WHERE len(w) >= n)),
+             h AS (SELECT doc_id, k, n, item_id FROM o JOIN i USING (n, said)),
+             c AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at_word FROM h) GROUP BY doc_id),
+             m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+    """

@@ -468,3 +468,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     once = docs.join(apart, id_col, "left_anti")
     again = docs.join(several, id_col, "left_semi").dropDuplicates([id_col])
     return once.union(again).select(docs.columns)
+
+
+def oracle_sql(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """DuckDB SQL for the query over ``documents``: shared shingles counted by pairs of classes, and links followed by recursion."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x20\x09-\x0D]+')"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+             s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - least(len(w), {width}) + 2), lambda k: array_to_string(w[k : k + least(len(w), {width}) - 1], ' ')))) AS s FROM d WHERE len(w) > 0),
+             r AS MATERIALIZED (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s GROUP BY s),
+             x AS MATERIALIZED (SELECT rep, n, md5_number(unnest(s)) AS sh FROM r),
+             p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.sh = b.sh AND a.rep < b.rep AND a.n * 100 >= b.n * {percent} AND b.n * 100 >= a.n * {percent}
+                   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+             e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+             c AS (SELECT rep AS start, rep AS node FROM r UNION SELECT c.start, e.b FROM c JOIN e ON c.node = e.a),
+             l AS (SELECT start, min(node) AS least FROM c GROUP BY start)
+        SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(least, d.doc_id) AS component_id
+        FROM d LEFT JOIN s USING (doc_id) LEFT JOIN r ON s.s = r.s LEFT JOIN l ON r.rep = l.start
+    """

@@ -113,9 +113,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _oracle_sql() -> dict[str, str]:
-    from textloom.llm import chat_format, conversation_repair, sharding
-
-    return {"op2_permutation_shards": sharding.oracle_sql(sharding.names(SHARDS)), "op10_chat_format": chat_format.oracle_sql(), "op13_conversation_repair": conversation_repair.oracle_sql()}
+    from textloom.llm import chat_format, conversation_repair, decontaminate, jaccard_join, sharding
+
+    return {
+        "op2_permutation_shards": sharding.oracle_sql(sharding.names(SHARDS)),
+        "op5_decontaminate": decontaminate.oracle_sql(),
+        "op9_jaccard_join": jaccard_join.oracle_sql(),
+        "op10_chat_format": chat_format.oracle_sql(),
+        "op13_conversation_repair": conversation_repair.oracle_sql(),
+    }
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()
