@@ -13,8 +13,8 @@ The total of the bits' code lengths is the document's cost, and its log10 probab
 Learning is additive and distributed: word counts are gathered from all training documents;
 bit counts of the slots follow from the words' counts, so each word is visited once however
 often it stands in the corpus; gate weights are fitted by Newton steps on a fold of the
-training documents that the slots are not counted from, and then the slots are counted anew
-from all training documents.  Counts are exact 64-bit numbers.  Tables have a fixed size
+training documents that the slots are not counted from, and then that fold's words are
+counted into the slots as well.  Counts are exact 64-bit numbers.  Tables have a fixed size
 (``PREDICTORS`` x 2**``TABLE_BITS`` bytes), the only data sent to executors with a list of at most
 ``KNOWN`` frequent words' counts; counts of all other words are joined by shuffle.
 
@@ -308,8 +308,8 @@ def _shares(words: DataFrame) -> np.ndarray:
     return shares / shares.sum()
 
 
-def _tables(words: DataFrame, code: Code, times_col: str) -> list[np.ndarray]:
-    """Log-odds by predictor and slot, each word counted as often as ``times_col`` has it."""
+def _counters(words: DataFrame, code: Code) -> DataFrame:
+    """(at, counts): parts of the slots' counters of zeros and ones, each word (word, class, times) counted as often as it stands."""
     size = 1 << (TABLE_BITS + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,20 +325,37 @@ def _tables(words: DataFrame, code: Code, times_col: str) -> list[np.ndarray]:
                 if table[at : at + COUNTER_BLOCK].any():
                     yield pa.RecordBatch.from_arrays([pa.array([k * size + at], pa.int64()), pa.array([zlib.compress(table[at : at + COUNTER_BLOCK].tobytes(), 1)], pa.binary())], names=["at", "counts"])
 
+    rows = words.where("times > 0").select("word", "class", "times")
+    trainers = max(1, -(-rows.count() // TRAINER_WORDS))
+    # tasks of many rows each, as every one of them gives a table
+    return rows.coalesce(trainers).mapInArrow(count, "at long, counts binary")
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """The counters' sums, a row for each part of the tables, stored: a fixed size, whatever the corpus."""
+
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTER_BLOCK, np.uint64)
         for batch in batches:
             for c in batch.column("counts"):
                 total += np.frombuffer(zlib.decompress(c.as_py()), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([log_odds(total).tobytes()], pa.binary())], names=["at", "odds"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["at", "counts"])
+
+    return stored(parts.groupBy("at").applyInArrow(add, "at long, counts binary"))
+
+
+def _tables(counters: DataFrame) -> list[np.ndarray]:
+    """Log-odds by predictor and slot."""
+    size = 1 << (TABLE_BITS + 1)
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [log_odds(np.frombuffer(zlib.decompress(c.as_py()), np.uint64)).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(out, pa.binary())], names=["at", "odds"])
 
-    rows = words.select("word", "class", times_col)
-    trainers = max(1, -(-rows.count() // TRAINER_WORDS))
-    # tasks of many rows each, as every one of them gives a table
-    parts = rows.coalesce(trainers).mapInArrow(count, "at long, counts binary")
     out = [np.full(size // 2, -128, np.int8) for _ in range(PREDICTORS)]
     # fixed size: PREDICTORS x 2**TABLE_BITS bytes in all
-    for r in parts.groupBy("at").applyInArrow(add, "at long, odds binary").toLocalIterator():
+    for r in counters.mapInArrow(odds, "at long, odds binary").toLocalIterator():
         k, at = divmod(r["at"], size)
         out[k][at // 2 : at // 2 + COUNTER_BLOCK // 2] = np.frombuffer(r["odds"], np.int8)
     # slots never met are told apart for the first predictor, which opens the gate
@@ -391,11 +408,14 @@ def _fit_weights(words: DataFrame, shared) -> np.ndarray:
 def learned(words: DataFrame) -> Model:
     """The model of ``_word_counts``: weights from the calibration fold, then slots of all training documents."""
     code = _code(words)
-    apart = Model(code, _tables(words, code, "m"), np.full((GATES, PREDICTORS), 0.3), _shares(words))
+    once = _added(_counters(words.select("word", "class", F.col("m").alias("times")), code))
+    apart = Model(code, _tables(once), np.full((GATES, PREDICTORS), 0.3), _shares(words))
     shared = words.sparkSession.sparkContext.broadcast(apart)
     weights = _fit_weights(words, shared)
     shared.unpersist()
-    return Model(code, _tables(words, code, "n"), weights, apart.shares)
+    # the calibration fold's words alone are left to count
+    rest = _counters(words.select("word", "class", (F.col("n") - F.col("m")).alias("times")), code)
+    return Model(code, _tables(_added(once.union(rest))), weights, apart.shares)
 
 
 def word_hash(word: bytes) -> int:
