@@ -166,3 +166,49 @@ def test_a_large_group_of_near_copies_costs_its_number(spark, monkeypatch):
     assert out == {i: 0 if i < 5_000 else i for i in out} and len(out) == 5_050
     # all pairs of its ten blocks would be 55,000 rows
     assert sum(sent) < 3 * 5_000
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_parts_of_sets_lose_no_link_and_tell_others_apart(percent):
+    rng = np.random.default_rng(percent)
+    base = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 2, 9, 60, 500, 501, 3_000)]
+    sets = list(base)
+    for b in base:
+        for share in (1.0, 0.99, 0.97, 0.95, 0.9, 0.8):
+            keep = b[rng.random(len(b)) < share]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 64, int(len(b) * (1 - share)), np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    parts = [j.part(s, percent) for s in sets]
+    n, c = np.array(list(map(len, sets))), np.array(list(map(len, parts)))
+    maps = [j.signature(p, j.LEAST_PART) for p in parts]
+    alive = j.may_link(n, maps, percent, c)
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])):
+                assert alive[a] and alive[b]
+                assert j.may_link(n[[a, b]], [maps[a], maps[b]], percent, c[[a, b]]).all()
+    if percent >= 80:
+        # sets of chance: small parts are enough to leave them out
+        others = [np.unique(rng.integers(0, 1 << 64, 500, np.uint64)) for _ in range(40)]
+        parts = [j.part(s, percent) for s in others]
+        assert sum(map(len, parts)) < 0.3 * sum(map(len, others))
+        assert j.may_link(np.array(list(map(len, others))), [j.signature(p, j.LEAST_PART) for p in parts], percent, np.array(list(map(len, parts)))).mean() < 0.1
+
+
+def test_keys_are_shuffled_once(spark):
+    rows = [(k, f"a b c d e f{k % 7} g{k % 5} h i j") for k in range(60)]
+    _, _, reps = j._prepared(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 90)
+    plans, kept = [], j.stored
+
+    def keeping(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    j.stored = keeping
+    try:
+        j._members(reps).collect()
+    finally:
+        j.stored = kept
+    exchanges = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(key" in line]
+    # one for the centres and one for the members, equal, so that the second reads the first's rows
+    assert exchanges and all("REPARTITION_BY_COL" in line for line in exchanges)

@@ -15,8 +15,8 @@ groups aren't chained.
 Joining.  Groups are joined by signature trees: leaves hold documents with token
 bitmaps, nodes the OR of their children's bitmaps and the range of their set sizes, and a
 traversal of two trees at once drops pairs of nodes that can't reach the overlap needed.
-It runs over the bitmaps alone first (of documents with a size near another's in the group), and only
-documents that may still link have their texts shuffled; then over the sets, and the pairs left are compared exactly.  Documents
+It runs over the bitmaps alone first (of documents with a size near another's in the group; those of a part of each set, then
+those of the sets), and only documents that may still link have their texts shuffled; then over the sets, and the pairs left are compared exactly.  Documents
 already connected aren't compared again.
 
 Large groups.  A group of more than a block is cut into blocks by size.  Each block is joined
@@ -55,6 +55,8 @@ SENT_IDS = 1 << 20
 LEAF = 8
 #: Least and most bits of a bitmap; between them it has four to eight for each shingle.
 LEAST_BITS, MOST_BITS = 256, 1 << 17
+#: Least bits of the bitmap of a part.
+LEAST_PART = 64
 
 # ---------------------------------------------------------------- order and routing
 
@@ -90,27 +92,41 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):
 # ---------------------------------------------------------------- signature trees
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, least: int = LEAST_BITS) -> np.ndarray:
     """Bitmap of a set as 64-bit words; one of half the length is the OR of its halves."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length()))
+    bits = min(MOST_BITS, max(least, 1 << (4 * len(s) - 1).bit_length()))
     flags = np.zeros(bits, bool)
     flags[(s % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
+def part(s: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a sorted set whose hashes are below a limit that all sets share: a share of them, about twice what two sets that link may lack.
+
+    Such a set lacks at most n - needed shingles of the other, wherever they are, and so at most that many of its part.
+    """
+    share = 2.2 * (100 - percent) / (100 + percent)
+    halvings = next((k for k in range(5, 0, -1) if share <= 0.5**k), 0)
+    return s if not halvings else s[: np.searchsorted(s, np.uint64(1 << (64 - halvings)))]
+
+
 class Tree:
-    """Signature tree over members (in order of size) of given set sizes and bitmaps of equal length."""
+    """Signature tree over members (in order of size) of given set sizes and bitmaps of equal length.
+
+    The bitmaps may be of parts of the sets, of ``counts`` shingles.
+    """
 
-    def __init__(self, members: np.ndarray, sizes: np.ndarray, maps: np.ndarray):
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, maps: np.ndarray, counts: np.ndarray | None = None):
         self.members, starts = members, np.arange(0, len(members), LEAF)
         #: shingles beyond one for each bit that is set
-        extra = sizes - np.bitwise_count(maps).sum(1)
-        #: from the members up: bitmap, least and largest size, most extra
-        self.levels = [(maps, sizes, sizes, extra)]
+        counts = sizes if counts is None else counts
+        extra = counts - np.bitwise_count(maps).sum(1)
+        #: from the members up: bitmap, least and largest size, most extra, and by how much the part is smaller than the set at most (negative)
+        self.levels = [(maps, sizes, sizes, extra, counts - sizes)]
         while len(starts) and (len(self.levels) == 1 or len(self.levels[-1][0]) > 1):
-            maps, low, high, extra = self.levels[-1]
+            maps, low, high, extra, short = self.levels[-1]
             starts = np.arange(0, len(maps), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(extra, starts)))
+            self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(extra, starts), np.minimum.reduceat(short, starts)))
 
     def children(self, level: int, node: int) -> np.ndarray:
         return np.arange(node * LEAF, min((node + 1) * LEAF, len(self.levels[level - 1][0])))
@@ -118,12 +134,12 @@ class Tree:
 
 def _possible(x: Tree, la: int, a: np.ndarray, y: Tree, lb: int, b: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of nodes may hold a pair that links: sizes near enough, and enough bits in common."""
-    maps_a, low_a, high_a, extra_a = (t[a] for t in x.levels[la])
-    maps_b, low_b, high_b, extra_b = (t[b] for t in y.levels[lb])
+    maps_a, low_a, high_a, extra_a, short_a = (t[a] for t in x.levels[la])
+    maps_b, low_b, high_b, extra_b, short_b = (t[b] for t in y.levels[lb])
     near = (high_a[:, None] * 100 >= low_b * percent) & (high_b * 100 >= low_a[:, None] * percent)
     if near.any():
         common = np.bitwise_count(maps_a[:, None] & maps_b[None]).sum(2) + np.minimum(extra_a[:, None], extra_b)
-        near &= common >= needed(low_a[:, None], low_b, percent)
+        near &= common >= needed(low_a[:, None], low_b, percent) + np.maximum(short_a[:, None], short_b)
     return near
 
 
@@ -148,7 +164,7 @@ def walk(x: Tree, y: Tree, percent: int, visit: Visit) -> None:
             stack += [(la - down_a, int(i[p]), lb - down_b, int(j[q])) for p, q in np.argwhere(pairs)]
 
 
-def traverse(sizes: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, visit: Visit) -> None:
+def traverse(sizes: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, visit: Visit, counts: np.ndarray | None = None) -> None:
     """Walk the trees of ``left`` with themselves, or with those of ``right``; members of one bitmap length are a tree."""
 
     def trees(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +173,7 @@ def traverse(sizes: np.ndarray, maps: list[np.ndarray], left: np.ndarray, right:
         return {int(k): (rows[length == k], np.stack([maps[r] for r in rows[length == k]])) for k in np.unique(length)}
 
     def tree(members: np.ndarray, bitmaps: np.ndarray, words: int) -> Tree:
-        return Tree(members, sizes[members], np.bitwise_or.reduce(bitmaps.reshape(len(members), -1, words), 1))
+        return Tree(members, sizes[members], np.bitwise_or.reduce(bitmaps.reshape(len(members), -1, words), 1), None if counts is None else counts[members])
 
     ours = trees(left)
     theirs = ours if right is None else trees(right)
@@ -188,22 +204,22 @@ class Groups:
             self.up[max(a, b)] = min(a, b)
 
 
-def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which members have another one that the bitmaps let them link with."""
-    out = np.zeros(len(sizes), bool)
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Which members have another one that the bitmaps (of parts of ``counts`` shingles, or of the sets) let them link with."""
+    of, out = sizes if counts is None else counts, np.zeros(len(sizes), bool)
     if len(sizes) == 2:
         # most groups are pairs, which need no tree
         (x, y), words = maps, min(map(len, maps))
         x, y = (np.bitwise_or.reduce(m.reshape(-1, words), 0) for m in (x, y))
-        extra = min(int(n) - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, (x, y), strict=True))
-        out[:] = int(np.bitwise_count(x & y).sum()) + extra >= needed(int(sizes[0]), int(sizes[1]), percent)
+        extra = min(int(n) - int(np.bitwise_count(m).sum()) for n, m in zip(of, (x, y), strict=True))
+        out[:] = int(np.bitwise_count(x & y).sum()) + extra >= needed(int(sizes[0]), int(sizes[1]), percent) + int((of - sizes).max())
         return out
 
     def visit(u: np.ndarray, v: np.ndarray, pairs: np.ndarray) -> None:
         out[u] |= pairs.any(1)
         out[v] |= pairs.any(0)
 
-    traverse(sizes, maps, np.arange(len(sizes)), None, percent, visit)
+    traverse(sizes, maps, np.arange(len(sizes)), None, percent, visit, counts)
     return out
 
 
@@ -278,24 +294,27 @@ def _order(parts: DataFrame) -> np.ndarray:
 
 
 def _routed(docs: DataFrame, order: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, map, keys) of documents that have an id and a set."""
+    """(id, n, f1, f2, map, c, part, keys) of documents that have an id and a set; part is the bitmap of its ``part``, of c shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            n, prints, maps, keys, offsets = [], [], [], [], [0]
+            n, prints, maps, c, parts, keys, offsets = [], [], [], [], [], [], [0]
             for s in _shingle_sets(batch.column(1), words, width):
                 n.append(len(s))
                 prints.append(fingerprint(s))
                 maps.append(signature(s).tobytes() if len(s) else None)
+                some = part(s, percent)
+                c.append(len(some))
+                parts.append(signature(some, LEAST_PART).tobytes() if len(s) else None)
                 keys.append(routing_keys(s, percent, shared.value))
                 offsets.append(offsets[-1] + len(keys[-1]))
             p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "f1", "f2", "map", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(maps, pa.binary()), pa.array(c, pa.int64()), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "f1", "f2", "map", "c", "part", "keys"])
 
-    return docs.where(F.col("id").isNotNull()).mapInArrow(run, "id long, n long, f1 long, f2 long, map binary, keys array<long>").where("n > 0")
+    return docs.where(F.col("id").isNotNull()).mapInArrow(run, "id long, n long, f1 long, f2 long, map binary, c long, part binary, keys array<long>").where("n > 0")
 
 
 # ---------------------------------------------------------------- groups of candidates
@@ -304,29 +323,30 @@ def _routed(docs: DataFrame, order: np.ndarray, width: int, percent: int) -> Dat
 def _members(reps: DataFrame) -> DataFrame:
     """(centre, id): the documents of each group, the centre included.
 
-    Centres are found by a map-side minimum, and the join with them is one that adaptive execution splits where a key is frequent.
+    Keys are by far the most rows here, so they are shuffled once: the centres are found, and met, where their key's rows already are.
     """
-    keyed = reps.select("id", F.explode("keys").alias("key"))
+    # filters that the join would add on one side only are given to both, as the shuffle is shared by equal plans alone
+    keyed = reps.select("id", F.explode("keys").alias("key")).where("id is not null and key is not null").repartition("key")
     centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
     others = stored(keyed.join(centres, "key").where("id > centre").select("centre", "id").distinct())
     return others.union(others.select("centre", "centre").distinct())
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of the chosen ids, joined by shuffle.
+def _rows_of(docs: DataFrame, chosen: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Texts or bitmaps of the chosen ids, joined by shuffle.
 
-    Before it, texts are dropped whose id's hash falls in no chosen id's bucket: at most BUCKETS numbers go to
-    every executor, and few texts that aren't wanted are shuffled until the choice is about as large as that.
+    Before it, those are dropped whose id's hash falls in no chosen id's bucket: at most BUCKETS numbers go to
+    every executor, and few rows that aren't wanted are shuffled until the choice is about as large as that.
     """
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
     near = docs.withColumn("bucket", bucket).join(F.broadcast(chosen.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    return near.join(chosen, "id")
+    return near.join(chosen, list(by))
 
 
 def _alive(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         maps = [np.frombuffer(m.as_py(), np.uint64) for m in table["map"]]
-        return table.select(["centre", "id", "n"]).filter(pa.array(may_link(table["n"].to_numpy(), maps, percent)))
+        return table.select(["centre", "id", "n"]).filter(pa.array(may_link(table["n"].to_numpy(), maps, percent, table["c"].to_numpy())))
 
     return run
 
@@ -348,7 +368,7 @@ def _block_links(width: int, percent: int, every: bool):
 
 def _joined(docs: DataFrame, rows: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
     """Links of tasks: rows are (id, centre, block, other, side)."""
-    texts = _texts_of(docs, rows)
+    texts = _rows_of(docs, rows)
     found = texts.groupBy("centre", "block", "other").applyInArrow(_block_links(width, percent, every), "src long, dst long")
     return stored(found.where("src != dst"))
 
@@ -374,8 +394,14 @@ def _tree_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, ever
     # in order of size, a document's neighbours are those nearest to it: without one that is near enough it links with none
     w = Window.partitionBy("centre").orderBy("n")
     sizes = members.join(of_large, "centre", "left_anti").select("centre", "id", "n", F.lag("n").over(w).alias("less"), F.lead("n").over(w).alias("more"))
-    small = sizes.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("centre", "id", "n").join(reps.select("id", "n", "map"), ["id", "n"])
-    alive = stored(small.groupBy("centre").applyInArrow(_alive(percent), "centre long, id long, n long"))
+    small = sizes.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("centre", "id", "n")
+    # most groups share a shingle by chance: bitmaps of small parts of the sets tell, and the whole bitmaps are shuffled for the others
+    alive = small
+    for c, bits in (("c", "part"), ("n", "map")):
+        side = reps.select("id", "n", F.col(c).alias("c"), F.col(bits).alias("map"))
+        # the choice is cheap to read again once it is stored
+        maps = alive.join(side, ["id", "n"]) if c == "c" else _rows_of(side, alive, ("id", "n"))
+        alive = stored(maps.groupBy("centre").applyInArrow(_alive(percent), "centre long, id long, n long"))
     one = F.lit(0).alias("block"), F.lit(0).alias("other"), F.lit(1).alias("side")
     rows = alive.select("id", "centre", *one).distinct()
     large = members.join(of_large, "centre", "left_semi").select("centre", "id", "n")
@@ -421,7 +447,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     there = sized.where("n > 0 and id is not null")
     # one document for each set; rows with the same id and different sets are joined later
     sets = stored(there.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    reps = stored(_routed(docs, order, width, percent).join(sets.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "map", "keys"))
+    reps = stored(_routed(docs, order, width, percent).join(sets.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "map", "c", "part", "keys"))
     classed = sized.join(sets, ["n", "f1", "f2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     return docs, classed, reps
 
