@@ -59,3 +59,21 @@ def test_tables(spark):
 def test_ids_that_are_not_there(spark):
     odd = spark.createDataFrame([(1, [10**6, -1, 64]), (2, None)], "doc_id long, ids array<int>")
     assert [r["text"] for r in byte_bpe.decode(odd, PATH, P.PATTERN).orderBy("doc_id").collect()] == ["a", ""]
+
+
+def test_slices_hold_a_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textloom.llm import byte_bpe
+
+    texts = pa.array(["", None, *(f"{k} " * 500 for k in range(10_000, 14_000))])
+    tracemalloc.start()
+    seen = [(a, len(part), part[0]) for a, part in byte_bpe._slices(texts, 30_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen[0][::2] == (0, "") and sum(n for _, n, _ in seen) == 4_002
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(seen, seen[1:]))
+    # all texts are 12 MB
+    assert peak < 4_000_000

@@ -27,6 +27,9 @@ BUILT_IN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Pieces whose tokens a worker remembers, some 250 bytes each: the first ones met, among them all frequent ones.
 CACHE = 100_000
 
+#: Characters of a batch's texts that are encoded at once.
+SLICE = 150_000
+
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -95,16 +98,23 @@ def load(path: str, pattern: str) -> ByteBpe:
     return _loaded[path, pattern]
 
 
-def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters, so that the encodings of a few texts are in memory at once."""
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """Where runs of about ``most`` characters begin, and their texts (null: empty), so that a few of a batch's texts are in memory at once besides it."""
     start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t) + 100
+    part: list[str] = []
+    for k, text in enumerate(texts):
+        part.append(text.as_py() or "")
+        total += len(part[-1]) + 100
         if total >= most:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield start, part
+            start, total, part = k + 1, 0, []
+    if part:
+        yield start, part
+
+
+def _returned() -> None:
+    """Memory that a finished task's batches took goes back to the system, as the worker waits beside tasks that need none of it."""
+    pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -118,14 +128,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts, 150_000):
-                ids = bpe.encode(texts[a:b])
-                columns = [batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))]
+            for a, texts in _slices(batch.column(1), SLICE):
+                ids = bpe.encode(texts)
+                columns = [batch.column(0).slice(a, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
                 if offsets:
-                    both = [bpe.offsets(t, x) for t, x in zip(texts[a:b], ids, strict=True)]
+                    both = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "byte_starts", "char_starts"][: len(columns)])
+        batch = columns = ids = None
+        _returned()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -156,13 +167,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         bpe = load(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts, 150_000):
-                ids = bpe.encode(texts[a:b])
+            for a, texts in _slices(batch.column(1), SLICE):
+                ids = bpe.encode(texts)
                 digests = [sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids]
                 decoded = [sha256(bpe.decode(x)).hexdigest() for x in ids]
-                columns = [batch.column(0).slice(a, b - a), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                columns = [batch.column(0).slice(a, len(texts)), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        batch = columns = ids = None
+        _returned()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
