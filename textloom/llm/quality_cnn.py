@@ -105,13 +105,26 @@ def features(maxima: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum.reduceat(pairs, at), np.add.reduceat(pairs, at) / chunks[:, None]], 1)
 
 
-def probability(w: Weights, x: np.ndarray) -> np.ndarray:
+def log_odds(w: Weights, x: np.ndarray) -> np.ndarray:
     h = np.maximum((x[:, :, None] * w["hidden"]).sum(1) + w["hidden_bias"], 0)
-    return 1 / (1 + np.exp(-np.clip(((h * w["out"]).sum(1) + w["out_bias"]).astype(np.float64), -30, 30)))
+    return ((h * w["out"]).sum(1) + w["out_bias"]).astype(np.float64)
+
+
+def probability(w: Weights, x: np.ndarray) -> np.ndarray:
+    return _shares(log_odds(w, x))
+
+
+def _shares(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def predict(w: Weights, raws: list[bytes], tables: np.ndarray | None = None) -> np.ndarray:
-    """Probabilities of texts.  Up to BLOCK bytes are in work at once; a longer text goes block by block."""
+    """Probabilities of texts."""
+    return _shares(read(w, raws, tables))
+
+
+def read(w: Weights, raws: list[bytes], tables: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of texts.  Up to BLOCK bytes are in work at once; a longer text goes block by block."""
     tables = pair_tables(w) if tables is None else tables
     out, batch, size = [], [], 0
 
@@ -119,14 +132,14 @@ def predict(w: Weights, raws: list[bytes], tables: np.ndarray | None = None) ->
         nonlocal size
         if batch:
             b, chunks = padded(batch)
-            out.append(probability(w, features(chunk_maxima(w, b, chunks, tables), chunks)))
+            out.append(log_odds(w, features(chunk_maxima(w, b, chunks, tables), chunks)))
         batch.clear()
         size = 0
 
     for r in raws:
         if len(r) > BLOCK:
             flush()
-            out.append(probability(w, features(_long(w, r, tables), np.array([-(-len(r) // CHUNK)]))))
+            out.append(log_odds(w, features(_long(w, r, tables), np.array([-(-len(r) // CHUNK)]))))
             continue
         if size + len(r) > BLOCK:
             flush()
@@ -230,8 +243,9 @@ def calibrated(w: Weights, rows: list[tuple[str, int]], ridge: float = 1.0, roun
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return w
-    p = np.clip(predict(w, [utf8(t) for t, _ in rows]), 1e-12, 1 - 1e-12)
-    x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], 1)
+    # not of the probabilities, which are one and the same for all rows of a network that is too sure of itself
+    z = read(w, [utf8(t) for t, _ in rows])
+    x = np.stack([z, np.ones(len(z))], 1)
     times = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     v = still = np.array([1.0, 0.0])
 
