@@ -118,3 +118,16 @@ def test_all_weights_are_refined_from_the_start(doc):
         weights += c.RATE * gradient / (met + c.DAMPING)[:, None]
         t = until
     assert c.BLOCK <= 8 and c.code_lengths(m, [doc])[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_texts_of_one_length_are_scored_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(c, "GROUP_WORDS", 60)
+    texts = [None if k == 7 else " ".join(["wörd"] * (k * 37 % 50)) for k in range(50)]
+    groups = list(c.in_groups(pa.array(texts)))
+    assert sorted(k for taken, _ in groups for k in taken) == list(range(50))
+    assert all(words == space_words(texts[k]) for taken, group in groups for k, words in zip(taken, group, strict=True))
+    lengths = [sorted(map(len, group)) for _, group in groups]
+    assert all(a[-1] <= b[0] for a, b in zip(lengths, lengths[1:])) and all(sum(x) - x[-1] < 60 for x in lengths)
+    assert not list(c.in_groups(pa.array([], pa.string())))

@@ -35,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm._text import held_out, space_words, stored
+from textloom.llm._text import WordHashes, held_out, space_words, stored
 
 FOLDS, HELD_OUT, CALIBRATION = 7, 2, 5
 TABLE_BITS = 22
@@ -179,18 +180,53 @@ class Model:
 # ---------------------------------------------------------------- scoring a group of documents
 
 
-def code_lengths(model: Model, docs: list[list[bytes]]) -> np.ndarray:
-    """Natural-log cost of each document, given its words; weights adapt within each document."""
-    ids: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
+def in_groups(texts: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of about GROUP_WORDS words at once, of texts of about one length: few steps of refinement have few documents left."""
+    order = np.argsort(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable").tolist()
+    taken, group, size = [], [], 0
+    for k in order:
+        taken.append(k)
+        group.append(space_words(texts[k].as_py()))
+        size += len(group[-1]) + 1
+        if size >= GROUP_WORDS:
+            yield taken, group
+            taken, group, size = [], [], 0
+    if taken:
+        yield taken, group
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@dataclass
+class Numbered:
+    """A group of documents with its words numbered: distinct words of a class, one class after another, and each document's numbers, the end's last."""
+
+    kinds: list[int]
+    sequences: list[np.ndarray]
+    words: list[bytes]
+    classes: np.ndarray
+
+
+def numbered(docs: list[list[bytes]]) -> Numbered:
+    ids = [_Numbers() for _ in range(CLASSES)]
     kinds = [document_class(words) for words in docs]
-    sequences = []
-    for words, kind in zip(docs, kinds, strict=True):
-        own = ids[kind]
-        sequences.append(np.array([own.setdefault(w, len(own)) for w in (*words, b"")], np.int64))
+    sequences = [np.fromiter(map(ids[kind].__getitem__, (*words, b"")), np.int64, len(words) + 1) for words, kind in zip(docs, kinds, strict=True)]
     sizes = np.array(list(map(len, ids)))
     begin = np.cumsum(sizes) - sizes
-    sequences = [s + begin[k] for s, k in zip(sequences, kinds, strict=True)]
-    n, sign, gate, x = model.inputs([w for own in ids for w in own], np.repeat(np.arange(CLASSES), sizes))
+    return Numbered(kinds, [s + begin[k] for s, k in zip(sequences, kinds, strict=True)], [w for own in ids for w in own], np.repeat(np.arange(CLASSES), sizes))
+
+
+def code_lengths(model: Model, docs: list[list[bytes]] | Numbered) -> np.ndarray:
+    """Natural-log cost of each document, given its words; weights adapt within each document."""
+    group = docs if isinstance(docs, Numbered) else numbered(docs)
+    kinds, sequences = group.kinds, group.sequences
+    n, sign, gate, x = model.inputs(group.words, group.classes)
     # log-odds of the bit that is there, before refinement
     base = np.zeros(len(sign), np.float32)
     for k in range(PREDICTORS):
@@ -210,12 +246,12 @@ def code_lengths(model: Model, docs: list[list[bytes]]) -> np.ndarray:
     runs = np.add.reduceat(starts, piece_at, dtype=np.int64)
     first_run = np.cumsum(runs) - runs
     sequences = [_spans(word_piece[q], per_word[q]) for q in sequences]
-    order = np.array(sorted(range(len(docs)), key=lambda i: -len(sequences[i])))
+    order = np.array(sorted(range(len(kinds)), key=lambda i: -len(sequences[i])))
     sequences = [sequences[i] for i in order]
     lengths = np.array(list(map(len, sequences)))
     #: by predictor, and by document (longest first) and gate
-    delta = np.zeros((PREDICTORS, len(docs) * GATES), np.float32)
-    cost = np.zeros(len(docs))
+    delta = np.zeros((PREDICTORS, len(kinds) * GATES), np.float32)
+    cost = np.zeros(len(kinds))
     t = 0
     while t < lengths[0]:
         until = t + min(max(t, 1), BLOCK)
@@ -468,15 +504,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         row = TaskContext.get().partitionId() << 40
         model, (hashes, counts) = shared.value
+        met_hashes = WordHashes()
         for batch in batches:
-            texts, group, size, begin = batch.column(1), [], 0, 0
-            for k in range(len(texts)):
-                group.append(space_words(texts[k].as_py()))
-                size += len(group[-1]) + 1
-                if size >= GROUP_WORDS or k == len(texts) - 1:
-                    yield _scored(model, hashes, counts, batch.column(0).slice(begin, len(group)), group, row)
-                    row += len(group)
-                    group, size, begin = [], 0, k + 1
+            for taken, group in in_groups(batch.column(1)):
+                yield _scored(model, hashes, counts, met_hashes, batch.column(0).take(pa.array(taken)), group, row)
+                row += len(group)
 
     kind = docs.schema["id"].dataType.simpleString()
     scored = stored(docs.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_bytes long, known long, logs double, cost double, rare array<binary>"))
@@ -496,23 +528,22 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _scored(model: Model, hashes: np.ndarray, counts: np.ndarray, ids: pa.Array, group: list[list[bytes]], row: int) -> pa.RecordBatch:
-    distinct = list({w for words in group for w in words} | {b""})
-    h = np.array([word_hash(w) for w in distinct], np.int64)
+def _scored(model: Model, hashes: np.ndarray, counts: np.ndarray, met_hashes: WordHashes, ids: pa.Array, group: list[list[bytes]], row: int) -> pa.RecordBatch:
+    numbers = numbered(group)
+    h = met_hashes.of(numbers.words).view(np.int64)
     at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
     found = (hashes[at] == h) if len(hashes) else np.zeros(len(h), bool)
-    logs = dict(zip(distinct, np.where(found, np.log10(counts[at] + 1.0) if len(counts) else 0.0, -1.0).tolist(), strict=True))
+    logs = np.where(found, np.log10(counts[at] + 1.0) if len(counts) else 0.0, 0.0)
     known, total, rare = [], [], []
-    for words in group:
-        got = [logs[w] for w in words]
-        got.append(logs[b""])
-        rest = [w for w, x in zip((*words, b""), got, strict=True) if x < 0]
-        rare.append(rest)
-        known.append(len(got) - len(rest))
-        total.append(sum(got) + len(rest))
+    for sequence in numbers.sequences:
+        met = found[sequence]
+        rest = sequence[~met].tolist()
+        rare.append([numbers.words[i] for i in rest])
+        known.append(len(sequence) - len(rest))
+        total.append(float(logs[sequence].sum()))
     names = ["id", "row", "n_tokens", "n_bytes", "known", "logs", "cost", "rare"]
     return pa.RecordBatch.from_arrays([
         ids, pa.array(range(row, row + len(group)), pa.int64()), pa.array([len(w) + 1 for w in group], pa.int64()),
         pa.array([sum(map(len, w)) + len(w) + 1 for w in group], pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()),
-        pa.array(code_lengths(model, group), pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+        pa.array(code_lengths(model, numbers), pa.float64()), pa.array(rare, pa.list_(pa.binary())),
     ], names=names)
