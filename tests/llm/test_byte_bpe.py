@@ -77,3 +77,24 @@ def test_slices_hold_a_few_texts_at_once():
     assert all(a + n == b for (a, n, _), (b, _, _) in zip(seen, seen[1:]))
     # all texts are 12 MB
     assert peak < 4_000_000
+
+
+def test_runs_are_encoded_once_and_as_inside_their_texts(reference, monkeypatch):
+    import random
+
+    monkeypatch.setattr(byte_bpe, "CACHE", 40)
+    r = random.Random(4)
+    signs = ["a", "Ab", "é", "日本", "7", "²", "'s", "'", "!?", "😀", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "\u180e", "\u3000", "\ufeff", "\x00"]
+    texts = [*TEXTS, *("".join(r.choices(signs, k=r.randrange(12))) for _ in range(3_000)), *(" ".join(r.choices(signs[:10], k=9)) for _ in range(300))]
+    bpe, asked = byte_bpe.ByteBpe(PATH, P.PATTERN), []
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda texts: asked.extend(texts) or encode(texts))
+    for k in range(0, len(texts), 60):
+        ids, at = bpe.joined(texts[k : k + 60])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference.encode_ordinary(t) for t in texts[k : k + 60]]
+        assert [bytes(x) for x in bpe.decoded(ids, at)] == [t.encode() for t in texts[k : k + 60]]
+    assert len(bpe.met) == 40
+    asked.clear()
+    bpe.met.clear()
+    bpe.joined([" one two two one" * 1_000, " two one"])
+    assert sum(map(len, asked)) == len(" one two")

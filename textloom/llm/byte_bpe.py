@@ -3,7 +3,9 @@
 ``encode`` turns texts into token ids with byte and character offsets, ``decode``
 turns ids back into bytes and text.  The vocabulary is a rank file (one base64
 token and its rank a line); merges are derived from the ranks, so the ids are those
-that a rank-ordered byte-pair encoder gives.
+that a rank-ordered byte-pair encoder gives.  With the built-in pattern a match never goes
+on into white space, so a text is cut before it and the library encodes each distinct run once in a
+worker (of the first ``CACHE`` met, any other as often as it stands).
 
 Defined results: a null text counts as empty and has no tokens; long texts are
 encoded whole; repeated rows give repeated results; an empty table gives an empty
@@ -15,6 +17,7 @@ split between tokens that are not all there) become U+FFFD in ``text`` and stay
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,14 @@ CACHE = 100_000
 #: Characters of a batch's texts that are encoded at once.
 SLICE = 150_000
 
+#: White space with what follows it up to the next.  A match of BUILT_IN has white space at its beginning only, and looks no farther than the run of it.
+RUN = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+SPACE = "\t\n\x0b\x0c\r "
+#: Other characters that are white space, or were: a text with one of them isn't cut.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Runs of more characters aren't remembered.
+LONGEST_RUN = 40
+
 _loaded: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -64,6 +75,11 @@ class ByteBpe:
                 pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True),
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ])
+        self.cuts = pattern == BUILT_IN
+        #: ids of runs, as little-endian 32-bit integers
+        self.met: dict[str, bytes] = {}
+        self.sizes = np.array(list(map(len, self.tokens)))
+        self.token_bytes = pa.array(self.tokens, pa.binary())
 
     def _parts(self, token: bytes) -> list[bytes]:
         """The two tokens that the last merge joins: pairs of lower rank than the token's own are merged first."""
@@ -76,6 +92,47 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def runs(self, text: str) -> list[str]:
+        """Parts of the text that have the ids they have inside it."""
+        return RUN.findall(text) if self.cuts and (text.isascii() and text.isprintable() or not OTHER_SPACE.search(text)) else [text] if text else []
+
+    def _encoded(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Runs with their ids.  Those that begin with white space and don't end with it are encoded as one text, whose matches are theirs."""
+        together = [run for run in runs if self.cuts and run[0] in SPACE and run[-1] not in SPACE and not OTHER_SPACE.match(run[-1])]
+        ids = np.array(self.encode(["".join(together)])[0], "<i4")
+        at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(run.encode()) for run in together])
+        upto = np.searchsorted(at, ends) + 1
+        if len(together) and np.array_equal(at[upto - 1], ends):
+            raw, upto = ids.tobytes(), (4 * upto).tolist()
+            yield from zip(together, (raw[a:b] for a, b in zip([0, *upto], upto)))
+            done = set(together)
+            runs = [run for run in runs if run not in done]
+        yield from zip(runs, (np.array(x, "<i4").tobytes() for x in self.encode(runs)), strict=True)
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one text after another, and where each text's begin (and the last one's end)."""
+        parts = list(map(self.runs, texts))
+        known = self.met
+        fresh = list(set().union(*parts) - known.keys())
+        room = CACHE - len(known)
+        known.update(self._encoded(fresh))
+        raw = [b"".join(map(known.__getitem__, own)) for own in parts]
+        for run in fresh:
+            if len(run) > LONGEST_RUN or not room:
+                del known[run]
+            else:
+                room -= 1
+        return np.frombuffer(b"".join(raw), "<i4"), np.cumsum([0, *map(len, raw)]) // 4
+
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> list[memoryview]:
+        """Bytes of the runs of ids, all of the vocabulary, that begin (and the last one ends) at the given places."""
+        if not len(ids):
+            return [memoryview(b"")] * (len(at) - 1)
+        out = self.token_bytes.take(pa.array(ids))
+        ends = np.frombuffer(out.buffers()[1], np.int32)[at]
+        raw = memoryview(out.buffers()[2] or b"")
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def offsets(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Byte and character offset of each token's start; a token that starts inside a character has that character's offset."""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -112,6 +169,10 @@ def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         yield start, part
 
 
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def _returned() -> None:
     """Memory that a finished task's batches took goes back to the system, as the worker waits beside tasks that need none of it."""
     pa.default_memory_pool().release_unused()
@@ -129,10 +190,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = load(path, pattern)
         for batch in batches:
             for a, texts in _slices(batch.column(1), SLICE):
-                ids = bpe.encode(texts)
-                columns = [batch.column(0).slice(a, len(texts)), pa.array(ids, pa.list_(pa.int32()))]
+                ids, at = bpe.joined(texts)
+                columns = [batch.column(0).slice(a, len(texts)), _lists(ids, at)]
                 if offsets:
-                    both = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
+                    both = [bpe.offsets(t, ids[b:c].tolist()) for t, b, c in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "byte_starts", "char_starts"][: len(columns)])
         batch = columns = ids = None
@@ -168,11 +229,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         bpe = load(path, pattern)
         for batch in batches:
             for a, texts in _slices(batch.column(1), SLICE):
-                ids = bpe.encode(texts)
-                digests = [sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids]
-                decoded = [sha256(bpe.decode(x)).hexdigest() for x in ids]
-                columns = [batch.column(0).slice(a, len(texts)), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+                ids, at = bpe.joined(texts)
+                # no id is negative, so that signed and unsigned are the same bytes
+                digests = [sha256(ids[b:c]).hexdigest() for b, c in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                decoded = [sha256(x).hexdigest() for x in bpe.decoded(ids, at)]
+                columns = [batch.column(0).slice(a, len(texts)), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                columns += [_lists(ids, at)] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
         batch = columns = ids = None
         _returned()
