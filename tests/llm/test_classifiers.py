@@ -187,6 +187,16 @@ def test_calibration():
     assert (cnn.predict(cnn.calibrated(turned, rows[200:]), [t.encode() for t, y in rows if y == 0]) < 0.5).mean() > 0.9
 
 
+def test_calibration_is_the_same_wherever_the_log_odds_lie():
+    r = random.Random(5)
+    rows = [("".join(r.choices("abcd ", k=80)) + "%%%%" * (3 * (k % 6 == 0)), int(k % 6 != 0)) for k in range(120)]
+    w, raws = cnn.train(rows, steps=60), [t.encode() for t, _ in rows]
+    want = cnn.predict(cnn.calibrated(w, rows), raws)
+    assert want.max() - want.min() > 0.2
+    for shift in (-40, 40):
+        assert np.allclose(cnn.predict(cnn.calibrated({**w, "out_bias": w["out_bias"] + shift}, rows), raws), want, atol=1e-3)
+
+
 def test_pairs_among_thousands_of_commoner_terms():
     """Two terms at the same rate in both classes, together in one and apart in the other, among 6,000 terms that vary more."""
     r = random.Random(2)

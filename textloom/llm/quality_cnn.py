@@ -237,15 +237,18 @@ def train(rows: list[tuple[str, int]], steps: int = TRAINED, batch: int = 48, ra
 def calibrated(w: Weights, rows: list[tuple[str, int]], ridge: float = 1.0, rounds: int = 25) -> Weights:
     """The network with its last layer scaled and shifted to the rows it wasn't trained on, both classes of equal weight.
 
-    A logistic fit of the labels to the network's log-odds, drawn to leaving them as they are; so a score of a half is where a text is as likely of
-    one class as of the other, whatever the classes' shares and however sure of itself the network has become.
+    A logistic fit of the labels to the network's log-odds, counted from midway between the classes' means and drawn to leaving their differences as
+    they are; so a score of a half is where a text is as likely of one class as of the other, whatever the classes' shares and however far all
+    log-odds lie to one side.
     """
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return w
     # not of the probabilities, which are one and the same for all rows of a network that is too sure of itself
     z = read(w, [utf8(t) for t, _ in rows])
-    x = np.stack([z, np.ones(len(z))], 1)
+    # nor from nought: a shift that has to be large would cost more than giving up the scale
+    middle = (z[y == 1].mean() + z[y == 0].mean()) / 2
+    x = np.stack([z - middle, np.ones(len(z))], 1)
     times = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     v = still = np.array([1.0, 0.0])
 
@@ -262,7 +265,7 @@ def calibrated(w: Weights, rows: list[tuple[str, int]], ridge: float = 1.0, roun
             move = move / 2
         v = v + move
     scale = max(float(v[0]), 1e-3)
-    return w | {"out": (w["out"] * scale).astype(np.float32), "out_bias": (w["out_bias"] * scale + v[1]).astype(np.float32)}
+    return w | {"out": (w["out"] * scale).astype(np.float32), "out_bias": ((w["out_bias"] - middle) * scale + v[1]).astype(np.float32)}
 
 
 def learned(rows: list[tuple[str, int]]) -> Weights:
