@@ -131,3 +131,53 @@ def test_texts_of_one_length_are_scored_together(monkeypatch):
     lengths = [sorted(map(len, group)) for _, group in groups]
     assert all(a[-1] <= b[0] for a, b in zip(lengths, lengths[1:])) and all(sum(x) - x[-1] < 60 for x in lengths)
     assert not list(c.in_groups(pa.array([], pa.string())))
+
+
+def test_strips_hold_each_bit_once():
+    """Strips are at most STRIP bits of one gate and one piece, filled up with zeros; read in order, they are the words' bits."""
+    m = model([b"the"])
+    m.tables[0][::3] = -128
+    words = [b"the", b"", b"w\xc3\xb6rd", b"y" * 300, b"a", b"zz" * 70]
+    classes = np.arange(len(words)) % 3
+    s = c.in_strips(m, words, classes)
+    n, sign, gate, x = m.inputs(words, classes)
+    want = np.stack(x, 1) * -sign[:, None]
+    assert s.pieces.tolist() == [-(-k // c.PIECE) for k in n] and len(s.odds) == len(s.gate) == len(s.bits) == s.piece_strips.sum()
+    assert s.piece_bits.sum() == s.bits.sum() == len(sign) and s.bits.min() >= 1 and s.bits.max() <= c.STRIP and s.piece_bits.max() <= c.PIECE
+    odds = s.odds.reshape(-1, c.STRIP, c.PREDICTORS)
+    there = np.arange(c.STRIP) < s.bits[:, None]
+    assert (odds[there] == want).all() and not odds[~there].any()
+    assert (np.repeat(s.gate, s.bits) == gate).all()
+    at = np.cumsum(s.piece_strips) - s.piece_strips
+    assert (np.add.reduceat(s.bits.astype(int), at) == s.piece_bits).all()
+
+
+def test_words_are_numbered_by_class():
+    docs = [[b"b", b"a", b"b"], [], ["é".encode(), b"a"], [b"a"]]
+    g = c.numbered(docs)
+    kinds = [c.document_class(d) for d in docs]
+    assert g.kinds.tolist() == kinds and kinds[2] > 0 and g.sizes.tolist() == [4, 1, 3, 2]
+    assert [(g.words[i], g.classes[i]) for i in g.numbers] == [(w, k) for d, k in zip(docs, kinds) for w in (*d, b"")]
+    assert len(g.words) == len(set(zip(g.words, g.classes))) == 6 and g.array.to_pylist() == g.words and (np.diff(g.classes) >= 0).all()
+
+
+def test_class_is_the_commonest_character():
+    for text in ("", "plain", "añb ñ é", "日本日 本日", "é ñ", "😀 é 😀"):
+        pairs = collections.Counter(ch.encode()[:2] for ch in text if ord(ch) > 127)
+        best = min(pairs, key=lambda p: (-pairs[p], p)) if pairs else None
+        assert c.document_class(space_words(text)) == (1 + int.from_bytes(best, "big") * 0x9E3779B1 % (1 << 32) % (c.CLASSES - 1) if best else 0)
+
+
+def test_newton_sums_are_those_of_each_bit():
+    """Gradient and Hessian bit by bit; gates without any bit sum to zero."""
+    m = model([b"the"])
+    words, classes, times = [b"the", b"", b"w%d" % 7, b"zz" * 9], np.array([0, 1, 0, 2]), np.array([5, 1, 3, 2])
+    n, sign, gate, x = m.inputs(words, classes)
+    x = np.stack(x, 1).astype(float) / c.UNIT
+    want = np.zeros((c.GATES, c.PREDICTORS + c.PREDICTORS**2))
+    for i, often in enumerate(np.repeat(times, n)):
+        p = 1 / (1 + math.exp(-min(30, max(-30, float(m.weights[gate[i]] @ x[i])))))
+        want[gate[i], : c.PREDICTORS] += often * ((sign[i] > 0) - p) * x[i]
+        want[gate[i], c.PREDICTORS :] += (often * p * (1 - p) * np.outer(x[i], x[i])).ravel()
+    got = c.newton_sums(m, m.weights, words, classes, times)
+    assert np.allclose(got, want) and not got[4:].any()

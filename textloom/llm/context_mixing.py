@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm._text import WordHashes, held_out, space_words, stored
+from textloom.llm._text import held_out, space_words, stored
 
 FOLDS, HELD_OUT, CALIBRATION = 7, 2, 5
 TABLE_BITS = 22
@@ -49,6 +49,10 @@ GATES = 8
 CLASSES = 16
 #: Most pieces between two refinements of a document's weights, a piece's most bits, the step, and the bits that damp it.
 BLOCK, PIECE, RATE, DAMPING = 8, 256, 3.0, 300
+#: Bits of one gate that are worked on as one, strips at once, and the cost of an even chance.
+STRIP, STRIPS, LOG_2 = 4, 1 << 13, float(np.log(np.float32(2)))
+#: Words whose bits are looked up at once.
+SOME_WORDS = 4_000
 #: Words in work at once in a task.
 GROUP_WORDS = 120_000
 #: Counts of at most so many frequent words are sent to executors (12 bytes each).
@@ -96,12 +100,15 @@ def document_class(words: list[bytes]) -> int:
 
     The class is written ahead of the text, at the cost of its share of the training documents.
     """
-    b = np.frombuffer(b" ".join(words) + b"  ", np.uint8)
+    raw = b" ".join(words)
+    if raw.isascii():
+        return 0
+    b = np.frombuffer(raw + b"  ", np.uint8)
     lead = np.flatnonzero(b >= 0xC2)
     if not len(lead):
         return 0
-    pairs, times = np.unique(b[lead].astype(np.int64) * 256 + b[lead + 1], return_counts=True)
-    return 1 + int(pairs[times.argmax()]) * 0x9E3779B1 % (1 << 32) % (CLASSES - 1)
+    times = np.bincount(b[lead].astype(np.int64) * 256 + b[lead + 1])
+    return 1 + int(times.argmax()) * 0x9E3779B1 % (1 << 32) % (CLASSES - 1)
 
 
 # ---------------------------------------------------------------- contexts of words' bits
@@ -195,89 +202,127 @@ def in_groups(texts: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
         yield taken, group
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 @dataclass
 class Numbered:
-    """A group of documents with its words numbered: distinct words of a class, one class after another, and each document's numbers, the end's last."""
+    """A group of documents with its words numbered: distinct words of a class, one class after another; numbers of all documents' words, each one's end last."""
 
-    kinds: list[int]
-    sequences: list[np.ndarray]
+    kinds: np.ndarray
+    sizes: np.ndarray
+    numbers: np.ndarray
+    array: pa.Array
     words: list[bytes]
     classes: np.ndarray
 
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
 
 def numbered(docs: list[list[bytes]]) -> Numbered:
-    ids = [_Numbers() for _ in range(CLASSES)]
-    kinds = [document_class(words) for words in docs]
-    sequences = [np.fromiter(map(ids[kind].__getitem__, (*words, b"")), np.int64, len(words) + 1) for words, kind in zip(docs, kinds, strict=True)]
-    sizes = np.array(list(map(len, ids)))
-    begin = np.cumsum(sizes) - sizes
-    return Numbered(kinds, [s + begin[k] for s, k in zip(sequences, kinds, strict=True)], [w for own in ids for w in own], np.repeat(np.arange(CLASSES), sizes))
+    kinds = np.array([document_class(words) for words in docs])
+    sizes = np.array([len(words) + 1 for words in docs])
+    there, of = np.unique(kinds, return_inverse=True)
+    coded = pa.array([w for words in docs for w in (*words, b"")], pa.binary()).dictionary_encode()
+    distinct = len(coded.dictionary)
+    key = np.repeat(of * distinct, sizes) + coded.indices.to_numpy()
+    met = np.zeros(len(there) * distinct, bool)
+    met[key] = True
+    pairs = np.flatnonzero(met)
+    array = coded.dictionary.take(pa.array(pairs % distinct))
+    # words hold no space
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array), b" ")[0].as_py().split(b" ")
+    return Numbered(kinds, sizes, np.cumsum(met, dtype=np.int32)[key] - 1, array, words, there[pairs // distinct])
 
 
-def code_lengths(model: Model, docs: list[list[bytes]] | Numbered) -> np.ndarray:
-    """Natural-log cost of each document, given its words; weights adapt within each document."""
-    group = docs if isinstance(docs, Numbered) else numbered(docs)
-    kinds, sequences = group.kinds, group.sequences
-    n, sign, gate, x = model.inputs(group.words, group.classes)
-    # log-odds of the bit that is there, before refinement
-    base = np.zeros(len(sign), np.float32)
-    for k in range(PREDICTORS):
-        base += x[k] * (model.weights[:, k] / UNIT).astype(np.float32)[gate]
-    base *= sign
-    own = np.stack([x[k] * sign for k in range(PREDICTORS)], 1).view(np.int32).ravel()
-    # words are cut into pieces, and those into runs of bits with one gate
-    per_word = -(-n // PIECE)
-    word_piece = np.cumsum(per_word) - per_word
-    piece_at = np.repeat(np.cumsum(n) - n, per_word) + _spans(np.zeros(len(n), np.int64), per_word).astype(np.int64) * PIECE
-    piece_bits = np.diff(np.append(piece_at, len(sign)))
+@dataclass
+class Strips:
+    """Words' bits in strips: bits of one gate that stand together, STRIP at most, the last one of them filled up with zeros.
+
+    A strip has one set of weights, and the bits of many strips are summed by adding whole arrays.
+    """
+
+    #: by strip, place in it and predictor: log-odds of the bit that isn't there
+    odds: np.ndarray
+    gate: np.ndarray
+    bits: np.ndarray
+    #: pieces of each word, and each piece's bits and strips
+    pieces: np.ndarray
+    piece_bits: np.ndarray
+    piece_strips: np.ndarray
+
+
+def in_strips(model: Model, words: list[bytes], classes: np.ndarray) -> Strips:
+    n, sign, gate, x = model.inputs(words, classes)
+    # words are cut into pieces, those into runs of bits with one gate, and those into strips
+    pieces = -(-n // PIECE)
+    piece_at = np.repeat(np.cumsum(n) - n, pieces) + _spans(np.zeros(len(n), np.int64), pieces).astype(np.int64) * PIECE
     starts = np.ones(len(gate), bool)
     starts[1:] = gate[1:] != gate[:-1]
     starts[piece_at] = True
     run_at = np.flatnonzero(starts)
-    run_bits, run_gate = np.diff(np.append(run_at, len(sign))), gate[run_at].astype(np.int64)
-    runs = np.add.reduceat(starts, piece_at, dtype=np.int64)
-    first_run = np.cumsum(runs) - runs
-    sequences = [_spans(word_piece[q], per_word[q]) for q in sequences]
-    order = np.array(sorted(range(len(kinds)), key=lambda i: -len(sequences[i])))
-    sequences = [sequences[i] for i in order]
-    lengths = np.array(list(map(len, sequences)))
-    #: by predictor, and by document (longest first) and gate
-    delta = np.zeros((PREDICTORS, len(kinds) * GATES), np.float32)
-    cost = np.zeros(len(kinds))
-    t = 0
-    while t < lengths[0]:
-        until = t + min(max(t, 1), BLOCK)
+    run_bits = np.diff(np.append(run_at, len(sign)))
+    strips = -(-run_bits // STRIP)
+    end = np.cumsum(strips)
+    bits = np.full(end[-1], STRIP, np.int8)
+    bits[end - 1] = run_bits - (strips - 1) * STRIP
+    first = (end - strips)[np.searchsorted(run_at, piece_at)]
+    odds = np.zeros((end[-1] * STRIP, PREDICTORS), np.int8)
+    sign = -sign
+    odds.view(np.int32)[_spans((end - strips) * STRIP, run_bits), 0] = np.stack([v * sign for v in x], 1).view(np.int32).ravel()
+    return Strips(odds.reshape(-1, STRIP * PREDICTORS), np.repeat(gate[run_at], strips), bits, pieces, np.diff(np.append(piece_at, len(sign))), np.diff(np.append(first, end[-1])))
+
+
+def code_lengths(model: Model, docs: list[list[bytes]] | Numbered) -> np.ndarray:
+    """Natural-log cost of each document, given its words; weights adapt within each document."""
+    group = docs if isinstance(docs, Numbered) else numbered(docs)
+    parts = [in_strips(model, group.words[k : k + SOME_WORDS], group.classes[k : k + SOME_WORDS]) for k in range(0, len(group.words), SOME_WORDS)]
+    odds = np.concatenate([p.odds for p in parts]).view(np.complex128).ravel()
+    strip_gate, strip_bits, per_word, piece_bits, strips = (np.concatenate([getattr(p, name) for p in parts]) for name in ("gate", "bits", "pieces", "piece_bits", "piece_strips"))
+    first_strip, first_piece = np.cumsum(strips) - strips, np.cumsum(per_word) - per_word
+    # pieces in order of step and document (longest first)
+    per_token = per_word[group.numbers]
+    pieces = _spans(first_piece[group.numbers], per_token)
+    lengths = np.add.reduceat(per_token, group.starts)
+    order = np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    doc, place = np.repeat(rank, lengths), _spans(np.zeros(len(lengths), np.int64), lengths)
+    lengths = lengths[order]
+    borders = [0]
+    while borders[-1] < lengths[0]:
+        borders.append(borders[-1] + min(max(borders[-1], 1), BLOCK))
+    step = np.repeat(np.arange(len(borders) - 1), np.diff(borders))[place]
+    in_order = np.lexsort((doc, step))
+    begin = np.searchsorted(step[in_order], np.arange(len(borders)))
+    pieces, doc = pieces[in_order], doc[in_order]
+    # weights by predictor, and by document and gate
+    weights = np.tile(model.weights.T / UNIT, len(lengths))
+    # a zero that fills a strip up costs log 2
+    cost = -LOG_2 * np.bincount(doc, strips[pieces] * STRIP - piece_bits[pieces], len(lengths))
+    for t, a, b in zip(borders, begin, begin[1:]):
         active = int(np.searchsorted(-lengths, -t))
-        pieces = np.concatenate([q[t:until] for q in sequences[:active]])
-        sizes = np.minimum(lengths[:active], until) - t
-        bits, count = piece_bits[pieces], runs[pieces]
-        at, r = _spans(piece_at[pieces], bits), _spans(first_run[pieces], count)
-        cell = np.repeat(np.repeat(np.arange(active) * GATES, sizes), count) + run_gate[r]
-        length = run_bits[r]
-        begin = np.cumsum(length) - length
-        y = own[at].view(np.int8).reshape(-1, PREDICTORS).T.astype(np.float32, order="C")
-        z = base[at]
-        if t:
-            for k in range(PREDICTORS):
-                z += y[k] * np.repeat(delta[k][cell], length)
-        e = np.exp(-np.clip(z, -30, 30, out=z))
-        e += 1
-        in_doc = np.add.reduceat(bits, np.cumsum(sizes) - sizes)
-        cost[:active] += np.add.reduceat(np.log(e), np.cumsum(in_doc) - in_doc, dtype=np.float64)
-        y *= 1 - 1 / e
-        met = np.bincount(cell, length, active * GATES)
-        for k in range(PREDICTORS):
-            delta[k, : active * GATES] += RATE / UNIT**2 * np.bincount(cell, np.add.reduceat(y[k], begin), active * GATES) / (met + DAMPING)
-        t = until
-    out = -np.log(model.shares[kinds])
+        count = strips[pieces[a:b]]
+        at = _spans(first_strip[pieces[a:b]], count)
+        of = np.repeat(doc[a:b], count)
+        cell = of.astype(np.int64) * GATES + strip_gate[at]
+        now = weights[:, : active * GATES].astype(np.float32)
+        logs, slope = np.empty(len(at), np.float32), np.empty((PREDICTORS, len(at)), np.float32)
+        for k in range(0, len(at), STRIPS):
+            y = odds[at[k : k + STRIPS]].view(np.int8).reshape(-1, STRIP * PREDICTORS).T.astype(np.float32, order="C").reshape(STRIP, PREDICTORS, -1)
+            w = now.take(cell[k : k + STRIPS], 1)
+            e = y[:, 0] * w[0]
+            for p in range(1, PREDICTORS):
+                e += y[:, p] * w[p]
+            np.exp(np.clip(e, -30, 30, out=e), out=e)
+            e += 1
+            np.log(e).sum(0, out=logs[k : k + STRIPS])
+            y *= (1 - 1 / e)[:, None]
+            y.sum(0, out=slope[:, k : k + STRIPS])
+        cost[:active] += np.bincount(of, logs, active)
+        met = np.bincount(cell, strip_bits[at], active * GATES) + DAMPING
+        for p in range(PREDICTORS):
+            weights[p, : active * GATES] -= RATE / UNIT**2 * np.bincount(cell, slope[p], active * GATES) / met
+    out = -np.log(model.shares[group.kinds])
     out[order] += cost
     return out
 
@@ -504,10 +549,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         row = TaskContext.get().partitionId() << 40
         model, (hashes, counts) = shared.value
-        met_hashes = WordHashes()
         for batch in batches:
             for taken, group in in_groups(batch.column(1)):
-                yield _scored(model, hashes, counts, met_hashes, batch.column(0).take(pa.array(taken)), group, row)
+                yield _scored(model, hashes, counts, batch.column(0).take(pa.array(taken)), group, row)
                 row += len(group)
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -528,22 +572,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _scored(model: Model, hashes: np.ndarray, counts: np.ndarray, met_hashes: WordHashes, ids: pa.Array, group: list[list[bytes]], row: int) -> pa.RecordBatch:
+def _scored(model: Model, hashes: np.ndarray, counts: np.ndarray, ids: pa.Array, group: list[list[bytes]], row: int) -> pa.RecordBatch:
     numbers = numbered(group)
-    h = met_hashes.of(numbers.words).view(np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, numbers.words), np.uint64, len(numbers.words)).view(np.int64)
     at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
     found = (hashes[at] == h) if len(hashes) else np.zeros(len(h), bool)
     logs = np.where(found, np.log10(counts[at] + 1.0) if len(counts) else 0.0, 0.0)
-    known, total, rare = [], [], []
-    for sequence in numbers.sequences:
-        met = found[sequence]
-        rest = sequence[~met].tolist()
-        rare.append([numbers.words[i] for i in rest])
-        known.append(len(sequence) - len(rest))
-        total.append(float(logs[sequence].sum()))
+    met = found[numbers.numbers]
+    known = np.add.reduceat(met, numbers.starts, dtype=np.int64)
+    rare = numbers.array.take(pa.array(numbers.numbers[~met]))
+    ends = np.concatenate([[0], np.cumsum(numbers.sizes - known)]).astype(np.int32)
     names = ["id", "row", "n_tokens", "n_bytes", "known", "logs", "cost", "rare"]
     return pa.RecordBatch.from_arrays([
-        ids, pa.array(range(row, row + len(group)), pa.int64()), pa.array([len(w) + 1 for w in group], pa.int64()),
-        pa.array([sum(map(len, w)) + len(w) + 1 for w in group], pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()),
-        pa.array(code_lengths(model, numbers), pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+        ids, pa.array(range(row, row + len(group)), pa.int64()), pa.array(numbers.sizes),
+        pa.array([sum(map(len, w)) + len(w) + 1 for w in group], pa.int64()), pa.array(known), pa.array(np.add.reduceat(logs[numbers.numbers], numbers.starts)),
+        pa.array(code_lengths(model, numbers)), pa.ListArray.from_arrays(pa.array(ends), rare),
     ], names=names)
